@@ -49,7 +49,7 @@ def video_renderer() -> Column:
         .when(k % 6 == 1, F.concat((F.floor(k % 1000 / 10)).cast("string"), F.lit("."),
                                    (k % 10).cast("string"), F.lit("K views")))
         .when(k % 6 == 3, F.lit("No views"))
-        .when(k % 6 == 5, F.format_string("%d %03d views", k + 1, k % 1000))
+        .when(k % 6 == 5, F.format_string("%d\u00a0%03d views", k + 1, k % 1000))
     )
     runs = F.when(k % 6 == 2, F.array(
         _text(F.concat(size.cast("string"), F.lit("."), (k % 10).cast("string"), F.lit("M"))),
@@ -280,3 +280,227 @@ def comment_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         body.alias("body"),
         F.timestamp_seconds(F.lit(1700000000) + F.col("response_seq")).alias("fetched_at"),
     )
+
+
+def known_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of the conversations; every fourth is not on its channel's list."""
+    conv = F.col("conv_id")
+    return (
+        table(spark, sf_dir, "conversations").filter(conv % 4 != 3)
+        .groupBy("conv_id").agg(F.count("*").alias("turns"))
+        .select(talk_channel().alias("channel_ref"), talk_video().alias("video_id"),
+                (F.floor(conv / 5) + 1).cast("int").alias("order"))
+    )
+
+
+def talk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data of each conversation's page: comments on or off, their number, the sort menu.
+
+    `retry_body` is what was captured for pages without a menu.
+    """
+    conv = F.col("conv_id")
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count("*").alias("n"))
+    token = F.concat(F.lit("s"), conv.cast("string"))
+    entry = F.array(
+        F.struct(_endpoint(F.concat(token, F.lit("-0"))).alias("serviceEndpoint")),
+        F.struct(_endpoint(F.concat(token, F.lit("-1"))).alias("serviceEndpoint")),
+    )
+    short = F.slice(entry, 1, 1)
+    menu = F.struct(F.when(conv % 10 == 6, short).otherwise(entry).alias("subMenuItems"))
+    own_menu = conv % 8 != 5
+    count = (F.col("n") * 1234 + conv).cast("bigint")
+    plain = F.concat(F.format_number(count, 0), F.lit(" Comments"))
+    kind = conv % 7
+    data = F.to_json(F.struct(
+        F.struct(
+            F.array(F.struct(F.struct(
+                F.when(conv % 7 != 3, _next_item(F.concat(token, F.lit("-c"))))
+                .alias("continuationItemRenderer"),
+                F.lit("x").alias("message"),
+            ).alias("itemSectionRenderer"))).alias("contents"),
+            F.array(F.struct(_endpoint(F.concat(token, F.lit("-retry")))
+                             .alias("continuationEndpoint"))).alias("continuations"),
+        ).alias("sectionListRenderer"),
+        F.when(own_menu, menu).alias("sortFilterSubMenuRenderer"),
+        F.when(kind == 0, F.struct(F.struct(F.array(_text(plain)).alias("runs")).alias("text")))
+        .alias("commentCountRenderer"),
+        F.when(kind == 1, F.struct(F.struct(
+            F.concat(F.col("n").cast("string"), F.lit(".3K")).alias("simpleText"))
+            .alias("countText"))).alias("headerRenderer"),
+        F.when(kind == 2, F.struct(F.struct(
+            F.array(_text(F.lit("Comments")), _text(count.cast("string"))).alias("runs"))
+            .alias("title"))).alias("commentsHeaderRenderer"),
+        F.when(kind == 4, count).alias("commentCount"),
+        F.when(kind == 5, F.struct(F.struct(plain.alias("simpleText")).alias("text")))
+        .alias("note"),
+    ))
+    return talks.select(
+        talk_channel().alias("channel_ref"), talk_video().alias("video_id"), "conv_id",
+        data.alias("data"),
+        F.when(~own_menu & (conv % 16 == 5),
+               F.to_json(F.struct(menu.alias("sortFilterSubMenuRenderer")))).alias("retry_body"),
+    )
+
+
+def counting_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two responses per conversation; the first announces a number, the second another."""
+    conv = F.col("conv_id")
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count("*").alias("n"))
+    rows = talks.withColumn("response_seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.select(
+        talk_channel().alias("channel_ref"), talk_video().alias("video_id"), "response_seq",
+        F.to_json(F.struct(
+            F.when((conv % 2 == 0) | (F.col("response_seq") == 1),
+                   F.concat((F.col("n") * 10 + F.col("response_seq")).cast("string"),
+                            F.lit("M comments"))).alias("commentCount"))).alias("body"),
+    )
+
+
+# --- nested bodies ------------------------------------------------------------------------
+
+
+def customer_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested bodies: customers of a nation, 2,000 keys at a time, names at three depths."""
+    k = F.col("c_custkey")
+    rows = (
+        table(spark, sf_dir, "customer")
+        .groupBy("c_nationkey", F.floor(k / 2000).cast("int").alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
+    )
+    listed = F.transform("rows", lambda r: F.struct(
+        F.when(r["c_custkey"] % 2 == 0, r["c_name"]).alias("name"),
+        F.when(r["c_custkey"] % 2 == 1, F.struct(F.struct(
+            F.struct(r["c_name"].alias("name")).alias("name")).alias("inner"))).alias("deeper"),
+    ))
+    return rows.select(
+        "c_nationkey", "part",
+        F.to_json(F.struct(
+            listed.alias("list"),
+            F.concat(F.lit("nation \"é\" "), F.col("c_nationkey").cast("string")).alias("name"),
+        )).alias("body"))
+
+
+def order_token() -> Column:
+    k = F.col("o_orderkey")
+    return F.concat(F.repeat(F.lit("x"), (k % 4).cast("int")), F.format_string("%012d", k))
+
+
+def endpoint_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies offering a continuation for each order of a customer, 10,000 keys at a time."""
+    rows = (
+        table(spark, sf_dir, "orders")
+        .select("o_custkey", F.floor(F.col("o_orderkey") / 10000).cast("int").alias("part"),
+                "o_orderkey", order_token().alias("token"))
+        .groupBy("o_custkey", "part")
+        .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "token"))).alias("rows"))
+    )
+    items = F.transform("rows", lambda r: F.struct(
+        F.struct(_endpoint(r["token"]).alias("continuationEndpoint"))
+        .alias("continuationItemRenderer")))
+    return rows.select(
+        "o_custkey", F.col("part").alias("response_seq"),
+        F.to_json(F.struct(items.alias("items"))).alias("body"))
+
+
+def offer_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(responses, captures): an order offers a continuation per line; returned lines were asked.
+
+    Lines up to 4 stand in the comment section, later ones behind a reply thread's button.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    token = F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                        F.col("l_linenumber").cast("string"))
+    n = F.col("l_linenumber")
+    offered = (
+        lines.select("l_orderkey", "l_linenumber").distinct()
+        .groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"))
+    )
+
+    def tokens(keep) -> Column:
+        return F.transform(F.filter("lines", keep), lambda i: F.concat_ws(
+            "-", F.col("l_orderkey").cast("string"), i.cast("string")))
+
+    section = F.struct(
+        F.lit("comments-section").alias("targetId"),
+        F.transform(tokens(lambda i: i <= 4), lambda t: F.struct(F.struct(
+            F.struct(_endpoint(t).alias("continuationEndpoint")).alias("replies"))
+            .alias("commentThreadRenderer"))).alias("continuationItems"),
+    )
+    replies = F.struct(
+        F.concat(F.lit("comment-replies-item-"), F.col("l_orderkey").cast("string"))
+        .alias("targetId"),
+        F.transform(tokens(lambda i: i > 4), lambda t: F.struct(F.struct(F.struct(F.struct(
+            _endpoint(t).alias("command")).alias("buttonRenderer")).alias("button"))
+            .alias("continuationItemRenderer"))).alias("continuationItems"),
+    )
+    body = F.to_json(F.struct(F.array(
+        F.struct(section.alias("reloadContinuationItemsCommand"),
+                 replies.alias("appendContinuationItemsAction")),
+    ).alias("onResponseReceivedEndpoints")))
+    responses = offered.select(F.col("l_orderkey").alias("order_key"), body.alias("body"))
+    captures = lines.filter("l_returnflag = 'R'").select(token.alias("request_token"))
+    return responses, captures
+
+
+# --- logs ---------------------------------------------------------------------------------
+
+
+def run_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(channel_list, run_log): a customer is a channel, a nation a run, debt a failure."""
+    k = F.col("c_custkey")
+    failed = F.col("c_acctbal") < 0
+    log = table(spark, sf_dir, "customer").select(
+        F.format_string("run-%02d", "c_nationkey").alias("run_id"),
+        k.cast("int").alias("idx"),
+        F.concat(F.lit("@"), "c_name").alias("channel"),
+        F.when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
+        F.when(failed, F.when(k % 2 == 0, F.lit("Failed to set sorting"))
+               .otherwise(F.lit("Failed to extract ytInitialData"))).alias("error"),
+        F.timestamp_micros(F.lit(1735689600000000) + k * 1000000).alias("started_at"),
+        F.timestamp_micros(F.lit(1735689600000000) + k * 1000000 + (k % 1000) * 250000)
+        .alias("finished_at"),
+    )
+    return log.select("run_id", "idx", "channel"), log
+
+
+def customer_channel(key: str) -> Column:
+    return F.format_string("@Customer#%09d", F.col(key))
+
+
+def order_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        customer_channel("o_custkey").alias("channel_ref"),
+        F.col("o_orderkey").alias("video_id"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("bytes"),
+    )
+
+
+def line_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("video_id"))
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`video_log`: a user is a channel, an event a video, numbered in order of the event id."""
+    from vidlake.operators.accumulate import accumulate
+
+    e = F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    events = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("channel"), "event_id",
+        F.concat(F.lit("e"), e.cast("string")).alias("video_id"),
+        F.when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("ok"))
+        .alias("status"),
+        k.alias("comments"),
+        (k * k * (e % 97) * 64).alias("bytes"),
+        ((e % 40) * F.lit(0.25)).alias("elapsed_sec"),
+        F.when(e % 5 != 0, k * (e % 5) - 1).alias("expected_total"),
+    )
+    one = F.lit(1).cast("bigint")
+    log = accumulate(events, ["channel"], "event_id", {"_order": one},
+                     {"_total": ("sum", one)})
+    return log.select(
+        "channel", F.col("_total").cast("int").alias("total_videos"),
+        F.col("_order").cast("int").alias("order"), "video_id", "status", "comments", "bytes",
+        "elapsed_sec", "expected_total")

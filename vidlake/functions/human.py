@@ -38,7 +38,8 @@ def _fixed(scaled: Column, digits: int) -> Column:
     """An integer holding `digits` decimals, as text."""
     scale = 10**digits
     whole = F.floor(scaled / F.lit(scale)).cast("bigint")
-    return F.format_string(f"%d.%0{digits}d", whole, scaled - whole * scale)
+    text = F.format_string(f"%d.%0{digits}d", whole, scaled - whole * scale)
+    return F.when(scaled.isNotNull(), text)
 
 
 def percent_text(value: Column) -> Column:

@@ -51,7 +51,8 @@ def watch_url(video_id: Column) -> Column:
 def comments_file_name(order: Column, video_id: Column, fmt: str = "jsonl") -> Column:
     """`NNNN_<id>.<ext>`; numbers beyond four digits are kept whole."""
     ext = EXTENSIONS.get(fmt, "jsonl")
-    return F.format_string(f"%04d_%s.{ext}", order, video_id)
+    name = F.format_string(f"%04d_%s.{ext}", order, video_id)
+    return F.when(order.isNotNull() & video_id.isNotNull(), name)
 
 
 def channel_videos_path(channel: Column, base: str = "data", fmt: str = "json") -> Column:

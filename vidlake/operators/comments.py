@@ -190,14 +190,20 @@ def of_videos(numbered: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def video_errors(parsed: DataFrame) -> DataFrame:
-    """The first failure of each video: a server error or an incomplete comment."""
+    """The first failure of each video before its chain ends: a server error or an incomplete
+    comment."""
     first_bad = F.get(F.filter(F.transform("comments", problem), lambda p: p.isNotNull()),
                       F.lit(0))
+    seq = F.col("response_seq")
+    rows = parsed.select(
+        *_KEYS, "response_seq", "empty", F.coalesce("server_error", first_bad).alias("error")
+    ).filter("empty or error is not null")
+    failed = F.col("error").isNotNull()
     return (
-        parsed.select(*_KEYS, "response_seq",
-                      F.coalesce("server_error", first_bad).alias("error"))
-        .filter("error is not null")
-        .groupBy(*_KEYS)
-        .agg(F.min("response_seq").alias("first_seq"),
-             F.min_by("error", "response_seq").alias("error"))
+        rows.groupBy(*_KEYS)
+        .agg(F.min(F.when(failed, seq)).alias("first_seq"),
+             F.min(F.when(F.col("empty"), seq)).alias("_end"),
+             F.min_by(F.col("error"), F.when(failed, seq)).alias("error"))
+        .filter("first_seq is not null and (_end is null or first_seq < _end)")
+        .drop("_end")
     )
