@@ -36,10 +36,11 @@ def round_exact(value: Column, digits: int) -> Column:
 
 def _fixed(scaled: Column, digits: int) -> Column:
     """An integer holding `digits` decimals, as text."""
-    scale = 10**digits
-    whole = F.floor(scaled / F.lit(scale)).cast("bigint")
-    text = F.format_string(f"%d.%0{digits}d", whole, scaled - whole * scale)
-    return F.when(scaled.isNotNull(), text)
+    scale = F.lit(10**digits)
+    rest = F.pmod(scaled, scale)
+    whole = ((scaled - rest) / scale).cast("bigint")
+    return F.concat(
+        whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
 
 
 def percent_text(value: Column) -> Column:
@@ -47,51 +48,60 @@ def percent_text(value: Column) -> Column:
     return F.concat(_fixed(_nearest(value, 1), 1), F.lit("%"))
 
 
-def _units(size: Column, unit: int, digits: int) -> Column:
-    """`size / unit` with `digits` decimals, ties to even, in integer arithmetic."""
+def _in_units(size: Column, bits: int, digits: int, suffix: str) -> Column:
+    """`size / 2**bits` with `digits` decimals, ties to even, for a size of at least one unit.
+
+    The sum carries into the quotient exactly where rounding goes up: by half a unit less one,
+    and by one more if the quotient is odd.
+    """
     scaled = size.cast("bigint") * 10**digits
-    rest = F.pmod(scaled, F.lit(unit))
-    floor = ((scaled - rest) / F.lit(unit)).cast("bigint")
-    up = (rest * 2 > unit) | ((rest * 2 == unit) & (F.pmod(floor, F.lit(2)) == 1))
-    return _fixed(floor + up.cast("bigint"), digits)
+    odd = F.shiftright(scaled, bits).bitwiseAND(F.lit(1))
+    text = F.shiftright(scaled + ((1 << (bits - 1)) - 1) + odd, bits).cast("string")
+    return F.concat(
+        F.substring(text, F.lit(1), F.length(text) - digits), F.lit("."),
+        F.right(text, F.lit(digits)), F.lit(suffix))
 
 
 def format_bytes(size: Column) -> Column:
     """`512B`, `1.2KB`, `8.7MB`, `1.34GB`."""
     return (
         F.when(size < KB, F.concat(size.cast("string"), F.lit("B")))
-        .when(size < MB, F.concat(_units(size, KB, 1), F.lit("KB")))
-        .when(size < GB, F.concat(_units(size, MB, 1), F.lit("MB")))
-        .when(size >= GB, F.concat(_units(size, GB, 2), F.lit("GB")))
+        .when(size < MB, _in_units(size, 10, 1, "KB"))
+        .when(size < GB, _in_units(size, 20, 1, "MB"))
+        .when(size >= GB, _in_units(size, 30, 2, "GB"))
     )
 
 
-def _whole(seconds: Column) -> Column:
-    return seconds.cast("bigint")
+def _quotient(n: Column, unit: int) -> Column:
+    return F.floor(n / F.lit(unit))
+
+
+def _unit(n: Column, letter: str) -> Column:
+    return F.concat(n.cast("bigint").cast("string"), F.lit(letter))
 
 
 def format_time(seconds: Column) -> Column:
     """Elapsed time, always with both units: `42s`, `5m 0s`, `2h 0m`."""
-    s = _whole(seconds)
+    s = seconds.cast("bigint")
     return (
-        F.when(seconds < 60, F.format_string("%ds", s))
-        .when(seconds < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60))
-        .when(seconds >= 3600,
-              F.format_string("%dh %dm", F.floor(s / 3600), F.floor((s % 3600) / 60)))
+        F.when(seconds < 60, _unit(s, "s"))
+        .when(seconds < 3600, F.concat_ws(" ", _unit(_quotient(s, 60), "m"), _unit(s % 60, "s")))
+        .when(seconds >= 3600, F.concat_ws(
+            " ", _unit(_quotient(s, 3600), "h"), _unit(_quotient(s % 3600, 60), "m")))
     )
 
 
 def format_duration(seconds: Column) -> Column:
     """Duration without a zero second unit: `42s`, `5m`, `5m 3s`, `2h`, `2h 10m`."""
-    s = _whole(seconds)
-    minutes, secs = F.floor(s / 60), s % 60
-    hours, rest = F.floor(s / 3600), F.floor((s % 3600) / 60)
+    s = seconds.cast("bigint")
+    secs, minutes = s % 60, _quotient(s % 3600, 60)
+    # concat_ws leaves out the second unit where it is NULL.
     return (
-        F.when(seconds < 60, F.format_string("%ds", s))
-        .when((seconds < 3600) & (secs > 0), F.format_string("%dm %ds", minutes, secs))
-        .when(seconds < 3600, F.format_string("%dm", minutes))
-        .when((seconds >= 3600) & (rest > 0), F.format_string("%dh %dm", hours, rest))
-        .when(seconds >= 3600, F.format_string("%dh", hours))
+        F.when(seconds < 60, _unit(s, "s"))
+        .when(seconds < 3600, F.concat_ws(
+            " ", _unit(_quotient(s, 60), "m"), F.when(secs > 0, _unit(secs, "s"))))
+        .when(seconds >= 3600, F.concat_ws(
+            " ", _unit(_quotient(s, 3600), "h"), F.when(minutes > 0, _unit(minutes, "m"))))
     )
 
 

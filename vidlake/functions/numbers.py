@@ -6,6 +6,8 @@ binary value of 32.3 times 1000 gives, and results must agree with it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,41 +19,38 @@ MAGNITUDES = {"K": 1e3, "M": 1e6, "B": 1e9}
 VIEW_COUNT = r"(?i)([\d.]+)\s*([KMB]?)"
 VIEW_SEPARATORS = " ,\u202f\u00a0"
 
-_PLAIN_NUMBER = r"^(\d+\.?\d*|\.\d+)\z"
-_FLOAT = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\z"
-_INTEGER = r"^[+-]?\d+\z"
+_BLANK = r"[\s\x1c-\x1f]"
+BLANK_AROUND_PART = rf"(?U){_BLANK}+(?=:|\z)|(?<![^:]){_BLANK}+"
+# What a number may carry besides its digits: the letter at its end, commas, underscores.
+NUMBER_TRIM = rf"(?U){_BLANK}*[kmb]\z|,|(?<=\d)_(?=\d)"
+FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*\z"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed a single time per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _magnitude(letter: Column) -> Column:
-    upper = F.upper(letter)
-    m = F.lit(1.0)
+    cases = F
     for symbol, factor in MAGNITUDES.items():
-        m = F.when(upper == symbol, F.lit(factor)).otherwise(m)
-    return m
+        cases = cases.when(letter == symbol, F.lit(factor))
+    return cases.otherwise(F.lit(1.0))
 
 
 def parse_view_count(raw: Column) -> Column:
     """`123,874 views` -> 123874, `1.2M views` -> 1200000; NULL where there is no number."""
     s = F.translate(raw, VIEW_SEPARATORS, "")
-    digits = F.regexp_extract(s, VIEW_COUNT, 1)
-    number = F.when(digits.rlike(_PLAIN_NUMBER), digits).try_cast("double")
-    return (number * _magnitude(F.regexp_extract(s, VIEW_COUNT, 2))).try_cast("bigint")
-
-
-def parse_comment_count(raw: Column) -> Column:
-    """`28,999 Comments` -> 28999, `28.9K` -> 28900; the magnitude letter must stand last.
+    # Digits and dots only, so the cast fails just where they form no number, as in 1.2.3.
+    number = F.regexp_extract(s, VIEW_COUNT, 1).try_cast("double")
+    factor = _magnitude(F.upper(F.regexp_extract(s, VIEW_COUNT, 2)))
+    return (number * factor).try_cast("bigint")
 
-    Text that is no number as a whole falls back to its first run of digits, with the second
-    run as decimals if there is a dot anywhere.
-    """
-    text = strip(F.replace(F.replace(F.lower(raw), F.lit("comments"), F.lit("")),
-                           F.lit("comment"), F.lit("")))
-    letter = F.regexp_extract(text, r"[kmb]\z", 0)
-    factor = _magnitude(letter)
-    body = strip(F.replace(F.regexp_replace(text, r"[kmb]\z", ""), F.lit(","), F.lit("")))
-    body = F.regexp_replace(body, r"(?<=\d)_(?=\d)", "")
-    whole = F.when(body.rlike(_FLOAT), body).try_cast("double")
 
+def _count_of(text: Column) -> Column:
+    """Number in a text that is lower-case, stripped and free of the word "comments"."""
+    body = F.regexp_replace(text, NUMBER_TRIM, "")
+    whole = F.when(body.rlike(FLOAT), body).try_cast("double")
     runs = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
     first, second = F.get(runs, F.lit(0)), F.get(runs, F.lit(1))
     decimals = F.when(
@@ -59,18 +58,32 @@ def parse_comment_count(raw: Column) -> Column:
         second.try_cast("double") / F.pow(F.lit(10.0), F.length(second)),
     )
     fallback = first.try_cast("double") + F.coalesce(decimals, F.lit(0.0))
+    factor = _magnitude(F.upper(F.right(text, F.lit(1))))
     return (F.coalesce(whole, fallback) * factor).try_cast("bigint")
 
 
+def parse_comment_count(raw: Column) -> Column:
+    """`28,999 Comments` -> 28999, `28.9K` -> 28900; the magnitude letter must stand last.
+
+    Text that is no number as a whole falls back to its first run of digits, with the second
+    run as decimals if there is a dot anywhere.
+    """
+    words = F.replace(F.replace(F.lower(raw), F.lit("comments"), F.lit("")),
+                      F.lit("comment"), F.lit(""))
+    return once(strip(words), _count_of)
+
+
 def length_to_minutes(length: Column) -> Column:
     """`21:47` or `1:05:30` as minutes; NULL for anything else."""
-    parts = F.split(strip(length), ":")
 
-    def whole(i: int) -> Column:
-        part = strip(F.get(parts, F.lit(i)))
-        return F.when(part.rlike(_INTEGER), part).try_cast("bigint")
+    def minutes(parts: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.get(parts, F.lit(i)).try_cast("bigint")
 
-    return (
-        F.when(F.size(parts) == 2, whole(0) + whole(1) / F.lit(60.0))
-        .when(F.size(parts) == 3, whole(0) * 60 + whole(1) + whole(2) / F.lit(60.0))
-    )
+        # A part that is no integer makes the sum NULL.
+        return (
+            F.when(F.size(parts) == 2, part(0) + part(1) / F.lit(60.0))
+            .when(F.size(parts) == 3, part(0) * 60 + part(1) + part(2) / F.lit(60.0))
+        )
+
+    return once(F.split(F.regexp_replace(length, BLANK_AROUND_PART, ""), ":"), minutes)

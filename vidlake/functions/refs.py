@@ -50,9 +50,10 @@ def watch_url(video_id: Column) -> Column:
 
 def comments_file_name(order: Column, video_id: Column, fmt: str = "jsonl") -> Column:
     """`NNNN_<id>.<ext>`; numbers beyond four digits are kept whole."""
-    ext = EXTENSIONS.get(fmt, "jsonl")
-    name = F.format_string(f"%04d_%s.{ext}", order, video_id)
-    return F.when(order.isNotNull() & video_id.isNotNull(), name)
+    number = order.cast("string")
+    # Padding alone would cut longer numbers.
+    padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    return F.concat(padded, F.lit("_"), video_id, F.lit("." + EXTENSIONS.get(fmt, "jsonl")))
 
 
 def channel_videos_path(channel: Column, base: str = "data", fmt: str = "json") -> Column:

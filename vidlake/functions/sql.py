@@ -13,60 +13,53 @@ from vidlake.functions import numbers, refs
 _STRIP = r"regexp_replace({}, r'(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z', '')"
 
 
-def _case(letter: str) -> str:
+def _once(value: str, name: str, use: str) -> str:
+    """`use` with `name` standing for `value`, computed a single time."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
+def _magnitude(letter: str) -> str:
     whens = " ".join(f"WHEN '{k}' THEN {v:.0f}D" for k, v in numbers.MAGNITUDES.items())
     return f"(CASE upper({letter}) {whens} ELSE 1D END)"
 
 
-def _trimmed_units(unit: int, digits: int) -> str:
-    """`size / unit`, ties to even; the division of a bigint by a power of two is exact."""
+def _in_units(bits: int, digits: int, suffix: str) -> str:
+    """`size / 2**bits`, ties to even; see the column form."""
     scaled = f"size * {10**digits}"
-    floor = f"({scaled} DIV {unit})"
-    rest = f"({scaled} % {unit})"
-    nearest = (
-        f"({floor} + CASE WHEN {rest} * 2 > {unit} "
-        f"OR ({rest} * 2 = {unit} AND {floor} % 2 = 1) THEN 1 ELSE 0 END)"
-    )
-    return f"format_string('%d.%0{digits}d', {nearest} DIV {10**digits}, {nearest} % {10**digits})"
+    text = (f"CAST(shiftright({scaled} + {(1 << (bits - 1)) - 1} "
+            f"+ (shiftright({scaled}, {bits}) & 1), {bits}) AS STRING)")
+    return (f"concat(substring({text}, 1, length({text}) - {digits}), '.', "
+            f"right({text}, {digits}), '{suffix}')")
 
 
 def _view_count() -> str:
     s = f"translate(raw, '{numbers.VIEW_SEPARATORS}', '')"
     digits = f"regexp_extract({s}, r'{numbers.VIEW_COUNT}', 1)"
     letter = f"regexp_extract({s}, r'{numbers.VIEW_COUNT}', 2)"
-    return (
-        f"try_cast(try_cast(CASE WHEN {digits} RLIKE r'^(\\d+\\.?\\d*|\\.\\d+)\\z' "
-        f"THEN {digits} END AS DOUBLE) * {_case(letter)} AS BIGINT)"
-    )
+    return f"try_cast(try_cast({digits} AS DOUBLE) * {_magnitude(letter)} AS BIGINT)"
 
 
 def _comment_count() -> str:
     text = _STRIP.format("replace(replace(lower(raw), 'comments', ''), 'comment', '')")
-    letter = rf"regexp_extract({text}, r'[kmb]\z', 0)"
-    body = _STRIP.format(rf"replace(regexp_replace({text}, r'[kmb]\z', ''), ',', '')")
-    body = rf"regexp_replace({body}, r'(?<=\d)_(?=\d)', '')"
-    runs = rf"regexp_extract_all({text}, r'\d+', 0)"
-    return rf"""
+    body = f"regexp_replace(t, r'{numbers.NUMBER_TRIM}', '')"
+    runs = r"regexp_extract_all(t, r'\d+', 0)"
+    return _once(text, "t", rf"""
         try_cast(coalesce(
-          try_cast(CASE WHEN {body} RLIKE r'(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\z'
-                   THEN {body} END AS DOUBLE),
+          try_cast(CASE WHEN {body} RLIKE r'{numbers.FLOAT}' THEN {body} END AS DOUBLE),
           try_cast(get({runs}, 0) AS DOUBLE) + coalesce(
-            CASE WHEN contains({text}, '.') THEN
+            CASE WHEN contains(t, '.') THEN
               try_cast(get({runs}, 1) AS DOUBLE) / pow(10D, length(get({runs}, 1))) END, 0D)
-        ) * {_case(letter)} AS BIGINT)"""
+        ) * {_magnitude('right(t, 1)')} AS BIGINT)""")
 
 
 def _length() -> str:
-    parts = f"split({_STRIP.format('length')}, ':')"
-
-    def whole(i: int) -> str:
-        part = _STRIP.format(f"get({parts}, {i})")
-        return rf"try_cast(CASE WHEN {part} RLIKE r'^[+-]?\d+\z' THEN {part} END AS BIGINT)"
+    def part(i: int) -> str:
+        return f"try_cast(get(p, {i}) AS BIGINT)"
 
-    return (
-        f"CASE WHEN size({parts}) = 2 THEN {whole(0)} + {whole(1)} / 60D "
-        f"WHEN size({parts}) = 3 THEN {whole(0)} * 60 + {whole(1)} + {whole(2)} / 60D END"
-    )
+    return _once(
+        f"split(regexp_replace(length, r'{numbers.BLANK_AROUND_PART}', ''), ':')", "p",
+        f"CASE WHEN size(p) = 2 THEN {part(0)} + {part(1)} / 60D "
+        f"WHEN size(p) = 3 THEN {part(0)} * 60 + {part(1)} + {part(2)} / 60D END")
 
 
 def _channel_ref() -> str:
@@ -97,9 +90,9 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
         "human_bytes": (
             "size BIGINT", "STRING",
             f"CASE WHEN size < {1 << 10} THEN concat(size, 'B') "
-            f"WHEN size < {1 << 20} THEN concat({_trimmed_units(1 << 10, 1)}, 'KB') "
-            f"WHEN size < {1 << 30} THEN concat({_trimmed_units(1 << 20, 1)}, 'MB') "
-            f"WHEN size >= {1 << 30} THEN concat({_trimmed_units(1 << 30, 2)}, 'GB') END",
+            f"WHEN size < {1 << 20} THEN {_in_units(10, 1, 'KB')} "
+            f"WHEN size < {1 << 30} THEN {_in_units(20, 1, 'MB')} "
+            f"WHEN size >= {1 << 30} THEN {_in_units(30, 2, 'GB')} END",
         ),
         "human_time": (
             "seconds DOUBLE", "STRING",

@@ -22,32 +22,20 @@ def comments_enabled(data: Column) -> Column:
     return ~is_empty(offer)
 
 
-def _positive(text: Column) -> Column:
-    return F.nullif(parse_comment_count(text), F.lit(0).cast("bigint"))
-
-
 def _first_positive(texts: Column) -> Column:
-    counts = F.filter(F.transform(texts, _positive), lambda n: n.isNotNull())
+    counts = F.filter(F.transform(texts, parse_comment_count), lambda n: n > 0)
     return F.get(counts, F.lit(0))
 
 
-def _of_text(t: Column) -> Column:
-    """Count in the first run, else in the simple text."""
-    return F.coalesce(_positive(F.get(t["runs"], F.lit(0))["text"]), _positive(t["simpleText"]))
-
-
-def _of_runs(t: Column) -> Column:
-    """Count in any run, else in the simple text."""
-    return F.coalesce(
-        _first_positive(F.transform(t["runs"], lambda r: r["text"])), _positive(t["simpleText"])
-    )
+def _runs(t: Column) -> Column:
+    """The texts of all runs, then the simple text."""
+    runs = F.transform(t["runs"], lambda r: r["text"])
+    return F.concat(F.coalesce(runs, F.array()), F.array(t["simpleText"]))
 
 
-def _plain(value: Column) -> Column:
-    """A count given as a number or as text."""
-    number = F.when(~value.rlike(r'^["\[{]'), value.try_cast("double").try_cast("bigint"))
-    text = F.when(value.startswith('"'), json_scalar(value))
-    return F.coalesce(F.nullif(number, F.lit(0).cast("bigint")), _positive(text))
+def _first_run(t: Column) -> Column:
+    """The text of the first run, then the simple text."""
+    return F.array(F.get(t["runs"], F.lit(0))["text"], t["simpleText"])
 
 
 def add_comment_count(df: DataFrame, body: str, out: str) -> DataFrame:
@@ -57,32 +45,34 @@ def add_comment_count(df: DataFrame, body: str, out: str) -> DataFrame:
     """
     df = df.withColumn("_found", find_many(F.col(body), COUNT_KEYS))
     first = {k: F.get(found(F.col("_found"), k), F.lit(0)) for k in COUNT_KEYS}
-    header = F.from_json(first["commentsHeaderRenderer"], schemas.COUNT_HEADER)
-    df = df.withColumn("_count", F.coalesce(
-        _of_text(F.from_json(first["commentCountRenderer"], schemas.COUNT_RENDERER)["text"]),
-        _of_text(F.from_json(first["headerRenderer"], schemas.COUNT_HEADER)["countText"]),
-        _of_text(header["countText"]),
-        _of_runs(header["title"]),
-        _plain(first["commentCount"]),
+    df = df.select(
+        "*",
+        F.from_json(first["commentCountRenderer"], schemas.COUNT_RENDERER).alias("_renderer"),
+        F.from_json(first["headerRenderer"], schemas.COUNT_HEADER).alias("_header"),
+        F.from_json(first["commentsHeaderRenderer"], schemas.COUNT_HEADER).alias("_comments"),
+        F.when(~first["commentCount"].rlike(r"^[\[{]"), json_scalar(first["commentCount"]))
+        .alias("_number"),
+    )
+    df = df.withColumn("_named", F.concat(
+        _first_run(F.col("_renderer.text")),
+        _first_run(F.col("_header.countText")),
+        _first_run(F.col("_comments.countText")),
+        _runs(F.col("_comments.title")),
+        F.array("_number"),
     ))
+    df = df.withColumn("_count", _first_positive(F.col("_named")))
     df = df.withColumn(
         "_texts", find_values(F.when(F.col("_count").isNull(), F.col(body)), "text")
     )
     candidates = F.flatten(F.transform(
-        F.transform(
-            F.filter("_texts", lambda v: v.startswith("{")),
-            lambda v: F.from_json(v, schemas.COUNT_TEXT),
-        ),
-        lambda t: F.concat(
-            F.coalesce(F.transform(t["runs"], lambda r: r["text"]), F.array()),
-            F.array(t["simpleText"]),
-        ),
+        F.filter("_texts", lambda v: v.startswith("{")),
+        lambda v: _runs(F.from_json(v, schemas.COUNT_TEXT)),
     ))
     speaking = F.filter(
         candidates, lambda s: F.contains(F.lower(s), F.lit("comment")) & s.rlike(r"\d")
     )
     return df.withColumn(out, F.coalesce("_count", _first_positive(speaking))).drop(
-        "_found", "_count", "_texts"
+        "_found", "_renderer", "_header", "_comments", "_number", "_named", "_count", "_texts"
     )
 
 

@@ -94,29 +94,34 @@ def _first(runs: Column) -> Column:
     return F.get(runs, F.lit(0))
 
 
-def video_record(renderer: str, channel_ref: str, fill_channel: Column) -> list[Column]:
-    """The fields of a video; `fill_channel` says where a missing owner becomes the channel."""
-    r = F.col(renderer)
-    title = _text(_first(r["title"]["runs"])["text"], r["title"]["simpleText"])
-    views = _text(r["viewCountText"]["simpleText"], _first(r["viewCountText"]["runs"])["text"])
-    length = _text(r["lengthText"]["simpleText"])
-    owner = _text(
-        _first(r["ownerText"]["runs"])["navigationEndpoint"]["browseEndpoint"]["browseId"],
-        F.when(fill_channel, F.col(channel_ref)),
-    )
-    thumbnails = r["thumbnail"]["thumbnails"]
-    return [
+def video_records(rows: DataFrame, fill_channel: Column) -> DataFrame:
+    """Turn `_renderer` into the fields of a video.
+
+    `fill_channel` says where a missing owner becomes the channel. Texts are taken out first
+    and parsed in a second projection, so that each is computed once.
+    """
+    r = F.col("_renderer")
+    texts = rows.select(
+        *[c for c in rows.columns if c != "_renderer"],
         r["videoId"].alias("video_id"),
-        title.alias("title"),
-        F.length(title).alias("title_length"),
-        owner.alias("channel_id"),
-        parse_view_count(views).alias("view_count"),
-        views.alias("view_count_raw"),
-        length.alias("length"),
-        length_to_minutes(length).alias("length_minutes"),
-        _text(F.try_element_at(thumbnails, F.lit(-1))["url"]).alias("thumbnail_url"),
-        watch_url(r["videoId"]).alias("url"),
-    ]
+        _text(_first(r["title"]["runs"])["text"], r["title"]["simpleText"]).alias("title"),
+        _text(
+            _first(r["ownerText"]["runs"])["navigationEndpoint"]["browseEndpoint"]["browseId"],
+            F.when(fill_channel, F.col("channel_ref")),
+        ).alias("channel_id"),
+        _text(r["viewCountText"]["simpleText"], _first(r["viewCountText"]["runs"])["text"])
+        .alias("view_count_raw"),
+        _text(r["lengthText"]["simpleText"]).alias("length"),
+        _text(F.try_element_at(r["thumbnail"]["thumbnails"], F.lit(-1))["url"])
+        .alias("thumbnail_url"),
+    )
+    return texts.select(
+        "*",
+        F.length("title").alias("title_length"),
+        parse_view_count(F.col("view_count_raw")).alias("view_count"),
+        length_to_minutes(F.col("length")).alias("length_minutes"),
+        watch_url(F.col("video_id")).alias("url"),
+    )
 
 
 def videos(parsed: DataFrame, max_videos: int | None = None,
@@ -144,6 +149,4 @@ def videos(parsed: DataFrame, max_videos: int | None = None,
     if max_videos is not None:
         rows = rows.filter(F.col("order") <= max_videos)
     fill = F.lit(True) if fill_first_page else F.col("response_seq") > 0
-    return rows.select(
-        "channel_ref", *video_record("_renderer", "channel_ref", fill), "order", "scraped_at"
-    )
+    return video_records(rows, fill).select("channel_ref", *schemas.VIDEO_FIELDS, "scraped_at")
