@@ -418,15 +418,22 @@ def offer_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         .groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"))
     )
 
+    # Every seventh order keeps its endpoints in another place.
+    usual = F.col("l_orderkey") % 7 != 0
+
     def tokens(keep) -> Column:
         return F.transform(F.filter("lines", keep), lambda i: F.concat_ws(
             "-", F.col("l_orderkey").cast("string"), i.cast("string")))
 
     section = F.struct(
         F.lit("comments-section").alias("targetId"),
-        F.transform(tokens(lambda i: i <= 4), lambda t: F.struct(F.struct(
-            F.struct(_endpoint(t).alias("continuationEndpoint")).alias("replies"))
-            .alias("commentThreadRenderer"))).alias("continuationItems"),
+        F.transform(tokens(lambda i: i <= 4), lambda t: F.struct(
+            F.when(usual, F.struct(F.struct(F.struct(F.array(F.struct(
+                _next_item(t).alias("continuationItemRenderer"))).alias("contents"))
+                .alias("commentRepliesRenderer")).alias("replies")))
+            .alias("commentThreadRenderer"),
+            F.when(~usual, F.struct(_endpoint(t).alias("continuationEndpoint"))).alias("other"),
+        )).alias("continuationItems"),
     )
     replies = F.struct(
         F.concat(F.lit("comment-replies-item-"), F.col("l_orderkey").cast("string"))

@@ -371,10 +371,14 @@ def response_chains(spark, sf_dir):
     return kept.groupBy("video_id", "sort_by").agg(F.count("*").alias("responses"))
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discussion.video_facts(cap.talk_pages(spark, sf_dir), com.SORT_RECENT, "retry_body")
+
+
 @query
 def comment_totals(spark, sf_dir):
     totals = discussion.comment_totals(
-        cap.talk_pages(spark, sf_dir), cap.counting_responses(spark, sf_dir))
+        _facts(spark, sf_dir), cap.counting_responses(spark, sf_dir))
     return totals.select(
         "video_id", "total_count",
         discussion.expected_total(F.col("total_count"), 100).alias("limited"),
@@ -383,15 +387,12 @@ def comment_totals(spark, sf_dir):
 
 @query
 def disabled_videos(spark, sf_dir):
-    return cap.talk_pages(spark, sf_dir).select(
-        "video_id", discussion.comments_enabled(F.col("data")).alias("comments_enabled"))
+    return _facts(spark, sf_dir).select("video_id", "comments_enabled")
 
 
 @query
 def sort_tokens(spark, sf_dir):
-    pages = cap.talk_pages(spark, sf_dir)
-    return discussion.sort_choice(pages, com.SORT_RECENT, "retry_body").select(
-        "video_id", "sort_token", "sort_error", "retry_token")
+    return _facts(spark, sf_dir).select("video_id", "sort_token", "sort_error", "retry_token")
 
 
 # --- statistics and progress --------------------------------------------------------------

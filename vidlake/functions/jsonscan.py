@@ -21,6 +21,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _MARKS = re.compile(r'\\.|["{}]', re.DOTALL)
 
 
+def _single(udf):
+    """The function, marked so that Spark computes it once where it stands.
+
+    Filters on a deterministic function's result are pushed below it by computing it again.
+    """
+    return udf.asNondeterministic()
+
+
 def balanced_object(text: str, opening: re.Pattern) -> str | None:
     """The JSON object whose brace ends the first match of `opening`; None if it never closes."""
     found = opening.search(text)
@@ -49,7 +57,7 @@ def balanced_object_column(text: Column, opening: str) -> Column:
     def scan(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: balanced_object(t, pattern) if isinstance(t, str) else None)
 
-    return scan(text)
+    return _single(scan)(text)
 
 
 def values_of(node, key: str):
@@ -88,12 +96,19 @@ def find_many(body: Column, keys: list[str]) -> Column:
         found = [_search(b, keys) for b in bodies]
         return pd.DataFrame({key: [row[i] for row in found] for i, key in enumerate(keys)})
 
-    hit = F.lit(False)
-    for key in keys:
-        hit = hit | F.contains(body, F.lit(f'"{key}"'))
-    # A name spelled with escapes counts as well, so a body holding such a name is searched.
-    hit = hit | body.rlike(r'"[^"]*\\u00[^"]*"\s*:')
-    return search(F.when(hit, body))
+    # A name may be spelled with escapes; bodies with escaped Latin letters are searched too.
+    hit = body.rlike(r"\\u00[4-7]")
+    for key in reversed(keys):
+        hit = F.contains(body, F.lit(f'"{key}"')) | hit
+    return _single(search)(F.when(hit, body))
+
+
+def count_name(body: Column, key: str) -> Column:
+    """How often `key` stands as a name; quotes inside JSON strings are escaped and don't count.
+
+    Tells whether a native parse of the declared places has seen every value of that name.
+    """
+    return F.regexp_count(body, F.lit(f'"{key}"\\s*:'))
 
 
 def found(matches: Column, key: str) -> Column:

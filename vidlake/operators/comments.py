@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidlake import SOURCE, schemas
-from vidlake.functions.jsonscan import find_many, first_value, found, json_scalar
+from vidlake.functions.jsonscan import (
+    count_name,
+    find_many,
+    first_value,
+    found,
+    json_scalar,
+)
 from vidlake.functions.refs import strip
 from vidlake.operators.accumulate import accumulate
 from vidlake.operators.nested import is_empty
+from vidlake.operators.unfold import unfold
 
 # Names in the bodies.
 COMMENT_KEY = "commentEntityPayload"
@@ -23,11 +30,6 @@ _PAYLOADS = f"array<{schemas.COMMENT_PAYLOAD}>"
 _STATES = f"array<{schemas.TOOLBAR_STATE}>"
 
 
-def _named(body: Column, key: str) -> Column:
-    """How often `key` occurs as a name; quotes inside JSON strings are escaped and don't count."""
-    return F.regexp_count(body, F.lit(f'"{key}"\\s*:'))
-
-
 def _present(mutations: Column, key: str, kind: str) -> Column:
     payloads = F.transform(mutations, lambda m: m["payload"][key])
     return F.coalesce(F.filter(payloads, lambda p: p.isNotNull()), F.array().cast(kind))
@@ -71,8 +73,8 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
         _present(mutations, COMMENT_KEY, _PAYLOADS).alias("_comments"),
         _present(mutations, TOOLBAR_KEY, _STATES).alias("_states"),
     )
-    deep = (_named(F.col("body"), COMMENT_KEY) != F.size("_comments")) | (
-        _named(F.col("body"), TOOLBAR_KEY) != F.size("_states")
+    deep = (count_name(F.col("body"), COMMENT_KEY) != F.size("_comments")) | (
+        count_name(F.col("body"), TOOLBAR_KEY) != F.size("_states")
     )
     rows = rows.withColumn("_deep", deep).withColumn(
         "_found", find_many(F.when(F.col("_deep"), F.col("body")), [COMMENT_KEY, TOOLBAR_KEY])
@@ -166,8 +168,8 @@ def comments(numbered: DataFrame, per_video_limit: int | None = None,
     if per_video_limit is not None:
         numbered = numbered.filter(F.col("before") < per_video_limit)
     rest = [c for c in numbered.columns if c not in ("comments", "before", "scraped_at")]
-    rows = numbered.select(
-        *rest, "scraped_at", "before", F.posexplode("comments").alias("_at", "_c")
+    rows = unfold(
+        numbered, [*rest, "scraped_at", "before"], "comments", "_at", "_c"
     ).withColumn("pos", (F.col("before") + F.col("_at") + 1).cast("long"))
     if per_video_limit is not None:
         rows = rows.filter(F.col("pos") <= per_video_limit)

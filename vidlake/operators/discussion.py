@@ -12,16 +12,12 @@ from vidlake.operators.nested import is_empty, token_of
 
 # Where a number of comments may stand, tried in this order.
 COUNT_KEYS = ["commentCountRenderer", "headerRenderer", "commentsHeaderRenderer", "commentCount"]
+SECTION_KEY = "itemSectionRenderer"
+MENU_KEY = "sortFilterSubMenuRenderer"
+LIST_KEY = "sectionListRenderer"
 SORT_ERROR = "Failed to set sorting"
 
 
-def comments_enabled(data: Column) -> Column:
-    """Whether the page offers comments: its first item section holds a continuation."""
-    section = first_value(data, "itemSectionRenderer")
-    offer = first_value(section, "continuationItemRenderer")
-    return ~is_empty(offer)
-
-
 def _first_positive(texts: Column) -> Column:
     counts = F.filter(F.transform(texts, parse_comment_count), lambda n: n > 0)
     return F.get(counts, F.lit(0))
@@ -38,13 +34,12 @@ def _first_run(t: Column) -> Column:
     return F.array(F.get(t["runs"], F.lit(0))["text"], t["simpleText"])
 
 
-def add_comment_count(df: DataFrame, body: str, out: str) -> DataFrame:
-    """Add the number of comments a body announces: the first non-zero of five sources.
+def _add_count(df: DataFrame, body: str, matches: str, out: str) -> DataFrame:
+    """Add the first non-zero count of five sources, four of them among `matches`.
 
     The last source, any text speaking of comments, is searched only where the others fail.
     """
-    df = df.withColumn("_found", find_many(F.col(body), COUNT_KEYS))
-    first = {k: F.get(found(F.col("_found"), k), F.lit(0)) for k in COUNT_KEYS}
+    first = {k: F.get(found(F.col(matches), k), F.lit(0)) for k in COUNT_KEYS}
     df = df.select(
         "*",
         F.from_json(first["commentCountRenderer"], schemas.COUNT_RENDERER).alias("_renderer"),
@@ -72,22 +67,69 @@ def add_comment_count(df: DataFrame, body: str, out: str) -> DataFrame:
         candidates, lambda s: F.contains(F.lower(s), F.lit("comment")) & s.rlike(r"\d")
     )
     return df.withColumn(out, F.coalesce("_count", _first_positive(speaking))).drop(
-        "_found", "_renderer", "_header", "_comments", "_number", "_named", "_count", "_texts"
+        "_renderer", "_header", "_comments", "_number", "_named", "_count", "_texts"
     )
 
 
-def comment_totals(pages: DataFrame, responses: DataFrame) -> DataFrame:
+def add_comment_count(df: DataFrame, body: str, out: str) -> DataFrame:
+    """Add the number of comments a body announces, NULL if none."""
+    df = df.withColumn("_found", find_many(F.col(body), COUNT_KEYS))
+    return _add_count(df, body, "_found", out).drop("_found")
+
+
+def _menu(renderer: Column) -> Column:
+    return F.from_json(renderer, schemas.SORT_MENU)["subMenuItems"]
+
+
+def video_facts(pages: DataFrame, sort_by: int, retry: str | None = None) -> DataFrame:
+    """What the pages' `data` says about their comments; each page is searched once.
+
+    Adds `comments_enabled` (the first item section holds a continuation), `page_total` (the
+    number of comments announced), `sort_token` and `sort_error` (the menu's entry for the
+    chosen order, or that it is missing) and `retry_token` (the first continuation of the
+    section list, to be asked where there is no menu). `retry` names a column with the body
+    captured in answer to that token.
+    """
+    keys = [SECTION_KEY, MENU_KEY, LIST_KEY, *COUNT_KEYS]
+    df = pages.withColumn("_page", find_many(F.col("data"), keys))
+    first = {k: F.get(found(F.col("_page"), k), F.lit(0)) for k in keys}
+    df = df.select("*", first[SECTION_KEY].alias("_section"), first[LIST_KEY].alias("_list"),
+                   _menu(first[MENU_KEY]).alias("_menu"))
+    df = _add_count(df, "data", "_page", "page_total")
+    df = df.select(
+        "*",
+        (~is_empty(first_value(F.col("_section"), "continuationItemRenderer")))
+        .alias("comments_enabled"),
+        token_of(first_value(F.col("_list"), "continuationEndpoint")).alias("retry_token"),
+    )
+    if retry:
+        lacking = F.coalesce(F.size("_menu"), F.lit(0)) < 1
+        df = df.withColumn("_retry", _menu(first_value(
+            F.when(lacking, F.col(retry)), MENU_KEY)))
+        df = df.withColumn("_menu", F.when(lacking, F.col("_retry")).otherwise(F.col("_menu")))
+        df = df.drop("_retry")
+    entry = F.get("_menu", F.lit(sort_by))
+    return df.select(
+        "*",
+        entry["serviceEndpoint"]["continuationCommand"]["token"].alias("sort_token"),
+        F.when(F.coalesce(F.size("_menu"), F.lit(0)) <= sort_by, F.lit(SORT_ERROR))
+        .alias("sort_error"),
+    ).drop("_page", "_section", "_list", "_menu")
+
+
+def comment_totals(facts: DataFrame, responses: DataFrame) -> DataFrame:
     """Announced number of comments per video: the page's, else the first response's.
 
-    `pages` has the page's data as JSON in `data`, `responses` are comment responses.
+    `facts` comes from `video_facts`; `responses` are comment responses, of which only each
+    video's first is searched, and only where the page is silent.
     """
     keys = ["channel_ref", "video_id"]
-    of_page = add_comment_count(pages, "data", "total").groupBy(*keys).agg(
-        F.max("total").alias("page_total")
-    )
+    of_page = facts.groupBy(*keys).agg(F.max("page_total").alias("page_total"))
+    silent = of_page.filter("page_total is null").select(*keys)
     first = responses.groupBy(*keys).agg(F.min("response_seq").alias("response_seq"))
+    wanted = first.join(silent, keys)
     of_first = add_comment_count(
-        responses.join(first, [*keys, "response_seq"], "left_semi"), "body", "total"
+        responses.join(wanted, [*keys, "response_seq"], "left_semi"), "body", "total"
     ).groupBy(*keys).agg(F.max("total").alias("response_total"))
     return of_page.join(of_first, keys, "left").select(
         *keys, F.coalesce("page_total", "response_total").alias("total_count")
@@ -97,33 +139,3 @@ def comment_totals(pages: DataFrame, responses: DataFrame) -> DataFrame:
 def expected_total(total: Column, limit: int | None = None) -> Column:
     """What progress is measured against: the limit if one is set, else the announced total."""
     return total if limit is None else F.lit(limit).cast("bigint")
-
-
-def _menu(body: Column) -> Column:
-    menu = F.from_json(first_value(body, "sortFilterSubMenuRenderer"), schemas.SORT_MENU)
-    return F.filter(menu["subMenuItems"], lambda _: F.lit(True))
-
-
-def sort_choice(pages: DataFrame, sort_by: int, retry: str | None = None) -> DataFrame:
-    """Add the token of the chosen order, or the error where the menu lacks it.
-
-    `retry` names a column with the body captured in answer to `retry_token`, the first
-    continuation of the section list; it is used where the page itself has no menu.
-    """
-    df = pages.withColumn("_menu", _menu(F.col("data")))
-    if retry:
-        df = df.withColumn("_retry", _menu(F.when(
-            F.coalesce(F.size("_menu"), F.lit(0)) < 1, F.col(retry))))
-        df = df.withColumn("_menu", F.when(F.size("_menu") > 0, F.col("_menu"))
-                           .otherwise(F.col("_retry"))).drop("_retry")
-    section = first_value(F.col("data"), "sectionListRenderer")
-    df = df.withColumn("_section", section)
-    df = df.withColumn("retry_token", token_of(first_value(F.col("_section"),
-                                                           "continuationEndpoint")))
-    entry = F.get("_menu", F.lit(sort_by))
-    return df.withColumn(
-        "sort_token", entry["serviceEndpoint"]["continuationCommand"]["token"]
-    ).withColumn(
-        "sort_error",
-        F.when(F.coalesce(F.size("_menu"), F.lit(0)) <= sort_by, F.lit(SORT_ERROR)),
-    ).drop("_menu", "_section")

@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidlake import schemas
-from vidlake.functions.jsonscan import find_many, find_values, first_value, found
+from vidlake.functions.jsonscan import (
+    count_name,
+    find_many,
+    find_values,
+    first_value,
+    found,
+)
+from vidlake.operators.unfold import unfold
 
 # Names in the bodies.
 ENDPOINT_KEY = "continuationEndpoint"
@@ -31,10 +38,8 @@ def is_empty(body: Column) -> Column:
 def search_key(df: DataFrame, body: str, key: str) -> DataFrame:
     """One row per value stored under `key` at any depth: `pos` in search order, `value` as JSON."""
     rest = [c for c in df.columns if c != body]
-    return (
-        df.withColumn("_values", find_values(F.col(body), key))
-        .select(*rest, F.posexplode("_values").alias("pos", "value"))
-    )
+    found_values = df.withColumn("_values", find_values(F.col(body), key))
+    return unfold(found_values, rest, "_values", "pos", "value")
 
 
 def _token(endpoint: Column) -> Column:
@@ -57,65 +62,125 @@ def longest_continuation(body: Column) -> Column:
     return F.array_max(ranked)["endpoint"]
 
 
-def next_page(body: Column) -> Column:
-    """The endpoint of the first continuation item found; NULL ends the paging."""
-    return F.get_json_object(first_value(body, NEXT_ITEM_KEY), f"$.{ENDPOINT_KEY}")
-
-
 def token_of(endpoint: Column) -> Column:
     """The token of an endpoint given as JSON text."""
     return _token(endpoint)
 
 
+def add_next_page(df: DataFrame, body: str, out: str) -> DataFrame:
+    """Add the endpoint of the first continuation item found; NULL ends the paging.
+
+    Search order starts at the end of a body. Where the declared places hold all continuation
+    items there are, the last of them is the answer and nothing is searched.
+    """
+    df = df.withColumn("_doc", F.from_json(body, schemas.NEXT_BODY))
+    endpoints, actions = (F.col(f"_doc.onResponseReceived{x}") for x in ("Endpoints", "Actions"))
+    items = F.flatten(F.transform(F.coalesce(endpoints, actions), lambda a: F.coalesce(
+        a["appendContinuationItemsAction"]["continuationItems"], F.array())))
+    df = df.withColumn("_items", F.filter(
+        F.transform(items, lambda i: i["continuationItemRenderer"]), lambda i: i.isNotNull()))
+    seen = (endpoints.isNull() | actions.isNull()) & F.coalesce(
+        F.size("_items") == count_name(F.col(body), NEXT_ITEM_KEY), F.lit(False))
+    df = df.withColumn("_seen", seen)
+    searched = F.get_json_object(
+        first_value(F.when(~F.col("_seen"), F.col(body)), NEXT_ITEM_KEY), f"$.{ENDPOINT_KEY}")
+    return df.withColumn("_searched", searched).withColumn(
+        out,
+        F.when(F.col("_seen"), F.try_element_at("_items", F.lit(-1))[ENDPOINT_KEY])
+        .otherwise(F.col("_searched")),
+    ).drop("_doc", "_items", "_seen", "_searched")
+
+
 def next_tokens(df: DataFrame, body: str = "body", seq: str = "response_seq") -> DataFrame:
     """Add `next_token`: longest continuation on the first page, next page on later ones."""
-    text = F.col(body)
     first = F.col(seq) == 0
-    df = df.withColumn("_first", longest_continuation(F.when(first, text)))
-    df = df.withColumn("_later", next_page(F.when(~first, text)))
+    df = df.withColumn("_first", longest_continuation(F.when(first, F.col(body))))
+    df = add_next_page(
+        df.withColumn("_later_body", F.when(~first, F.col(body))), "_later_body", "_later")
     return df.withColumn("next_token", token_of(F.coalesce("_first", "_later"))).drop(
-        "_first", "_later"
+        "_first", "_later_body", "_later"
     )
 
 
+def _actions(responses: DataFrame) -> DataFrame:
+    """Add `_actions`: reload actions, then append actions, each group in search order."""
+    df = responses.withColumn("_doc", F.from_json("body", schemas.ACTION_BODY))
+    listed = F.col("_doc.onResponseReceivedEndpoints")
+    one_each = F.lit(True)
+    native = []
+    for key in (RELOAD_KEY, APPEND_KEY):
+        present = F.filter(listed[key], lambda a: a.isNotNull())
+        native.append(F.reverse(present))
+        one_each = one_each & F.coalesce(
+            F.size(present) == count_name(F.col("body"), key), F.lit(False))
+    df = df.withColumn("_seen", one_each).withColumn("_found", find_many(
+        F.when(~F.col("_seen"), F.col("body")), [RELOAD_KEY, APPEND_KEY]))
+    searched = F.transform(
+        F.concat(found(F.col("_found"), RELOAD_KEY), found(F.col("_found"), APPEND_KEY)),
+        lambda a: F.from_json(a, schemas.ACTION))
+    return df.withColumn(
+        "_actions", F.when(F.col("_seen"), F.concat(*native)).otherwise(searched)
+    ).drop("_doc", "_seen", "_found")
+
+
 def continuations(responses: DataFrame) -> DataFrame:
-    """What each comment response offers to fetch next, in document order of its actions.
+    """What each comment response offers to fetch next.
 
     Reload actions come before append actions. Items of a comment section offer every endpoint
     in them (`kind` = 'section'), items of a reply thread the command behind their button
-    (`kind` = 'replies').
+    (`kind` = 'replies'). Actions and items of the usual shape are read natively; an item whose
+    names count up to more endpoints than that is searched.
     """
     rest = [c for c in responses.columns if c != "body"]
-    actions = (
-        responses.withColumn("_found", find_many(F.col("body"), [RELOAD_KEY, APPEND_KEY]))
-        .select(*rest, F.posexplode(
-            F.concat(found(F.col("_found"), RELOAD_KEY), found(F.col("_found"), APPEND_KEY))
-        ).alias("action_pos", "_action"))
-        .withColumn("_action", F.from_json("_action", schemas.ACTION))
-    )
-    items = actions.select(
-        *rest, "action_pos", F.col("_action.targetId").alias("target_id"),
-        F.posexplode("_action.continuationItems").alias("item_pos", "_item"),
-    )
+    actions = unfold(_actions(responses), rest, "_actions", "action_pos", "_action").select(
+        *rest, "action_pos", "_action.targetId", "_action.continuationItems"
+    ).withColumnRenamed("targetId", "target_id")
+    items = unfold(
+        actions, [*rest, "action_pos", "target_id"], "continuationItems", "item_pos", "_item"
+    ).withColumn("_doc", F.from_json("_item", schemas.CONTINUATION_ITEM))
+    item, doc = F.col("_item"), F.col("_doc")
     in_section = F.col("target_id").isin(COMMENT_SECTIONS)
-    in_replies = F.col("target_id").startswith(REPLIES_PREFIX) & F.json_object_keys(
-        "_item"
-    ).getItem(0).isNotNull() & F.array_contains(F.json_object_keys("_item"), NEXT_ITEM_KEY)
-    item = F.col("_item")
+    in_replies = F.col("target_id").startswith(REPLIES_PREFIX) & F.coalesce(
+        F.array_contains(F.json_object_keys(item), NEXT_ITEM_KEY), F.lit(False))
+
+    thread = doc["commentThreadRenderer"]["replies"]["commentRepliesRenderer"]["contents"]
+    usual = F.coalesce(
+        doc[NEXT_ITEM_KEY][ENDPOINT_KEY], F.get(thread, F.lit(0))[NEXT_ITEM_KEY][ENDPOINT_KEY])
+    command = doc[NEXT_ITEM_KEY]["button"]["buttonRenderer"]["command"]
+    plain_section = count_name(item, ENDPOINT_KEY) == usual.isNotNull().cast("int")
+    plain_replies = (count_name(item, "buttonRenderer") == 1) & command.isNotNull()
+    items = items.select(
+        "*", in_section.alias("_section"), in_replies.alias("_replies"),
+        usual["continuationCommand"]["token"].alias("_usual"),
+        usual.isNotNull().alias("_has_usual"),
+        command["continuationCommand"]["token"].alias("_command"),
+        (in_section & ~plain_section).alias("_search_section"),
+        (in_replies & ~plain_replies).alias("_search_replies"),
+    ).drop("_doc")
     items = items.withColumn(
-        "_endpoints", find_values(F.when(in_section, item), ENDPOINT_KEY)
-    ).withColumn("_button", first_value(F.when(in_replies, item), "buttonRenderer"))
-    offers = F.concat(
-        F.transform("_endpoints", lambda e: F.struct(
-            F.lit("section").alias("kind"), _token(e).alias("token"))),
-        F.when(F.col("_button").isNotNull(), F.array(F.struct(
-            F.lit("replies").alias("kind"),
-            _token(F.get_json_object("_button", "$.command")).alias("token"),
-        ))).otherwise(F.array().cast("array<struct<kind:string,token:string>>")),
+        "_endpoints", find_values(F.when(F.col("_search_section"), item), ENDPOINT_KEY)
+    ).withColumn("_button", first_value(F.when(F.col("_search_replies"), item), "buttonRenderer"))
+
+    def offer(kind: str, token: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), token.alias("token"))
+
+    nothing = F.array().cast("array<struct<kind:string,token:string>>")
+    section = (
+        F.when(F.col("_search_section"),
+               F.transform("_endpoints", lambda e: offer("section", _token(e))))
+        .when(F.col("_section") & F.col("_has_usual"), F.array(offer("section", F.col("_usual"))))
+        .otherwise(nothing)
+    )
+    replies = (
+        F.when(F.col("_search_replies") & F.col("_button").isNotNull(), F.array(offer(
+            "replies", _token(F.get_json_object("_button", "$.command")))))
+        .when(F.col("_replies") & ~F.col("_search_replies"),
+              F.array(offer("replies", F.col("_command"))))
+        .otherwise(nothing)
     )
-    return items.select(
-        *rest, "action_pos", "item_pos", "target_id", F.posexplode(offers).alias("pos", "_offer")
-    ).select(*rest, "action_pos", "item_pos", "target_id", "pos", "_offer.kind", "_offer.token")
+    keys = [*rest, "action_pos", "item_pos", "target_id"]
+    offers = unfold(items, keys, F.concat(section, replies), "pos", "_offer")
+    return offers.select(*keys, "pos", "_offer.kind", "_offer.token")
 
 
 def pending(offers: DataFrame, captures: DataFrame) -> DataFrame:

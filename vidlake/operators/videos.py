@@ -12,6 +12,7 @@ from vidlake.functions.refs import watch_url
 from vidlake.operators.accumulate import accumulate
 from vidlake.operators.embedded import extract_data
 from vidlake.operators.nested import is_empty
+from vidlake.operators.unfold import unfold
 
 _RENDERERS = f"array<{schemas.VIDEO_RENDERER}>"
 
@@ -142,9 +143,9 @@ def videos(parsed: DataFrame, max_videos: int | None = None,
     ).filter("_ended = 0").withColumn("_before", F.col("_seen") - F.size("renderers"))
     if max_videos is not None:
         pages = pages.filter(F.col("_before") < max_videos)
-    rows = pages.select(
-        "channel_ref", "response_seq", "scraped_at", "_before",
-        F.posexplode("renderers").alias("_pos", "_renderer"),
+    rows = unfold(
+        pages, ["channel_ref", "response_seq", "scraped_at", "_before"], "renderers",
+        "_pos", "_renderer",
     ).withColumn("order", (F.col("_before") + F.col("_pos") + 1).cast("int"))
     if max_videos is not None:
         rows = rows.filter(F.col("order") <= max_videos)

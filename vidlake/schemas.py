@@ -72,7 +72,27 @@ COUNT_HEADER = f"struct<countText:{_COUNT_TEXT},title:{_COUNT_TEXT}>"
 COUNT_TEXT = _COUNT_TEXT
 ENDPOINT = "struct<continuationCommand:struct<token:string>>"
 SORT_MENU = f"struct<subMenuItems:array<struct<serviceEndpoint:{ENDPOINT}>>>"
-ACTION = "struct<targetId:string,continuationItems:array<string>>"
+_ACTION = "struct<targetId:string,continuationItems:array<string>>"
+ACTION = _ACTION
+_ACTIONS = (
+    f"array<struct<reloadContinuationItemsCommand:{_ACTION},"
+    f"appendContinuationItemsAction:{_ACTION}>>"
+)
+#: Actions of a comment response, their items kept as JSON.
+ACTION_BODY = f"struct<onResponseReceivedEndpoints:{_ACTIONS}>"
+#: An item of a comment section or a reply thread, as far as it leads on.
+CONTINUATION_ITEM = (
+    f"struct<continuationItemRenderer:struct<continuationEndpoint:{ENDPOINT},"
+    f"button:struct<buttonRenderer:struct<command:{ENDPOINT}>>>,"
+    "commentThreadRenderer:struct<replies:struct<commentRepliesRenderer:struct<contents:array<"
+    f"struct<continuationItemRenderer:struct<continuationEndpoint:{ENDPOINT}>>>>>>>"
+)
+_NEXT = (
+    "array<struct<appendContinuationItemsAction:struct<continuationItems:"
+    "array<struct<continuationItemRenderer:struct<continuationEndpoint:string>>>>>>"
+)
+#: The continuation items of a later page of videos.
+NEXT_BODY = f"struct<onResponseReceivedEndpoints:{_NEXT},onResponseReceivedActions:{_NEXT}>"
 
 # --- target tables ------------------------------------------------------------------------
 

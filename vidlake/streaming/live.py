@@ -15,6 +15,7 @@ from vidlake.operators.comments import (
     parse_comment_bodies,
     problem,
 )
+from vidlake.operators.unfold import unfold
 
 
 def read_landing(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -34,9 +35,9 @@ def comment_stream(responses: DataFrame, sort_by: int = SORT_RECENT,
     all responses before a row and belong to a batch job on the stream's output.
     """
     rows = parse_comment_bodies(responses, sort_by).filter("server_error is null")
-    rows = rows.select(
-        "channel_ref", "video_id", "sort_by", "response_seq", "fetched_at",
-        F.posexplode("comments").alias("at", "_c"))
+    rows = unfold(
+        rows, ["channel_ref", "video_id", "sort_by", "response_seq", "fetched_at"], "comments",
+        "at", "_c")
     c = F.col("_c")
     return rows.select(
         "channel_ref", "video_id", "sort_by", "response_seq", "at", *comment_record(c),
