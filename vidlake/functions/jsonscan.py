@@ -84,6 +84,15 @@ def _search(body, keys: list[str]) -> list[list[str] | None]:
     return [[json.dumps(v, ensure_ascii=False) for v in values_of(node, key)] for key in keys]
 
 
+def mentions(body: Column, keys: list[str]) -> Column:
+    """Whether one of the names may occur in a body."""
+    # A name may be spelled with escapes; bodies with escaped Latin letters are searched too.
+    hit = body.rlike(r"\\u00[4-7]")
+    for key in reversed(keys):
+        hit = F.contains(body, F.lit(f'"{key}"')) | hit
+    return hit
+
+
 def find_many(body: Column, keys: list[str]) -> Column:
     """A struct with one field per key: JSON texts of all its values, in search order.
 
@@ -96,11 +105,7 @@ def find_many(body: Column, keys: list[str]) -> Column:
         found = [_search(b, keys) for b in bodies]
         return pd.DataFrame({key: [row[i] for row in found] for i, key in enumerate(keys)})
 
-    # A name may be spelled with escapes; bodies with escaped Latin letters are searched too.
-    hit = body.rlike(r"\\u00[4-7]")
-    for key in reversed(keys):
-        hit = F.contains(body, F.lit(f'"{key}"')) | hit
-    return _single(search)(F.when(hit, body))
+    return _single(search)(F.when(mentions(body, keys), body))
 
 
 def count_name(body: Column, key: str) -> Column:

@@ -9,9 +9,9 @@ from vidlake import SOURCE, schemas
 from vidlake.functions.jsonscan import (
     count_name,
     find_many,
-    first_value,
     found,
     json_scalar,
+    mentions,
 )
 from vidlake.functions.refs import strip
 from vidlake.operators.accumulate import accumulate
@@ -52,9 +52,9 @@ def problem(c: Column) -> Column:
     return F.coalesce(*[F.when(v.isNull(), F.lit(f"missing {name}")) for name, v in required])
 
 
-def server_error(body: Column) -> Column:
-    """The error a response reports, NULL if none."""
-    message = F.nullif(json_scalar(first_value(body, ERROR_KEY)), F.lit(""))
+def server_error(value: Column) -> Column:
+    """The failure of a response with the given error message, as JSON; NULL if it is empty."""
+    message = F.nullif(json_scalar(value), F.lit(""))
     return F.concat(F.lit("Error returned from server: "), message)
 
 
@@ -76,17 +76,18 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     deep = (count_name(F.col("body"), COMMENT_KEY) != F.size("_comments")) | (
         count_name(F.col("body"), TOOLBAR_KEY) != F.size("_states")
     )
-    rows = rows.withColumn("_deep", deep).withColumn(
-        "_found", find_many(F.when(F.col("_deep"), F.col("body")), [COMMENT_KEY, TOOLBAR_KEY])
-    ).withColumn("server_error", server_error(F.col("body")))
+    rows = rows.withColumn("_deep", deep)
+    search = F.col("_deep") | mentions(F.col("body"), [ERROR_KEY])
+    rows = rows.withColumn("_found", find_many(
+        F.when(search, F.col("body")), [COMMENT_KEY, TOOLBAR_KEY, ERROR_KEY]))
 
     def in_order(key: str, schema: str) -> Column:
         return F.transform(F.reverse(found(F.col("_found"), key)),
                            lambda v: F.from_json(v, schema))
 
     rows = rows.select(
-        *_KEYS, "response_seq", "fetched_at", "server_error",
-        is_empty(F.col("body")).alias("empty"),
+        *_KEYS, "response_seq", "fetched_at", is_empty(F.col("body")).alias("empty"),
+        server_error(F.get(found(F.col("_found"), ERROR_KEY), F.lit(0))).alias("server_error"),
         F.when(F.col("_deep"), in_order(COMMENT_KEY, schemas.COMMENT_PAYLOAD))
         .otherwise(F.col("_comments")).alias("_comments"),
         F.when(F.col("_deep"), in_order(TOOLBAR_KEY, schemas.TOOLBAR_STATE))

@@ -76,23 +76,24 @@ def videos_json_lines(videos: DataFrame, source: str = SOURCE) -> DataFrame:
     return _document(heads, rows, "channel_key", "last", opening, closing, "order", body)
 
 
-def _write_lines(lines: DataFrame, key: str, path: str) -> None:
+def _write_lines(lines: DataFrame, key: str, path: str) -> int:
+    """Write documents in order of their lines; returns the number of their elements."""
     columns = [F.col(key), F.col("part"), F.col("at")]
+    counted = Observation("elements")
+    # Counted after the exchange: what stands below it also runs for its sample.
     (
         lines.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        .observe(counted, F.count_if(F.col("part") == 1).alias("rows"))
         .select(key, "line")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(key).text(path)
     )
+    return counted.get["rows"]
 
 
 def write_videos_json(videos: DataFrame, path: str, source: str = SOURCE) -> int:
     """Write one indented JSON document per channel; returns the number of videos."""
-    counted = Observation("videos")
-    lines = videos_json_lines(videos, source).observe(
-        counted, F.count_if(F.col("part") == 1).alias("rows"))
-    _write_lines(lines, "channel_key", path)
-    return counted.get["rows"]
+    return _write_lines(videos_json_lines(videos, source), "channel_key", path)
 
 
 def report_lines(report: DataFrame, stats: DataFrame) -> DataFrame:
