@@ -61,6 +61,9 @@ def server_error(value: Column) -> Column:
 def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> DataFrame:
     """One row per comment response in the chosen order, its comments joined to their state.
 
+    `n_comments`, `first_bad` (place of the first incomplete comment from 1, 0 for none) and
+    `first_problem` sum up the comments, so that numbering and errors need not read them.
+
     Comments and toolbar states stand in one body, so their join is a lookup within the row
     (the first state of a key wins) and needs no shuffle. Bodies that hold either of them
     anywhere else than in the declared place are found by counting names, and searched.
@@ -103,9 +106,16 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
             F.get(F.col("_states"), (at - 1).cast("int"))["heartState"].alias("heart_state"),
         )
 
-    return rows.withColumn("_state_keys", keys).select(
+    rows = rows.withColumn("_state_keys", keys).select(
         *_KEYS, "response_seq", "fetched_at", "empty", "server_error",
         F.transform("_comments", joined).alias("comments"),
+    ).withColumn("_problems", F.transform("comments", problem))
+    first = F.array_position(F.transform("_problems", lambda p: p.isNotNull()), True)
+    return rows.select(
+        *[c for c in rows.columns if c != "_problems"],
+        F.size("comments").alias("n_comments"),
+        first.cast("int").alias("first_bad"),
+        F.get(F.filter("_problems", lambda p: p.isNotNull()), F.lit(0)).alias("first_problem"),
     )
 
 
@@ -118,20 +128,21 @@ def number_responses(parsed: DataFrame, strict: bool = False) -> DataFrame:
     stop = F.col("empty") | F.col("server_error").isNotNull()
     cut = F.lit(False)
     if strict:
-        bad = F.array_position(F.transform("comments", lambda c: problem(c).isNotNull()), True)
-        parsed = parsed.withColumn("_bad", bad).withColumn("comments", F.when(
-            F.col("_bad") > 0, F.slice("comments", F.lit(1), F.col("_bad").cast("int") - 1)
+        cut = F.col("first_bad") > 0
+        parsed = parsed.withColumn("comments", F.when(
+            cut, F.slice("comments", F.lit(1), F.col("first_bad") - 1)
         ).otherwise(F.col("comments")))
-        cut = F.col("_bad") > 0
     parsed = parsed.withColumn("_stop", stop.cast("int")).withColumn("_cut", cut.cast("int"))
+    # After a cut nothing follows, so counting the comments it drops moves no number.
     numbered = accumulate(
         parsed, _KEYS, "response_seq",
-        running={"_seen": F.size("comments"), "_stops": F.col("_stop"), "_cuts": F.col("_cut")},
+        running={"_seen": F.col("n_comments"), "_stops": F.col("_stop"),
+                 "_cuts": F.col("_cut")},
         whole={"scraped_at": ("min", F.col("fetched_at"))},
     )
     return numbered.filter("_stops = 0 and _cuts = _cut").select(
         *_KEYS, "response_seq", "scraped_at", "comments",
-        (F.col("_seen") - F.size("comments")).alias("before"),
+        (F.col("_seen") - F.col("n_comments")).alias("before"),
     )
 
 
@@ -195,11 +206,10 @@ def of_videos(numbered: DataFrame, videos: DataFrame) -> DataFrame:
 def video_errors(parsed: DataFrame) -> DataFrame:
     """The first failure of each video before its chain ends: a server error or an incomplete
     comment."""
-    first_bad = F.get(F.filter(F.transform("comments", problem), lambda p: p.isNotNull()),
-                      F.lit(0))
     seq = F.col("response_seq")
     rows = parsed.select(
-        *_KEYS, "response_seq", "empty", F.coalesce("server_error", first_bad).alias("error")
+        *_KEYS, "response_seq", "empty",
+        F.coalesce("server_error", "first_problem").alias("error")
     ).filter("empty or error is not null")
     failed = F.col("error").isNotNull()
     return (

@@ -57,7 +57,7 @@ def channel_responses(pages: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def parse_video_bodies(bodies: DataFrame) -> DataFrame:
-    """One row per body with its video renderers in order and whether it is empty.
+    """One row per body: its video renderers in order, their number, whether it is empty.
 
     Every body is parsed once against a declared schema that knows the first page and both
     layouts of later ones. Only a body of neither later layout whose ordered parse yields
@@ -83,7 +83,7 @@ def parse_video_bodies(bodies: DataFrame) -> DataFrame:
         *rest,
         is_empty(F.col("body")).alias("empty"),
         F.when(search, _ids_only(deep)).otherwise(F.col("_ordered")).alias("renderers"),
-    )
+    ).withColumn("n_videos", F.size("renderers"))
 
 
 def _text(*choices: Column) -> Column:
@@ -130,17 +130,17 @@ def videos(parsed: DataFrame, max_videos: int | None = None,
     """Videos of every channel in page order, numbered from 1, optionally the first N only.
 
     `parsed` comes from `parse_video_bodies`. Numbers are sums of page sizes plus the place on
-    the page, so pages, not videos, are shuffled, and pages beyond the limit are dropped before
-    they are unfolded. An empty body ends its channel. Videos without an owner take the
+    the page, so pages, not videos, are shuffled, the sums read a few small columns only, and
+    pages beyond the limit are dropped before they are unfolded. An empty body ends its channel. Videos without an owner take the
     channel's reference on all pages but the first, or on all with `fill_first_page`.
     """
     if max_videos is not None and max_videos < 1:
         raise ValueError("max_videos must be at least 1")
     pages = accumulate(
         parsed, ["channel_ref"], "response_seq",
-        running={"_seen": F.size("renderers"), "_ended": F.col("empty").cast("int")},
+        running={"_seen": F.col("n_videos"), "_ended": F.col("empty").cast("int")},
         whole={"scraped_at": ("max", F.col("fetched_at"))},
-    ).filter("_ended = 0").withColumn("_before", F.col("_seen") - F.size("renderers"))
+    ).filter("_ended = 0").withColumn("_before", F.col("_seen") - F.col("n_videos"))
     if max_videos is not None:
         pages = pages.filter(F.col("_before") < max_videos)
     rows = unfold(
