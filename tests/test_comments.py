@@ -136,6 +136,13 @@ def test_other_order_is_left_out(spark):
         assert cids(C.comments(C.number_responses(parsed))) == {"v": [cid]}
 
 
+def test_order_that_is_not_said_is_recent(spark):
+    unsaid = responses(spark, [("v", 0, body(comment("a"), bar()))], sort_by=None)
+    for sort_by, want in ((C.SORT_POPULAR, {}), (C.SORT_RECENT, {"v": ["a"]})):
+        parsed = C.parse_comment_bodies(unsaid, sort_by)
+        assert cids(C.comments(C.number_responses(parsed))) == want
+
+
 def page_rows(spark, pages, retry=None):
     data = [("@c", f"v{i:02d}", json.dumps(p), retry and json.dumps(retry[i]))
             for i, p in enumerate(pages)]

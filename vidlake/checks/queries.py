@@ -349,8 +349,8 @@ def comments_popular(spark, sf_dir):
 
 @query
 def comments_of_videos(spark, sf_dir):
-    numbered = com.of_videos(
-        com.number_responses(_parsed(spark, sf_dir)), cap.known_talks(spark, sf_dir))
+    numbered = com.number_responses(
+        _parsed(spark, sf_dir), videos=cap.known_talks(spark, sf_dir))
     return com.comments(numbered).select("channel_ref", "video_id", "order", "pos", "cid")
 
 
@@ -507,8 +507,8 @@ def csv_cells(spark, sf_dir):
 
 def _exported(spark: SparkSession, sf_dir: str, fmt: str) -> str:
     path = new_path(spark, f"comments-{fmt}")
-    numbered = com.of_videos(
-        com.number_responses(_parsed(spark, sf_dir)), cap.known_talks(spark, sf_dir))
+    numbered = com.number_responses(
+        _parsed(spark, sf_dir), videos=cap.known_talks(spark, sf_dir))
     export_comments(com.comments(numbered), fmt, path)
     return path
 

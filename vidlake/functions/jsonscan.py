@@ -10,7 +10,7 @@ import json
 import re
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,9 +53,11 @@ def balanced_object(text: str, opening: re.Pattern) -> str | None:
 def balanced_object_column(text: Column, opening: str) -> Column:
     pattern = re.compile(opening)
 
-    @F.pandas_udf("string")
-    def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: balanced_object(t, pattern) if isinstance(t, str) else None)
+    @F.arrow_udf("string")
+    def scan(texts: pa.Array) -> pa.Array:
+        return pa.array(
+            [None if t is None else balanced_object(t, pattern) for t in texts.to_pylist()],
+            pa.string())
 
     return _single(scan)(text)
 
@@ -74,8 +76,8 @@ def values_of(node, key: str):
         yield from values_of(child, key)
 
 
-def _search(body, keys: list[str]) -> list[list[str] | None]:
-    if not isinstance(body, str):
+def _search(body: str | None, keys: list[str]) -> list[list[str] | None]:
+    if body is None:
         return [None] * len(keys)
     try:
         node = json.loads(body)
@@ -100,10 +102,12 @@ def find_many(body: Column, keys: list[str]) -> Column:
     """
     fields = ", ".join(f"{key} array<string>" for key in keys)
 
-    @F.pandas_udf(fields)
-    def search(bodies: pd.Series) -> pd.DataFrame:
-        found = [_search(b, keys) for b in bodies]
-        return pd.DataFrame({key: [row[i] for row in found] for i, key in enumerate(keys)})
+    @F.arrow_udf(fields)
+    def search(bodies: pa.Array) -> pa.Array:
+        rows = [_search(b, keys) for b in bodies.to_pylist()]
+        columns = [pa.array(c, pa.list_(pa.string())) for c in zip(*rows)] if rows else [
+            pa.array([], pa.list_(pa.string())) for _ in keys]
+        return pa.StructArray.from_arrays(columns, names=keys)
 
     return _single(search)(F.when(mentions(body, keys), body))
 

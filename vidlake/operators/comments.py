@@ -61,6 +61,8 @@ def server_error(value: Column) -> Column:
 def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> DataFrame:
     """One row per comment response in the chosen order, its comments joined to their state.
 
+    Responses that do not say their order are taken as recent, the order asked for by default.
+
     `n_comments`, `first_bad` (place of the first incomplete comment from 1, 0 for none) and
     `first_problem` sum up the comments, so that numbering and errors need not read them.
 
@@ -68,8 +70,11 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     (the first state of a key wins) and needs no shuffle. Bodies that hold either of them
     anywhere else than in the declared place are found by counting names, and searched.
     """
-    rows = responses.filter((F.col("kind") == "comments") & (F.col("sort_by") == sort_by))
-    rows = rows.withColumn("_doc", F.from_json("body", schemas.COMMENT_BODY))
+    chosen = F.col("sort_by") == sort_by
+    if sort_by == SORT_RECENT:
+        chosen = chosen | F.col("sort_by").isNull()
+    rows = responses.filter((F.col("kind") == "comments") & chosen)
+    rows = rows.withColumn("sort_by", F.lit(sort_by)).withColumn("_doc", F.from_json("body", schemas.COMMENT_BODY))
     mutations = F.col("_doc.frameworkUpdates.entityBatchUpdate.mutations")
     rows = rows.select(
         *_KEYS, "response_seq", "fetched_at", "body",
@@ -119,9 +124,14 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     )
 
 
-def number_responses(parsed: DataFrame, strict: bool = False) -> DataFrame:
+def number_responses(parsed: DataFrame, strict: bool = False,
+                     videos: DataFrame | None = None) -> DataFrame:
     """Responses that count, with the number of comments before each in its video.
 
+    With `videos`, only responses of those are kept and carry the video's number as `order`.
+    The videos are joined to sums over thousands of responses, never to the comments, so the
+    join adds no shuffle of them.
+
     A video's chain ends at its first empty body or server error. With `strict` it also ends
     at its first incomplete comment, which is dropped along with all after it.
     """
@@ -139,9 +149,10 @@ def number_responses(parsed: DataFrame, strict: bool = False) -> DataFrame:
         running={"_seen": F.col("n_comments"), "_stops": F.col("_stop"),
                  "_cuts": F.col("_cut")},
         whole={"scraped_at": ("min", F.col("fetched_at"))},
+        lookup=None if videos is None else videos.select("channel_ref", "video_id", "order"),
     )
     return numbered.filter("_stops = 0 and _cuts = _cut").select(
-        *_KEYS, "response_seq", "scraped_at", "comments",
+        *_KEYS, *([] if videos is None else ["order"]), "response_seq", "scraped_at", "comments",
         (F.col("_seen") - F.col("n_comments")).alias("before"),
     )
 
@@ -172,8 +183,7 @@ def comments(numbered: DataFrame, per_video_limit: int | None = None,
              source: str = SOURCE) -> DataFrame:
     """Comments in the order they were received, `pos` counting from 1 within their video.
 
-    `numbered` comes from `number_responses`, if wished after a join with the videos; its other
-    columns are kept. With a limit, responses beyond it are dropped before they are unfolded.
+    `numbered` comes from `number_responses`; its other columns are kept. With a limit, responses beyond it are dropped before they are unfolded.
     """
     if per_video_limit is not None and per_video_limit < 1:
         raise ValueError("per_video_limit must be at least 1")
@@ -192,17 +202,6 @@ def comments(numbered: DataFrame, per_video_limit: int | None = None,
     )
 
 
-def of_videos(numbered: DataFrame, videos: DataFrame) -> DataFrame:
-    """Numbered responses of known videos, with the video's number as `order`.
-
-    Joined before the comments are unfolded, so the larger side has a row per response. The
-    side of the videos is broadcast only if Spark measures it to be small; otherwise both are
-    shuffled and a video with very many responses is split by the adaptive skew join.
-    """
-    known = videos.select("channel_ref", "video_id", "order")
-    return numbered.join(known, ["channel_ref", "video_id"])
-
-
 def video_errors(parsed: DataFrame) -> DataFrame:
     """The first failure of each video before its chain ends: a server error or an incomplete
     comment."""

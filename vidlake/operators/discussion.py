@@ -120,17 +120,18 @@ def video_facts(pages: DataFrame, sort_by: int, retry: str | None = None) -> Dat
 def comment_totals(facts: DataFrame, responses: DataFrame) -> DataFrame:
     """Announced number of comments per video: the page's, else the first response's.
 
-    `facts` comes from `video_facts`; `responses` are comment responses, of which only each
-    video's first is searched, and only where the page is silent.
+    `facts` comes from `video_facts`; `responses` are comment responses. Bodies are searched
+    where they are read and never shuffled: the latest place at which any chain begins, one
+    number found from the narrow columns, is pushed to the scan as a filter, and only counts
+    meet the pages.
     """
     keys = ["channel_ref", "video_id"]
     of_page = facts.groupBy(*keys).agg(F.max("page_total").alias("page_total"))
-    silent = of_page.filter("page_total is null").select(*keys)
-    first = responses.groupBy(*keys).agg(F.min("response_seq").alias("response_seq"))
-    wanted = first.join(silent, keys)
-    of_first = add_comment_count(
-        responses.join(wanted, [*keys, "response_seq"], "left_semi"), "body", "total"
-    ).groupBy(*keys).agg(F.max("total").alias("response_total"))
+    begins = responses.groupBy(*keys).agg(F.min("response_seq").alias("first"))
+    latest = begins.agg(F.max("first")).first()[0]
+    early = responses.filter(F.col("response_seq") <= (0 if latest is None else latest))
+    of_first = add_comment_count(early, "body", "total").groupBy(*keys).agg(
+        F.min_by("total", "response_seq").alias("response_total"))
     return of_page.join(of_first, keys, "left").select(
         *keys, F.coalesce("page_total", "response_total").alias("total_count")
     )

@@ -46,6 +46,6 @@ def channel_tables(
     """
     videos = stage(video_table(pages, responses, max_videos), "videos")
     parsed = comment_responses(responses, sort_by)
-    numbered = C.of_videos(C.number_responses(parsed, strict), videos)
+    numbered = C.number_responses(parsed, strict, videos)
     return ChannelTables(
         videos, C.comments(numbered, per_video_limit, source), C.video_errors(parsed))

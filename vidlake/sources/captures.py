@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidlake import schemas
-from vidlake.operators.accumulate import accumulate
 from vidlake.operators.nested import is_empty
+from vidlake.session import stage
 
 
 def _read(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
@@ -34,8 +34,13 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def until_empty(responses: DataFrame, keys: list[str], seq: str = "response_seq") -> DataFrame:
-    """Responses of each chain before its first empty body."""
-    marked = responses.withColumn("_empty", is_empty(F.col("body")).cast("int"))
-    return accumulate(marked, keys, seq, {"_empties": F.col("_empty")}).filter(
-        "_empties = 0"
-    ).drop("_empty", "_empties")
+    """Responses of each chain before its first empty body.
+
+    The ends of chains are found first and staged: Spark then knows their size and broadcasts
+    them if they are few, so that bodies are not shuffled.
+    """
+    ends = stage(
+        responses.filter(is_empty(F.col("body"))).groupBy(*keys).agg(F.min(seq).alias("_end")),
+        "chain-ends")
+    kept = F.col("_end").isNull() | (F.col(seq) < F.col("_end"))
+    return responses.join(ends, keys, "left").filter(kept).select(*responses.columns)
