@@ -220,8 +220,9 @@ def test_whole_job(spark):
         "richGridRenderer": {"contents": [
             {"richItemRenderer": {"content": {"videoRenderer": {"videoId": v}}}}
             for v in ("v", "w", "x")]}}}}]}}}
-    html = f"var ytInitialData = {json.dumps(page)};</script>"
-    pages = spark.createDataFrame([("@c", None, "u", html, T0)], PAGE_CAPTURES)
+    html = f"ytcfg.set({{}}); var ytInitialData = {json.dumps(page)};</script>"
+    pages = spark.createDataFrame(
+        [("@c", None, "u", html, T0), ("@d", None, "u", "", T0)], PAGE_CAPTURES)
     caps = responses(spark, [
         ("v", 0, body(comment("a"), comment("b"), bar())), ("w", 0, body(comment("c"), bar())),
         ("unlisted", 0, body(comment("d"), bar())), ("x", 0, {"externalErrorMessage": "e"})])
@@ -229,5 +230,6 @@ def test_whole_job(spark):
     assert [r.video_id for r in tables.videos.orderBy("order").collect()] == ["v", "w"]
     got = tables.comments.select("order", "video_id", "pos", "cid").orderBy("order").collect()
     assert [tuple(r) for r in got] == [(1, "v", 1, "a"), (2, "w", 1, "c")]
-    assert [r.video_id for r in tables.errors.collect()] == ["x"]
+    assert {tuple(r) for r in tables.errors.collect()} == {
+        ("@c", "x", "Error returned from server: e"), ("@d", None, "Failed to extract ytcfg")}
     assert "vidlake" in tables.comments.select(F.first("source")).first()[0]

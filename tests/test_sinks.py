@@ -101,6 +101,8 @@ def test_folder_per_video(spark, tmp_path):
     assert not files(path, "a", "json")
     sizes = {r.channel_key: r.bytes for r in stats.file_sizes(spark, path).collect()}
     assert sizes == {"b_c": os.path.getsize(files(path, "b_c", "json")[0])}
+    (row,) = stats.file_sizes(spark, path, per_video=True).collect()
+    assert (row.channel_key, row.video_key) == ("b_c", "video_key=12345_w.jsonl"[10:])
 
 
 def test_empty_export_keeps_its_schema(spark, tmp_path):
@@ -154,6 +156,19 @@ def test_videos_document(spark, tmp_path):
         {k: whole[k] for k in keys}, indent=2, ensure_ascii=False)
 
 
+def test_document_of_a_channel_without_videos(spark, tmp_path):
+    path = str(tmp_path / "out")
+    listed = spark.createDataFrame(
+        [("@none", T0), ("@b", T0)], "channel_ref string, scraped_at timestamp")
+    assert sinks.write_videos_json(videos(spark, VIDEOS[-1:]), path, "s", listed) == 1
+    _, text = document(path, "channel_key=none")
+    want = {"channel_id": "@none", "total_videos": 0, "videos": [],
+            "scraped_at": "2025-01-05T12:34:56+00:00", "source": "s"}
+    assert text.rstrip("\n") == json.dumps(want, indent=2)
+    _, text = document(path, "channel_key=b")
+    assert json.loads(text)["total_videos"] == 1
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_videos_table(spark, tmp_path, fmt):
     path = str(tmp_path / "out")
@@ -189,6 +204,7 @@ def test_batch_folder(spark, tmp_path):
         {"channel": "@b", "status": "failed", "error": "boom"}]
     assert text.rstrip("\n") == json.dumps(doc, indent=2, ensure_ascii=False)
     _, lone = document(os.path.join(path, "report"), "run_id=unstarted")
+    assert lone.rstrip("\n") == json.dumps(json.loads(lone), indent=2, ensure_ascii=False)
     assert json.loads(lone)["stats"] == []
     _, errors = document(os.path.join(path, "errors"), "run_id=r")
     assert errors == "2025-01-05T12:01:31.500000+00:00 | @b | boom\n"

@@ -49,9 +49,9 @@ def test_batch_report(spark):
     listed, log, rows = tables(spark)
     report = {r.run_id: tuple(r)[1:] for r in stats.batch_report(listed, log, rows).collect()}
     assert report == {
-        "r": (at(0), at(102), 6, 3, 1, 6, 10, 3.0, 102.0),
-        "q": (at(0), at(1), 1, 1, 0, 3, 5, 1.5, 1.0),
-        "unstarted": (None, None, 1, 0, 0, 0, 0, 0.0, 0.0),
+        "r": ("2025-01-05_12-00-00", at(0), at(102), 6, 3, 1, 6, 10, 3.0, 102.0),
+        "q": ("2025-01-05_12-00-00", at(0), at(1), 1, 1, 0, 3, 5, 1.5, 1.0),
+        "unstarted": (None, None, None, 1, 0, 0, 0, 0, 0.0, 0.0),
     }
     shown = {r.idx: tuple(r)[3:] for r in
              stats.reported_channels(rows).filter("run_id = 'r'").collect()}

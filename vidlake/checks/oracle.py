@@ -287,6 +287,11 @@ _ORACLE = {
           CASE WHEN page_id % 9 <> 8 THEN CAST(length(html) AS INTEGER) END AS copied,
           CASE WHEN page_id % 9 = 8 THEN 'Failed to extract ytInitialData' END AS data_error
         FROM pages""",
+    "page_errors_listed": """
+        SELECT page_id, CASE WHEN page_id % 8 = 7 THEN 'Failed to extract ytcfg'
+          WHEN page_id % 4 = 2 THEN 'Failed to parse ytcfg JSON'
+          ELSE 'Failed to extract ytInitialData' END AS error
+        FROM pages WHERE page_id % 8 = 7 OR page_id % 4 = 2 OR page_id % 9 = 8""",
     "deep_search": """
         SELECT c_nationkey, CAST(c_custkey // 2000 AS INTEGER) AS part,
           CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // 2000
@@ -368,14 +373,16 @@ _ORACLE = {
               AS found FROM ({_TALKS}))""",
     "channel_stats": f"SELECT * EXCLUDE (bytes) FROM ({_STATS})",
     "batch_report": f"""
-        SELECT run_id, count(*) AS channels_total,
+        SELECT run_id, any_value(folder) AS folder, count(*) AS channels_total,
           count(*) FILTER (status = 'ok') AS channels_ok,
           count(*) FILTER (status = 'failed') AS channels_failed,
           CAST(sum(videos) AS BIGINT) AS total_videos,
           CAST(sum(comments) AS BIGINT) AS total_comments,
           CAST(printf('%.2f', sum(bytes_mb)) AS DOUBLE) AS total_bytes_mb,
           CAST(printf('%.1f', any_value(span)) AS DOUBLE) AS total_duration_sec
-        FROM ({_STATS}) JOIN (SELECT run_id, max(finished) - min(started) AS span
+        FROM ({_STATS}) JOIN (SELECT run_id, max(finished) - min(started) AS span,
+                                strftime(TIMESTAMP '2025-01-01' + to_seconds(min(started)),
+                                         '%Y-%m-%d_%H-%M-%S') AS folder
                               FROM ({_RUN_LOG}) GROUP BY 1) USING (run_id)
         GROUP BY 1""",
     "report_channels": f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidlake.checks import captures as cap
@@ -26,7 +26,7 @@ from vidlake.functions import (
 from vidlake.operators import comments as com
 from vidlake.operators import discussion, nested, progress, stats
 from vidlake.operators import videos as vid
-from vidlake.operators.embedded import extract_config, extract_data
+from vidlake.operators.embedded import extract_config, extract_data, page_errors
 from vidlake.plans.channels import comment_responses, video_table
 from vidlake.schemas import COMMENT_FIELDS, VIDEO_FIELDS
 from vidlake.session import new_path, stage
@@ -237,8 +237,7 @@ def embedded_config_robust(spark, sf_dir):
     return _config_fields(extract_config(_config_pages(spark, sf_dir), robust=True))
 
 
-@query
-def embedded_data(spark, sf_dir):
+def _data_script() -> Column:
     n = F.col("page_id")
     data = F.to_json(F.struct(F.col("url").alias("url"), F.col("html").alias("copy")))
     opening = F.when(n % 2 == 0, F.lit("var ytInitialData = ")).otherwise(
@@ -247,15 +246,27 @@ def embedded_data(spark, sf_dir):
         F.when(n % 4 == 0, F.lit(";</script>")).when(n % 4 == 1, F.lit(" ;\n"))
         .when(n % 4 == 2, F.lit("; var meta = 1")).otherwise(F.lit(" // the end"))
     )
+    return F.when(n % 9 != 8, F.concat(F.lit("<script>"), opening, data, ending)).otherwise(
+        F.lit(""))
+
+
+@query
+def embedded_data(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.when(n % 9 != 8, F.concat("html", F.lit("<script>"), opening, data, ending))
-        .otherwise(F.col("html")).alias("html"))
+        "page_id", F.concat("html", _data_script()).alias("html"))
     return extract_data(pages).select(
         "page_id", F.get_json_object("data", "$.url").alias("url"),
         F.length(F.get_json_object("data", "$.copy")).alias("copied"), "data_error")
 
 
+@query
+def page_errors_listed(spark, sf_dir):
+    scripts = table(spark, sf_dir, "pages").select("page_id", _data_script().alias("script"))
+    pages = _config_pages(spark, sf_dir).join(scripts, "page_id").select(
+        "page_id", F.concat("script", F.lit("\n"), "html").alias("html"))
+    return page_errors(pages)
+
+
 @query
 def deep_search(spark, sf_dir):
     return nested.search_key(cap.customer_bodies(spark, sf_dir), "body", "name")

@@ -105,6 +105,12 @@ def format_duration(seconds: Column) -> Column:
     )
 
 
+def batch_folder(started: Column) -> Column:
+    """Name of a batch's folder: its start in UTC, to the second."""
+    return F.date_format(
+        F.to_utc_timestamp(started, F.current_timezone()), "yyyy-MM-dd_HH-mm-ss")
+
+
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text in UTC; the fraction is left out when it is zero."""
     utc = F.to_utc_timestamp(ts, F.current_timezone())

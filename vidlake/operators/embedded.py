@@ -57,6 +57,15 @@ def extract_config(df: DataFrame, html: str = "html", out: str = "config",
     return _extract(df, html, out, CONFIG, CONFIG_OBJECT, CONFIG_OPENING, robust)
 
 
+def page_errors(pages: DataFrame) -> DataFrame:
+    """Pages that cannot be used, with the reason: settings are looked for first, then data."""
+    rest = [c for c in pages.columns if c != "html"]
+    both = extract_data(extract_config(pages))
+    return both.select(
+        *rest, F.coalesce("config_error", "data_error").alias("error")
+    ).filter("error is not null")
+
+
 def extract_data(df: DataFrame, html: str = "html", out: str = "data",
                  robust: bool = False) -> DataFrame:
     """Add the page's data as JSON text and, where that fails, the error; see `extract_config`."""

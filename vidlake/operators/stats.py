@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidlake.functions.human import (
+    batch_folder,
     format_bytes,
     format_duration,
     format_number,
@@ -23,12 +24,18 @@ def comments_per_video(comments: DataFrame) -> DataFrame:
     return comments.groupBy("channel_ref", "video_id").agg(F.count("*").alias("comments"))
 
 
-def file_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """Bytes per exported channel, from the files' listing; contents are not read."""
+def file_sizes(spark: SparkSession, path: str, per_video: bool = False) -> DataFrame:
+    """Bytes per exported channel, or per video of an export with a folder for each.
+
+    Taken from the files' listing; contents are not read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    key = F.regexp_extract("path", r"channel_key=([^/]*)/", 1)
-    return files.select("length", key.alias("channel_key")).groupBy("channel_key").agg(
-        F.sum("length").alias("bytes"))
+    keys = ["channel_key", "video_key"] if per_video else ["channel_key"]
+    return (
+        files.select("length", *[
+            F.regexp_extract("path", f"{key}=([^/]*)/", 1).alias(key) for key in keys])
+        .groupBy(*keys).agg(F.sum("length").alias("bytes"))
+    )
 
 
 def _seconds(start: Column, end: Column) -> Column:
@@ -82,7 +89,8 @@ def batch_report(channel_list: DataFrame, run_log: DataFrame, stats: DataFrame)
         F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"))
     listed = channel_list.groupBy("run_id").agg(F.count("*").alias("channels_total"))
     return listed.join(span, "run_id", "left").join(totals, "run_id", "left").select(
-        "run_id", "started_at", "finished_at", "channels_total",
+        "run_id", batch_folder(F.col("started_at")).alias("folder"), "started_at", "finished_at",
+        "channels_total",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in
           ("channels_ok", "channels_failed", "total_videos", "total_comments")],
         round_exact(F.coalesce("_mb", F.lit(0.0)), 2).alias("total_bytes_mb"),

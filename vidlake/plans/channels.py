@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from vidlake import SOURCE
 from vidlake.operators import comments as C
 from vidlake.operators import videos as V
+from vidlake.operators.embedded import page_errors
 from vidlake.session import stage
 
 
 class ChannelTables(NamedTuple):
     videos: DataFrame
     comments: DataFrame
+    #: Failures: of channels and videos by their pages, of videos by their responses.
     errors: DataFrame
 
 
@@ -39,13 +41,16 @@ def channel_tables(
     strict: bool = False,
     source: str = SOURCE,
 ) -> ChannelTables:
-    """Videos, the comments of those videos, and the failures of videos.
+    """Videos, the comments of those videos, and what failed.
 
-    Raw bodies are read once. What is shuffled are parsed pages, by ranges of their channel or
+    A page whose data can be read yields its videos even if its settings cannot, since nothing
+    is requested with them; the failure is listed all the same. Raw bodies are read once. What is shuffled are parsed pages, by ranges of their channel or
     video; records are unfolded last.
     """
     videos = stage(video_table(pages, responses, max_videos), "videos")
     parsed = comment_responses(responses, sort_by)
     numbered = C.number_responses(parsed, strict, videos)
-    return ChannelTables(
-        videos, C.comments(numbered, per_video_limit, source), C.video_errors(parsed))
+    failed = ["channel_ref", "video_id", "error"]
+    errors = page_errors(pages).select(*failed).unionByName(
+        C.video_errors(parsed).select(*failed))
+    return ChannelTables(videos, C.comments(numbered, per_video_limit, source), errors)

@@ -53,25 +53,44 @@ def _document(heads: DataFrame, elements: DataFrame, key: str, size: str, openin
             F.struct(F.lit(2).alias("part"), closing.alias("line")),
         )).alias("_x")
     ).select(key, "_x.part", F.lit(0).cast("bigint").alias("at"), "_x.line")
+    head = head.filter("line is not null")
     lines = elements.join(heads.select(key, F.col(size).alias("_size")), key).select(
         key, F.lit(1).alias("part"), F.col(at).cast("bigint").alias("at"), body.alias("line"))
     return head.unionByName(lines)
 
 
-def videos_json_lines(videos: DataFrame, source: str = SOURCE) -> DataFrame:
-    """The videos document of every channel as `(channel_key, part, at, line)`."""
+def _around(members: Column, name: str, size: Column, rest: Column | None) -> tuple:
+    """Opening and closing of a document whose list `name` stands last or before `rest`."""
+    empty = F.coalesce(size, F.lit(0)) == 0
+    tail = F.lit("\n}") if rest is None else F.concat(F.lit(",\n"), rest, F.lit("\n}"))
+    opening = F.concat(F.lit("{\n"), members, F.lit(f',\n  "{name}": ['),
+                       F.when(empty, F.concat(F.lit("]"), tail)).otherwise(F.lit("")))
+    closing = F.when(~empty, F.concat(F.lit("  ]"), tail))
+    return opening, closing
+
+
+def videos_json_lines(videos: DataFrame, source: str = SOURCE,
+                      channels: DataFrame | None = None) -> DataFrame:
+    """The videos document of every channel as `(channel_key, part, at, line)`.
+
+    `channels` lists channels by `channel_ref` and `scraped_at` that get a document even if
+    they have no video.
+    """
     rows = videos.withColumn("channel_key", F.coalesce(safe_name(F.col("channel_ref")), F.lit("")))
     heads = rows.groupBy("channel_key").agg(
         F.count("*").alias("total"), F.max("channel_ref").alias("channel_ref"),
         F.max("scraped_at").alias("scraped_at"), F.max("order").alias("last"))
-    opening = F.concat(
-        F.lit("{\n"),
+    if channels is not None:
+        listed = channels.groupBy("channel_ref").agg(F.max("scraped_at").alias("_at"))
+        heads = listed.join(heads, "channel_ref", "full_outer").select(
+            F.coalesce("channel_key", safe_name(F.col("channel_ref")), F.lit(""))
+            .alias("channel_key"), "channel_ref",
+            F.coalesce("total", F.lit(0)).alias("total"),
+            F.coalesce("scraped_at", "_at").alias("scraped_at"), "last")
+    opening, closing = _around(
         _members([("channel_id", F.col("channel_ref")), ("total_videos", F.col("total"))], 2),
-        F.lit(',\n  "videos": ['))
-    closing = F.concat(
-        F.lit("  ],\n"),
-        _members([("scraped_at", iso_utc(F.col("scraped_at"))), ("source", F.lit(source))], 2),
-        F.lit("\n}"))
+        "videos", F.col("total"),
+        _members([("scraped_at", iso_utc(F.col("scraped_at"))), ("source", F.lit(source))], 2))
     body = _element([(c, F.col(c)) for c in VIDEO_FIELDS], F.col("order") == F.col("_size"))
     return _document(heads, rows, "channel_key", "last", opening, closing, "order", body)
 
@@ -91,9 +110,10 @@ def _write_lines(lines: DataFrame, key: str, path: str) -> int:
     return counted.get["rows"]
 
 
-def write_videos_json(videos: DataFrame, path: str, source: str = SOURCE) -> int:
+def write_videos_json(videos: DataFrame, path: str, source: str = SOURCE,
+                      channels: DataFrame | None = None) -> int:
     """Write one indented JSON document per channel; returns the number of videos."""
-    return _write_lines(videos_json_lines(videos, source), "channel_key", path)
+    return _write_lines(videos_json_lines(videos, source, channels), "channel_key", path)
 
 
 def report_lines(report: DataFrame, stats: DataFrame) -> DataFrame:
@@ -104,12 +124,12 @@ def report_lines(report: DataFrame, stats: DataFrame) -> DataFrame:
     ).withColumn("run_id", F.coalesce("run_id", F.lit("")))
     figures = ["channels_total", "channels_ok", "channels_failed", "total_videos",
                "total_comments", "total_bytes_mb", "total_duration_sec"]
-    opening = F.concat(F.lit("{\n"), _members(
+    opening, closing = _around(_members(
         [("started_at", iso_utc(F.col("started_at"))),
          ("finished_at", iso_utc(F.col("finished_at")))]
-        + [(c, F.col(c)) for c in figures], 2), F.lit(',\n  "stats": ['))
+        + [(c, F.col(c)) for c in figures], 2), "stats", F.col("last"), None)
     body = _element([(c, F.col(c)) for c in _STATS], F.col("idx") == F.col("_size"), True)
-    return _document(heads, channels, "run_id", "last", opening, F.lit("  ]\n}"), "idx", body)
+    return _document(heads, channels, "run_id", "last", opening, closing, "idx", body)
 
 
 def write_report(channel_list: DataFrame, run_log: DataFrame, report: DataFrame,
