@@ -52,7 +52,9 @@ def cids(df):
 
 def table(spark, rows, strict=False, **options):
     parsed = C.parse_comment_bodies(responses(spark, rows))
-    return C.comments(C.number_responses(parsed, strict), **options)
+    numbered = C.number_responses(
+        parsed, strict, per_video_limit=options.get("per_video_limit"))
+    return C.comments(numbered, **options)
 
 
 def test_fields_and_states(spark):

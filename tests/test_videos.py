@@ -4,10 +4,12 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vidlake.operators.videos import channel_responses, parse_video_bodies, videos
 from vidlake.plans.channels import video_table
 from vidlake.schemas import PAGE_CAPTURES, RESPONSE_CAPTURES, VIDEO_FIELDS
+from vidlake.session import staged
 
 T0 = dt.datetime(2025, 1, 5, 12, 0, 0)
 
@@ -130,8 +132,26 @@ def test_from_captures(spark):
     assert ids(video_table(pages, responses)) == {"@x": [(1, "a"), (2, "b")]}
 
 
-def test_limit_is_applied_before_unfolding(spark):
-    parsed = bodies(spark, [("a", 0, tabs(grid([item("v")])))])
-    plan = videos(parsed, 5)._jdf.queryExecution().optimizedPlan().toString()
-    above, below = plan.split("posexplode", 1)
-    assert "_before" in below and "< 5" in below
+def test_latest_capture_of_a_response_counts(spark):
+    rows = [("@c", 0, tabs(grid([item("old"), item("old2")])))] * 500
+    first = bodies(spark, rows).withColumn("fetched_at", F.lit(T0) - F.expr("interval 1 day"))
+    second = bodies(spark, [("@c", 0, tabs(grid([item("new")])))] * 300)
+    later_page = bodies(spark, [("@c", 1, later([item("b")]))] * 2)
+    parsed = first.unionByName(second).unionByName(later_page).repartition(3)
+    assert ids(videos(parsed)) == {"@c": [(1, "new"), (2, "b")]}
+    assert ids(videos(parsed, 1)) == {"@c": [(1, "new")]}
+
+
+def test_pages_are_picked_by_their_row(spark):
+    """Wide rows are neither sorted nor shuffled by channel."""
+    parsed = staged(bodies(spark, [("a", 0, tabs(grid([item("v")])))]), "pages")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = videos(parsed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "renderers" in line and "FileScan" in line)
+    above = [line for line in lines[:scan] if "Exchange" in line]
+    assert "hashpartitioning(row_id" in above[-1]
+    assert "Window" not in lines[scan - 1] + lines[scan - 2] + lines[scan - 3]

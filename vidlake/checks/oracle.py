@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vidlake import SOURCE
+
 _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 
 
@@ -120,13 +122,13 @@ _KEPT = """
     WHERE NOT (conv_id % 9 = 4 AND turn >= 3) AND NOT (conv_id % 11 = 7 AND turn >= 6)"""
 
 
-def _exported(ext: str) -> str:
+def _exported(ext: str, more: str = "") -> str:
     return f"""
     SELECT 'talk' || (conv_id % 5) AS channel_key,
       printf('%04d', conv_id // 5 + 1) || '_c' || conv_id || '.{ext}' AS file_name,
       {_CID} AS cid, text, length(text)::VARCHAR AS text_length, {_VOTES} AS votes,
       (turn % 4)::VARCHAR AS replies, ({_HEART})::VARCHAR AS heart,
-      (turn % 2 = 1)::VARCHAR AS reply, '2023-11-14T22:13:20+00:00' AS scraped_at
+      (turn % 2 = 1)::VARCHAR AS reply, '2023-11-14T22:13:20+00:00' AS scraped_at{more}
     FROM ({_KEPT}) WHERE conv_id % 4 <> 3"""
 
 
@@ -453,6 +455,15 @@ _ORACLE = {
     "export_json": _exported("jsonl"),
     "export_csv": _exported("csv"),
     "export_parquet": _exported("parquet"),
+    "export_sizes": f"""
+        SELECT channel_key, CAST(sum(strlen('{{"cid":"' || cid || '","text":' || to_json(text)
+            || ',"text_length":' || text_length || ',"time":"' || turn || ' days ago","author":"@'
+            || role || '","channel":"UC' || conv_id || '","votes":"' || votes || '","replies":"'
+            || replies || '","photo":"https://img.example/a/' || role || '","heart":' || heart
+            || ',"reply":' || reply || ',"scraped_at":"' || scraped_at
+            || '","source":"{SOURCE}","file_name":"' || file_name || '"}}') + 1) AS BIGINT)
+          AS bytes
+        FROM ({_exported('jsonl', ', turn, role, conv_id')}) GROUP BY 1""",
     "export_videos_csv": f"""
         SELECT ltrim(channel_ref, '@') AS channel_key, "order", video_id, title,
           nullif(channel_id, '') AS channel_id, view_count::VARCHAR AS view_count,

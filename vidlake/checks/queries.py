@@ -29,7 +29,7 @@ from vidlake.operators import videos as vid
 from vidlake.operators.embedded import extract_config, extract_data, page_errors
 from vidlake.plans.channels import comment_responses, video_table
 from vidlake.schemas import COMMENT_FIELDS, VIDEO_FIELDS
-from vidlake.session import new_path, stage
+from vidlake.session import new_path, staged
 from vidlake.sinks import export_comments, export_videos, videos_json_lines
 from vidlake.sinks.tables import csv_cell
 from vidlake.sources import parse_channel_lines, read_channel_list, until_empty
@@ -318,7 +318,7 @@ def videos_limited(spark, sf_dir):
 
 @query
 def videos_fallback(spark, sf_dir):
-    parsed = stage(vid.parse_video_bodies(cap.shelf_bodies(spark, sf_dir)), "shelves")
+    parsed = staged(vid.parse_video_bodies(cap.shelf_bodies(spark, sf_dir)), "shelves")
     return vid.videos(parsed).select("channel_ref", "video_id", "title", "view_count", "order")
 
 
@@ -347,7 +347,8 @@ def comments_flat(spark, sf_dir):
 
 @query
 def comments_limited(spark, sf_dir):
-    rows = com.comments(com.number_responses(_parsed(spark, sf_dir)), per_video_limit=4)
+    numbered = com.number_responses(_parsed(spark, sf_dir), per_video_limit=4)
+    rows = com.comments(numbered, per_video_limit=4)
     return rows.select("video_id", "pos", "cid",
                        F.unix_seconds("scraped_at").alias("scraped_at"))
 

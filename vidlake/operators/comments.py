@@ -14,9 +14,10 @@ from vidlake.functions.jsonscan import (
     mentions,
 )
 from vidlake.functions.refs import strip
-from vidlake.operators.accumulate import accumulate
 from vidlake.operators.nested import is_empty
+from vidlake.operators.places import placed
 from vidlake.operators.unfold import unfold
+from vidlake.session import staged
 
 # Names in the bodies.
 COMMENT_KEY = "commentEntityPayload"
@@ -124,37 +125,35 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     )
 
 
-def number_responses(parsed: DataFrame, strict: bool = False,
-                     videos: DataFrame | None = None) -> DataFrame:
+def number_responses(parsed: DataFrame, strict: bool = False, videos: DataFrame | None = None,
+                     per_video_limit: int | None = None) -> DataFrame:
     """Responses that count, with the number of comments before each in its video.
 
-    With `videos`, only responses of those are kept and carry the video's number as `order`.
-    The videos are joined to sums over thousands of responses, never to the comments, so the
-    join adds no shuffle of them.
+    `parsed` comes from `parse_comment_bodies`, staged or not. With `videos`, only responses of
+    those are kept and carry the video's number as `order`; the videos are joined to sums over
+    thousands of responses, never to the comments, so the join adds no shuffle of them. With a
+    limit, responses beyond it are left out.
 
     A video's chain ends at its first empty body or server error. With `strict` it also ends
     at its first incomplete comment, which is dropped along with all after it.
     """
-    stop = F.col("empty") | F.col("server_error").isNotNull()
-    cut = F.lit(False)
-    if strict:
-        cut = F.col("first_bad") > 0
-        parsed = parsed.withColumn("comments", F.when(
-            cut, F.slice("comments", F.lit(1), F.col("first_bad") - 1)
-        ).otherwise(F.col("comments")))
-    parsed = parsed.withColumn("_stop", stop.cast("int")).withColumn("_cut", cut.cast("int"))
+    if per_video_limit is not None and per_video_limit < 1:
+        raise ValueError("per_video_limit must be at least 1")
+    parsed = staged(parsed, "comment-pages")
+    cut = F.col("first_bad") > 0
     # After a cut nothing follows, so counting the comments it drops moves no number.
-    numbered = accumulate(
-        parsed, _KEYS, "response_seq",
-        running={"_seen": F.col("n_comments"), "_stops": F.col("_stop"),
-                 "_cuts": F.col("_cut")},
-        whole={"scraped_at": ("min", F.col("fetched_at"))},
+    rows = placed(
+        parsed, _KEYS, "n_comments", F.col("empty") | F.col("server_error").isNotNull(), "min",
+        cut=cut if strict else None, limit=per_video_limit,
         lookup=None if videos is None else videos.select("channel_ref", "video_id", "order"),
     )
-    return numbered.filter("_stops = 0 and _cuts = _cut").select(
+    if strict:
+        rows = rows.withColumn("comments", F.when(
+            cut, F.slice("comments", F.lit(1), F.col("first_bad") - 1)
+        ).otherwise(F.col("comments")))
+    return rows.select(
         *_KEYS, *([] if videos is None else ["order"]), "response_seq", "scraped_at", "comments",
-        (F.col("_seen") - F.col("n_comments")).alias("before"),
-    )
+        "before")
 
 
 def comment_record(c: Column) -> list[Column]:
@@ -183,7 +182,8 @@ def comments(numbered: DataFrame, per_video_limit: int | None = None,
              source: str = SOURCE) -> DataFrame:
     """Comments in the order they were received, `pos` counting from 1 within their video.
 
-    `numbered` comes from `number_responses`; its other columns are kept. With a limit, responses beyond it are dropped before they are unfolded.
+    `numbered` comes from `number_responses`, best with the same limit, so that responses beyond
+    it are left out before they are unfolded; its other columns are kept.
     """
     if per_video_limit is not None and per_video_limit < 1:
         raise ValueError("per_video_limit must be at least 1")

@@ -9,10 +9,11 @@ from vidlake import schemas
 from vidlake.functions.jsonscan import find_many, found
 from vidlake.functions.numbers import length_to_minutes, parse_view_count
 from vidlake.functions.refs import watch_url
-from vidlake.operators.accumulate import accumulate
 from vidlake.operators.embedded import extract_data
 from vidlake.operators.nested import is_empty
+from vidlake.operators.places import placed
 from vidlake.operators.unfold import unfold
+from vidlake.session import staged
 
 _RENDERERS = f"array<{schemas.VIDEO_RENDERER}>"
 
@@ -129,24 +130,19 @@ def videos(parsed: DataFrame, max_videos: int | None = None,
            fill_first_page: bool = False) -> DataFrame:
     """Videos of every channel in page order, numbered from 1, optionally the first N only.
 
-    `parsed` comes from `parse_video_bodies`. Numbers are sums of page sizes plus the place on
-    the page, so pages, not videos, are shuffled, the sums read a few small columns only, and
-    pages beyond the limit are dropped before they are unfolded. An empty body ends its channel. Videos without an owner take the
-    channel's reference on all pages but the first, or on all with `fill_first_page`.
+    `parsed` comes from `parse_video_bodies`, staged or not. Numbers are the videos on the pages
+    before plus the place on the page; pages beyond the limit are dropped before they are
+    unfolded. An empty body ends its channel. Videos without an owner take the channel's
+    reference on all pages but the first, or on all with `fill_first_page`.
     """
     if max_videos is not None and max_videos < 1:
         raise ValueError("max_videos must be at least 1")
-    pages = accumulate(
-        parsed, ["channel_ref"], "response_seq",
-        running={"_seen": F.col("n_videos"), "_ended": F.col("empty").cast("int")},
-        whole={"scraped_at": ("max", F.col("fetched_at"))},
-    ).filter("_ended = 0").withColumn("_before", F.col("_seen") - F.col("n_videos"))
-    if max_videos is not None:
-        pages = pages.filter(F.col("_before") < max_videos)
+    pages = placed(staged(parsed, "video-pages"), ["channel_ref"], "n_videos",
+                   F.col("empty"), "max", limit=max_videos)
     rows = unfold(
-        pages, ["channel_ref", "response_seq", "scraped_at", "_before"], "renderers",
+        pages, ["channel_ref", "response_seq", "scraped_at", "before"], "renderers",
         "_pos", "_renderer",
-    ).withColumn("order", (F.col("_before") + F.col("_pos") + 1).cast("int"))
+    ).withColumn("order", (F.col("before") + F.col("_pos") + 1).cast("int"))
     if max_videos is not None:
         rows = rows.filter(F.col("order") <= max_videos)
     fill = F.lit(True) if fill_first_page else F.col("response_seq") > 0

@@ -10,7 +10,7 @@ from vidlake import SOURCE
 from vidlake.operators import comments as C
 from vidlake.operators import videos as V
 from vidlake.operators.embedded import page_errors
-from vidlake.session import stage
+from vidlake.session import stage, staged
 
 
 class ChannelTables(NamedTuple):
@@ -23,13 +23,13 @@ class ChannelTables(NamedTuple):
 def video_table(pages: DataFrame, responses: DataFrame, max_videos: int | None = None,
                 fill_first_page: bool = False) -> DataFrame:
     """Videos of all channels. Bodies are parsed in one pass and staged; see `session.stage`."""
-    parsed = stage(V.parse_video_bodies(V.channel_responses(pages, responses)), "video-pages")
-    return V.videos(parsed, max_videos, fill_first_page)
+    parsed = V.parse_video_bodies(V.channel_responses(pages, responses))
+    return V.videos(staged(parsed, "video-pages"), max_videos, fill_first_page)
 
 
 def comment_responses(responses: DataFrame, sort_by: int = C.SORT_RECENT) -> DataFrame:
     """Comment responses in one order, parsed in one pass and staged."""
-    return stage(C.parse_comment_bodies(responses, sort_by), "comment-pages")
+    return staged(C.parse_comment_bodies(responses, sort_by), "comment-pages")
 
 
 def channel_tables(
@@ -44,12 +44,12 @@ def channel_tables(
     """Videos, the comments of those videos, and what failed.
 
     A page whose data can be read yields its videos even if its settings cannot, since nothing
-    is requested with them; the failure is listed all the same. Raw bodies are read once. What is shuffled are parsed pages, by ranges of their channel or
-    video; records are unfolded last.
+    is requested with them; the failure is listed all the same. Raw bodies are read once; places of responses are found from narrow columns, and records are
+    unfolded last.
     """
     videos = stage(video_table(pages, responses, max_videos), "videos")
     parsed = comment_responses(responses, sort_by)
-    numbered = C.number_responses(parsed, strict, videos)
+    numbered = C.number_responses(parsed, strict, videos, per_video_limit)
     failed = ["channel_ref", "video_id", "error"]
     errors = page_errors(pages).select(*failed).unionByName(
         C.video_errors(parsed).select(*failed))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the plans in this package are written for. All are ordinary Spark settings, and
 #: the library also runs on a session that was built without them.
@@ -19,6 +20,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Column that numbers the rows of a staged table.
+ROW_ID = "row_id"
+
 _own_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -52,13 +56,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, row_id: bool = False) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and return a scan of it.
 
     Used where a costly parse feeds several branches of a plan: the bodies are read once, the
     branches read only the columns they need, and a lost executor costs a re-read of the
-    small table instead of another parse.
+    small table instead of another parse. With `row_id`, rows are numbered uniquely as they are
+    written, so that every branch sees the same numbers.
     """
     path = new_path(df.sparkSession, name)
+    if row_id:
+        df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`df` itself if it is a staged table with row ids, else staged as one."""
+    return df if ROW_ID in df.columns else stage(df, name, row_id=True)
