@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 from hypothesis import given
@@ -17,22 +18,26 @@ TREES = st.recursive(
     lambda t: st.lists(t, max_size=4) | st.dictionaries(KEYS, t, max_size=4), max_leaves=25)
 
 
-def stack_search(tree, key):
-    """The order to keep, spelled out with an explicit stack."""
-    out, stack = [], [tree]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, list):
-            stack += node
-        elif isinstance(node, dict):
-            out += [node[key]] if key in node else []
-            stack += [v for k, v in node.items() if k != key]
-    return out
+def by_place(tree, key):
+    """All values of a key with their place, sorted: own values first, then from the last child."""
+    places = []
+
+    def walk(node, place):
+        children = (node.items() if isinstance(node, dict)
+                    else enumerate(node) if isinstance(node, list) else ())
+        for i, (name, child) in enumerate(children):
+            if isinstance(node, dict) and name == key:
+                places.append((place + (-math.inf,), child))
+            else:
+                walk(child, place + (-i,))
+
+    walk(tree, ())
+    return [child for _, child in sorted(places, key=lambda p: p[0])]
 
 
 @given(TREES)
 def test_search_order(tree):
-    assert list(values_of(tree, "k")) == stack_search(tree, "k")
+    assert list(values_of(tree, "k")) == by_place(tree, "k")
 
 
 @given(st.dictionaries(KEYS, TREES, max_size=4), st.text("x{}\"\\", max_size=6))

@@ -35,7 +35,8 @@ def _extract(df: DataFrame, html: str, out: str, name: str, pattern: str, openin
     scanned = balanced_object_column(F.when(scan, F.col(html)), opening)
     best = F.coalesce(scanned, F.col("_matched")) if robust else F.coalesce("_matched", scanned)
     df = df.withColumn("_object", best)
-    valid = is_json_object(F.col("_object"))
+    df = df.withColumn("_valid", is_json_object(F.col("_object")))
+    valid = F.col("_valid")
     return (
         df.withColumn(out, F.when(valid, F.col("_object")))
         .withColumn(
@@ -43,7 +44,7 @@ def _extract(df: DataFrame, html: str, out: str, name: str, pattern: str, openin
             F.when(F.col("_object").isNull(), F.lit(f"Failed to extract {name}"))
             .when(~valid, F.lit(f"Failed to parse {name} JSON")),
         )
-        .drop("_matched", "_object")
+        .drop("_matched", "_object", "_valid")
     )
 
 

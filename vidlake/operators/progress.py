@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from vidlake.functions.human import format_bytes, format_number, format_time, percent_text
 from vidlake.operators.accumulate import accumulate
 
-#: A status line is shown for every fifth video and the last.
+# A status line is shown for every fifth video and the last; no estimate is made
+# from less than a second; wording.
 STATUS_EVERY = 5
-#: No estimate is made from less than this many seconds.
 MIN_ELAPSED = 1.0
 ALMOST_DONE = "almost done"
+STATUS_PARTS = ["Videos: ", "Comments: ", "Data: ", "Time: ", "ETA: "]
 
 
 def channel_progress(video_log: DataFrame) -> DataFrame:
@@ -47,15 +48,16 @@ def status_lines(progress: DataFrame) -> DataFrame:
     """The status line of every fifth video and the last one, if it did not fail."""
     shown = progress.filter(
         (F.col("order") % STATUS_EVERY == 0) | (F.col("order") == F.col("total_videos")))
-    line = F.concat_ws(
-        " | ",
-        F.format_string("Videos: %d/%d (%s)", F.col("completed"), F.col("total_videos"),
+    values = [
+        F.format_string("%d/%d (%s)", F.col("completed"), F.col("total_videos"),
                         percent_text(F.col("percent"))),
-        F.concat(F.lit("Comments: "), format_number(F.col("total_comments"))),
-        F.concat(F.lit("Data: "), format_bytes(F.col("total_bytes"))),
-        F.concat(F.lit("Time: "), format_time(F.col("elapsed"))),
-        F.concat(F.lit("ETA: "), format_time(F.col("eta_sec"))),
-    )
+        format_number(F.col("total_comments")),
+        format_bytes(F.col("total_bytes")),
+        format_time(F.col("elapsed")),
+        format_time(F.col("eta_sec")),  # left out where there is no estimate
+    ]
+    line = F.concat_ws(" | ", *[
+        F.concat(F.lit(label), value) for label, value in zip(STATUS_PARTS, values)])
     return shown.select("channel", "order", line.alias("line"))
 
 

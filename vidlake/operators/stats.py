@@ -16,8 +16,11 @@ from vidlake.functions.human import (
 )
 
 MB = 1024 * 1024
-#: Comments assumed per video where no limit is set.
+# Comments assumed per video where no limit is set; wording of the summary.
 ESTIMATE_PER_VIDEO = 500
+SUMMARY_PARTS = [
+    "  Total Videos:   ", "  Total Comments: ", "  Total Data:     ", "  Total Time:     ",
+]
 
 
 def comments_per_video(comments: DataFrame) -> DataFrame:
@@ -168,10 +171,7 @@ def final_summary(video_log: DataFrame) -> DataFrame:
         F.sum(F.when(ok, F.col("bytes")).otherwise(0)).alias("bytes"),
         F.sum("elapsed_sec").alias("elapsed"),
     )
-    return totals.withColumn("summary", F.concat_ws(
-        "\n",
-        F.concat(F.lit("  Total Videos:   "), format_number(F.col("videos"))),
-        F.concat(F.lit("  Total Comments: "), format_number(F.col("comments"))),
-        F.concat(F.lit("  Total Data:     "), format_bytes(F.col("bytes"))),
-        F.concat(F.lit("  Total Time:     "), format_time(F.col("elapsed"))),
-    ))
+    values = [format_number(F.col("videos")), format_number(F.col("comments")),
+              format_bytes(F.col("bytes")), format_time(F.col("elapsed"))]
+    return totals.withColumn("summary", F.concat_ws("\n", *[
+        F.concat(F.lit(label), value) for label, value in zip(SUMMARY_PARTS, values)]))
