@@ -151,7 +151,7 @@ def test_pages_are_picked_by_their_row(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     lines = plan.splitlines()
-    scan = next(i for i, line in enumerate(lines) if "renderers" in line and "FileScan" in line)
+    scan = next(i for i, line in enumerate(lines) if "videos" in line and "FileScan" in line)
     above = [line for line in lines[:scan] if "Exchange" in line]
     assert "hashpartitioning(row_id" in above[-1]
     assert "Window" not in lines[scan - 1] + lines[scan - 2] + lines[scan - 3]

@@ -27,6 +27,7 @@ HEARTED = "TOOLBAR_HEART_STATE_HEARTED"
 SORT_POPULAR, SORT_RECENT = 0, 1
 
 _KEYS = ["channel_ref", "video_id", "sort_by"]
+RECORD = [c for c in schemas.COMMENT_FIELDS if c not in ("scraped_at", "source")]
 _PAYLOADS = f"array<{schemas.COMMENT_PAYLOAD}>"
 _STATES = f"array<{schemas.TOOLBAR_STATE}>"
 
@@ -53,6 +54,28 @@ def problem(c: Column) -> Column:
     return F.coalesce(*[F.when(v.isNull(), F.lit(f"missing {name}")) for name, v in required])
 
 
+def comment_record(c: Column) -> Column:
+    """The fields of a comment and, in `record_error`, what it lacks."""
+    text = c["properties"]["content"]["content"]
+    cid = c["properties"]["commentId"]
+    votes = c["toolbar"]["likeCountNotliked"]
+    return F.struct(
+        cid.alias("cid"),
+        text.alias("text"),
+        F.length(text).alias("text_length"),
+        c["properties"]["publishedTime"].alias("time"),
+        c["author"]["displayName"].alias("author"),
+        c["author"]["channelId"].alias("channel"),
+        F.when(votes.isNotNull(), F.coalesce(F.nullif(strip(votes), F.lit("")), F.lit("0")))
+        .alias("votes"),
+        c["toolbar"]["replyCount"].alias("replies"),
+        c["author"]["avatarThumbnailUrl"].alias("photo"),
+        F.coalesce(c["heart_state"] == HEARTED, F.lit(False)).alias("heart"),
+        F.contains(cid, F.lit(".")).alias("reply"),
+        problem(c).alias("record_error"),
+    )
+
+
 def server_error(value: Column) -> Column:
     """The failure of a response with the given error message, as JSON; NULL if it is empty."""
     message = F.nullif(json_scalar(value), F.lit(""))
@@ -112,16 +135,18 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
             F.get(F.col("_states"), (at - 1).cast("int"))["heartState"].alias("heart_state"),
         )
 
-    rows = rows.withColumn("_state_keys", keys).select(
+    rows = rows.withColumn("_state_keys", keys).withColumn(
+        "_joined", F.transform("_comments", joined))
+    rows = rows.select(
         *_KEYS, "response_seq", "fetched_at", "empty", "server_error",
-        F.transform("_comments", joined).alias("comments"),
-    ).withColumn("_problems", F.transform("comments", problem))
-    first = F.array_position(F.transform("_problems", lambda p: p.isNotNull()), True)
+        F.transform("_joined", comment_record).alias("comments"))
+    bad = F.filter("comments", lambda c: c["record_error"].isNotNull())
     return rows.select(
-        *[c for c in rows.columns if c != "_problems"],
+        "*",
         F.size("comments").alias("n_comments"),
-        first.cast("int").alias("first_bad"),
-        F.get(F.filter("_problems", lambda p: p.isNotNull()), F.lit(0)).alias("first_problem"),
+        F.array_position(F.transform("comments", lambda c: c["record_error"].isNotNull()), True)
+        .cast("int").alias("first_bad"),
+        F.get(bad, F.lit(0))["record_error"].alias("first_problem"),
     )
 
 
@@ -156,28 +181,6 @@ def number_responses(parsed: DataFrame, strict: bool = False, videos: DataFrame
         "before")
 
 
-def comment_record(c: Column) -> list[Column]:
-    """The fields of a comment."""
-    text = c["properties"]["content"]["content"]
-    cid = c["properties"]["commentId"]
-    return [
-        cid.alias("cid"),
-        text.alias("text"),
-        F.length(text).alias("text_length"),
-        c["properties"]["publishedTime"].alias("time"),
-        c["author"]["displayName"].alias("author"),
-        c["author"]["channelId"].alias("channel"),
-        F.when(
-            c["toolbar"]["likeCountNotliked"].isNotNull(),
-            F.coalesce(F.nullif(strip(c["toolbar"]["likeCountNotliked"]), F.lit("")), F.lit("0")),
-        ).alias("votes"),
-        c["toolbar"]["replyCount"].alias("replies"),
-        c["author"]["avatarThumbnailUrl"].alias("photo"),
-        F.coalesce(c["heart_state"] == HEARTED, F.lit(False)).alias("heart"),
-        F.contains(cid, F.lit(".")).alias("reply"),
-    ]
-
-
 def comments(numbered: DataFrame, per_video_limit: int | None = None,
              source: str = SOURCE) -> DataFrame:
     """Comments in the order they were received, `pos` counting from 1 within their video.
@@ -195,10 +198,9 @@ def comments(numbered: DataFrame, per_video_limit: int | None = None,
     ).withColumn("pos", (F.col("before") + F.col("_at") + 1).cast("long"))
     if per_video_limit is not None:
         rows = rows.filter(F.col("pos") <= per_video_limit)
-    c = F.col("_c")
     return rows.select(
-        *rest, "pos", *comment_record(c), "scraped_at", F.lit(source).alias("source"),
-        problem(c).alias("record_error"),
+        *rest, "pos", *[f"_c.{c}" for c in RECORD], "scraped_at",
+        F.lit(source).alias("source"), "_c.record_error",
     )
 
 

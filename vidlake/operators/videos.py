@@ -57,8 +57,32 @@ def channel_responses(pages: DataFrame, responses: DataFrame) -> DataFrame:
     return first.unionByName(later)
 
 
+def _text(*choices: Column) -> Column:
+    """The first choice that is neither missing nor empty, else the empty string."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices], F.lit(""))
+
+
+def _first(runs: Column) -> Column:
+    return F.get(runs, F.lit(0))
+
+
+def _texts(r: Column) -> Column:
+    """The texts a video's fields are made of."""
+    return F.struct(
+        r["videoId"].alias("video_id"),
+        _text(_first(r["title"]["runs"])["text"], r["title"]["simpleText"]).alias("title"),
+        _first(r["ownerText"]["runs"])["navigationEndpoint"]["browseEndpoint"]["browseId"]
+        .alias("owner"),
+        _text(r["viewCountText"]["simpleText"], _first(r["viewCountText"]["runs"])["text"])
+        .alias("view_count_raw"),
+        _text(r["lengthText"]["simpleText"]).alias("length"),
+        _text(F.try_element_at(r["thumbnail"]["thumbnails"], F.lit(-1))["url"])
+        .alias("thumbnail_url"),
+    )
+
+
 def parse_video_bodies(bodies: DataFrame) -> DataFrame:
-    """One row per body: its video renderers in order, their number, whether it is empty.
+    """One row per body: the texts of its videos in order, their number, whether it is empty.
 
     Every body is parsed once against a declared schema that knows the first page and both
     layouts of later ones. Only a body of neither later layout whose ordered parse yields
@@ -83,43 +107,21 @@ def parse_video_bodies(bodies: DataFrame) -> DataFrame:
     return parsed.select(
         *rest,
         is_empty(F.col("body")).alias("empty"),
-        F.when(search, _ids_only(deep)).otherwise(F.col("_ordered")).alias("renderers"),
-    ).withColumn("n_videos", F.size("renderers"))
-
-
-def _text(*choices: Column) -> Column:
-    """The first choice that is neither missing nor empty, else the empty string."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices], F.lit(""))
-
-
-def _first(runs: Column) -> Column:
-    return F.get(runs, F.lit(0))
+        F.transform(F.when(search, _ids_only(deep)).otherwise(F.col("_ordered")), _texts)
+        .alias("videos"),
+    ).withColumn("n_videos", F.size("videos"))
 
 
 def video_records(rows: DataFrame, fill_channel: Column) -> DataFrame:
-    """Turn `_renderer` into the fields of a video.
+    """Turn the texts in `_video` into the fields of a video.
 
-    `fill_channel` says where a missing owner becomes the channel. Texts are taken out first
-    and parsed in a second projection, so that each is computed once.
+    `fill_channel` says where a missing owner becomes the channel.
     """
-    r = F.col("_renderer")
-    texts = rows.select(
-        *[c for c in rows.columns if c != "_renderer"],
-        r["videoId"].alias("video_id"),
-        _text(_first(r["title"]["runs"])["text"], r["title"]["simpleText"]).alias("title"),
-        _text(
-            _first(r["ownerText"]["runs"])["navigationEndpoint"]["browseEndpoint"]["browseId"],
-            F.when(fill_channel, F.col("channel_ref")),
-        ).alias("channel_id"),
-        _text(r["viewCountText"]["simpleText"], _first(r["viewCountText"]["runs"])["text"])
-        .alias("view_count_raw"),
-        _text(r["lengthText"]["simpleText"]).alias("length"),
-        _text(F.try_element_at(r["thumbnail"]["thumbnails"], F.lit(-1))["url"])
-        .alias("thumbnail_url"),
-    )
+    texts = rows.select(*[c for c in rows.columns if c != "_video"], "_video.*")
     return texts.select(
         "*",
         F.length("title").alias("title_length"),
+        _text(F.col("owner"), F.when(fill_channel, F.col("channel_ref"))).alias("channel_id"),
         parse_view_count(F.col("view_count_raw")).alias("view_count"),
         length_to_minutes(F.col("length")).alias("length_minutes"),
         watch_url(F.col("video_id")).alias("url"),
@@ -140,8 +142,8 @@ def videos(parsed: DataFrame, max_videos: int | None = None,
     pages = placed(staged(parsed, "video-pages"), ["channel_ref"], "n_videos",
                    F.col("empty"), "max", limit=max_videos)
     rows = unfold(
-        pages, ["channel_ref", "response_seq", "scraped_at", "before"], "renderers",
-        "_pos", "_renderer",
+        pages, ["channel_ref", "response_seq", "scraped_at", "before"], "videos",
+        "_pos", "_video",
     ).withColumn("order", (F.col("before") + F.col("_pos") + 1).cast("int"))
     if max_videos is not None:
         rows = rows.filter(F.col("order") <= max_videos)

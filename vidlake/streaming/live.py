@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vidlake import SOURCE, schemas
-from vidlake.operators.comments import (
-    SORT_RECENT,
-    comment_record,
-    parse_comment_bodies,
-    problem,
-)
+from vidlake.operators.comments import RECORD, SORT_RECENT, parse_comment_bodies
 from vidlake.operators.unfold import unfold
 
 
@@ -38,11 +33,10 @@ def comment_stream(responses: DataFrame, sort_by: int = SORT_RECENT,
     rows = unfold(
         rows, ["channel_ref", "video_id", "sort_by", "response_seq", "fetched_at"], "comments",
         "at", "_c")
-    c = F.col("_c")
     return rows.select(
-        "channel_ref", "video_id", "sort_by", "response_seq", "at", *comment_record(c),
+        "channel_ref", "video_id", "sort_by", "response_seq", "at", *[f"_c.{c}" for c in RECORD],
         F.col("fetched_at").alias("scraped_at"), F.lit(source).alias("source"),
-        problem(c).alias("record_error"),
+        "_c.record_error",
     )
 
 
