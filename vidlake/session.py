@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Settings the plans in this package are written for. All are ordinary Spark settings, and
 #: the library also runs on a session that was built without them.
 SETTINGS = {
+    # The JVM does not compile methods beyond 8,000 bytes; Spark splits wide projections up
+    # if it does not generate one method for a whole stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
