@@ -86,7 +86,6 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     """One row per comment response in the chosen order, its comments joined to their state.
 
     Responses that do not say their order are taken as recent, the order asked for by default.
-
     `n_comments`, `first_bad` (place of the first incomplete comment from 1, 0 for none) and
     `first_problem` sum up the comments, so that numbering and errors need not read them.
 
