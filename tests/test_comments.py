@@ -129,6 +129,17 @@ def test_chains_limits_and_errors(spark):
         ("c", 1, 'Error returned from server: x "y"')]
 
 
+def test_video_listed_twice_has_its_comments_twice(spark):
+    rows = [("v", 0, body(comment("a"), bar())), ("v", 1, body(comment("b"), bar()))]
+    listed = spark.createDataFrame(
+        [("@c", "v", 1), ("@c", "w", 2), ("@c", "v", 3)],
+        "channel_ref string, video_id string, order int")
+    numbered = C.number_responses(
+        C.parse_comment_bodies(responses(spark, rows)), videos=listed)
+    got = {(r.order, r.pos, r.cid) for r in C.comments(numbered).collect()}
+    assert got == {(1, 1, "a"), (1, 2, "b"), (3, 1, "a"), (3, 2, "b")}
+
+
 def test_other_order_is_left_out(spark):
     popular = responses(spark, [("v", 0, body(comment("p"), bar()))], sort_by=0)
     recent = responses(spark, [("v", 0, body(comment("r"), bar()))])

@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vidlake import functions as fn
-from vidlake.operators.progress import ALMOST_DONE  # noqa: F401 - part of the documented texts
 
 VIEWS = [
     ("123,874 views", 123874), ("1.2M views", 1200000), ("500K views", 500000),
@@ -25,7 +24,8 @@ COUNTS = [
 ]
 LENGTHS = [
     ("21:47", 21 + 47 / 60), ("1:05:30", 65.5), ("10:25", 10 + 25 / 60), ("0:00", 0.0),
-    (" 1:05 ", 1 + 5 / 60), ("1: 05", 1 + 5 / 60), ("\xa01:05 ", 1 + 5 / 60), ("+1:05", 1 + 5 / 60), ("1:", None), (":5", None),
+    (" 1:05 ", 1 + 5 / 60), ("1: 05", 1 + 5 / 60), ("\xa01:05 ", 1 + 5 / 60),
+    ("+1:05", 1 + 5 / 60), ("1:", None), (":5", None),
     ("x:1", None), ("5.0:1", None), ("1e1:1", None), ("1:2:3:4", None), ("12", None), ("", None),
     (None, None), ("LIVE", None),
 ]

@@ -21,9 +21,9 @@ def accumulate(
     """Add running sums over `keys` in the order of the integer column `position`.
 
     `running` names the sums (each includes the row itself); `whole` names aggregates over the
-    entire key, given as ("sum" | "min" | "max", column). `lookup` is a table with one row per
-    value of some of the keys: its other columns are added, rows without a match are dropped.
-    Keys must not be NULL.
+    entire key, given as ("sum" | "min" | "max", column). `lookup` is a table joined on those of
+    its columns that are keys: its other columns are added, rows without a match are dropped,
+    rows with several repeated. Keys must not be NULL.
 
     A plain window would sort all rows of a key in one task. Here a key is cut into buckets of
     4,096 positions: rows are summed within their bucket, buckets (partly aggregated before

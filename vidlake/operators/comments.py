@@ -97,7 +97,8 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     if sort_by == SORT_RECENT:
         chosen = chosen | F.col("sort_by").isNull()
     rows = responses.filter((F.col("kind") == "comments") & chosen)
-    rows = rows.withColumn("sort_by", F.lit(sort_by)).withColumn("_doc", F.from_json("body", schemas.COMMENT_BODY))
+    rows = rows.withColumn("sort_by", F.lit(sort_by)).withColumn(
+        "_doc", F.from_json("body", schemas.COMMENT_BODY))
     mutations = F.col("_doc.frameworkUpdates.entityBatchUpdate.mutations")
     rows = rows.select(
         *_KEYS, "response_seq", "fetched_at", "body",

@@ -44,8 +44,8 @@ def channel_tables(
     """Videos, the comments of those videos, and what failed.
 
     A page whose data can be read yields its videos even if its settings cannot, since nothing
-    is requested with them; the failure is listed all the same. Raw bodies are read once; places of responses are found from narrow columns, and records are
-    unfolded last.
+    is requested with them; the failure is listed all the same. Raw bodies are read once; places
+    of responses are found from narrow columns, and records are unfolded last.
     """
     videos = stage(video_table(pages, responses, max_videos), "videos")
     parsed = comment_responses(responses, sort_by)
