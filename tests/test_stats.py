@@ -45,6 +45,17 @@ def test_channel_stats(spark):
     }
 
 
+def test_comments_of_failed_videos_do_not_count(spark):
+    log = spark.createDataFrame(LOG, RUN_LOG).filter("run_id = 'q'")
+    keys = "channel_ref string, video_id string"
+    videos = spark.createDataFrame([("@a", "v"), ("@a", "w")], keys)
+    comments = spark.createDataFrame([("@a", "v")] * 3 + [("@a", "w")] * 4, keys)
+    failed = spark.createDataFrame([("@a", "v"), ("@a", None), ("@b", "w")], keys)
+    sizes = spark.createDataFrame([], "channel_ref string, bytes long")
+    (row,) = stats.channel_stats(log, videos, comments, sizes, failed).collect()
+    assert (row.videos, row.comments, row.bytes_mb) == (2, 4, 0.0)
+
+
 def test_batch_report(spark):
     listed, log, rows = tables(spark)
     report = {r.run_id: tuple(r)[1:] for r in stats.batch_report(listed, log, rows).collect()}

@@ -350,6 +350,11 @@ _ORACLE = {
     "comments_per_video": f"""
         SELECT '@talk' || (conv_id % 5) AS channel_ref, 'c' || conv_id AS video_id,
           count(*) AS comments FROM ({_KEPT}) GROUP BY 1, 2""",
+    "counted_comments": f"""
+        SELECT '@talk' || (conv_id % 5) AS channel_ref, count(*) AS comments FROM ({_KEPT})
+        WHERE conv_id NOT IN (SELECT conv_id FROM conversations
+          WHERE conv_id % 11 = 7 AND conv_id % 9 <> 4 AND turn BETWEEN 6 AND 8)
+        GROUP BY 1""",
     "server_errors": """
         SELECT DISTINCT 'c' || conv_id AS video_id, 2 AS first_seq,
           'Error returned from server: quota "used" up' AS error

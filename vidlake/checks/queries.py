@@ -371,6 +371,13 @@ def comments_per_video(spark, sf_dir):
     return stats.comments_per_video(com.comments(com.number_responses(_parsed(spark, sf_dir))))
 
 
+@query
+def counted_comments(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    return stats.counted_comments(
+        com.comments(com.number_responses(parsed)), com.video_errors(parsed))
+
+
 @query
 def server_errors(spark, sf_dir):
     return com.video_errors(_parsed(spark, sf_dir)).select("video_id", "first_seq", "error")

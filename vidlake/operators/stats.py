@@ -27,6 +27,19 @@ def comments_per_video(comments: DataFrame) -> DataFrame:
     return comments.groupBy("channel_ref", "video_id").agg(F.count("*").alias("comments"))
 
 
+def counted_comments(comments: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Comments per channel, those of failed videos left out.
+
+    Comments are counted per video first, so the failures meet one row per video.
+    """
+    if failed is None:
+        return comments.groupBy("channel_ref").agg(F.count("*").alias("comments"))
+    keys = ["channel_ref", "video_id"]
+    kept = comments_per_video(comments).join(
+        failed.filter("video_id is not null").select(*keys), keys, "left_anti")
+    return kept.groupBy("channel_ref").agg(F.sum("comments").alias("comments"))
+
+
 def file_sizes(spark: SparkSession, path: str, per_video: bool = False) -> DataFrame:
     """Bytes per exported channel, or per video of an export with a folder for each.
 
@@ -46,15 +59,16 @@ def _seconds(start: Column, end: Column) -> Column:
 
 
 def channel_stats(run_log: DataFrame, videos: DataFrame, comments: DataFrame,
-                  sizes: DataFrame) -> DataFrame:
+                  sizes: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One row per processed channel of a run: videos, comments, MB, seconds, status, error.
 
     `videos` and `comments` need only `channel_ref`, `sizes` has `channel_ref` and `bytes`. All
     three are aggregated before they are joined, so what meets is a row per channel. A channel
-    without comments shows 0; a failed one shows zeros and its error.
+    without comments shows 0; a failed one shows zeros and its error. With `failed`, videos by
+    `channel_ref` and `video_id`, the comments of those do not count.
     """
     n_videos = videos.groupBy("channel_ref").agg(F.count("*").alias("_videos"))
-    n_comments = comments.groupBy("channel_ref").agg(F.count("*").alias("_comments"))
+    n_comments = counted_comments(comments, failed).withColumnRenamed("comments", "_comments")
     n_bytes = sizes.groupBy("channel_ref").agg(F.sum("bytes").alias("_bytes"))
     rows = run_log.withColumn("channel_ref", F.col("channel"))
     for side in (n_videos, n_comments, n_bytes):
