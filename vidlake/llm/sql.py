@@ -20,7 +20,7 @@ dw as (select rowid r, doc_id, regexp_extract_all(
 sizes as (select distinct n from windows),
 places as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') k
     from (select r, w, n, unnest(range(1, len(w) - n + 2)) i from dw, sizes where len(w) >= n)),
-found as (select r, i, at.n, item from places at join windows using (n, k)),
+found as (select r, i, n, item from places join windows using (n, k)),
 hits as (select r, count(distinct p) n_hit
     from (select r, unnest(range(i, i + n)) p from found) group by r),
 items as (select r, count(*) n_items, string_agg(item, ',' order by item) s
