@@ -19,8 +19,10 @@ SHINGLE = 3
 PERCENT = 90
 #: Cells of the table of frequencies, cut into blocks; it is as large for any input.
 CELLS, BLOCK = 1 << 20, 1 << 14
-#: Bits of the filter on documents whose sets are needed; it is as large for any input.
-FILTER_BITS = 1 << 23
+#: Groups of so many members are looked through for members that fit none.
+FEW = 32
+#: Bits of a filter on ids or shingles; it is as large for any input.
+FILTER_BITS = 1 << 23  # at most 131,072 rows of 64 bits
 
 _SETS = ("_id long, _n int, _c long, _d long, _p array<long>, _q array<int>, _r array<int>")
 
@@ -114,21 +116,12 @@ def _prefixes(size: int, percent: int, sent):
     return run
 
 
-def _full_sets(size: int):
+def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            sets = [s.tobytes() for s in shingle_sets(batch.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())],
-                                             names=["_id", "_set"])
-    return run
-
-
-def _verified(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "_x"):
             good = []
-            for x, y in zip(batch.column("_sx"), batch.column("_sy"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+            for x, y in zip(shingle_sets(batch.column("_x"), size),
+                            shingle_sets(batch.column("_y"), size), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(
@@ -137,9 +130,8 @@ def _verified(percent: int):
     return run
 
 
-def _may_be_alike(x: str, y: str, percent: int) -> Column:
+def _may_be_alike(nx: Column, ix: Column, ny: Column, iy: Column, percent: int) -> Column:
     """What sizes, and the places of the first common shingle, allow."""
-    nx, ny, ix, iy = (F.col(f"{s}.{f}") for f in ("_n", "_i") for s in (x, y))
     need = F.ceil(F.lit(percent) * (nx + ny) / F.lit(100.0 + percent) - F.lit(1e-9))
     return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
             & (F.least(nx - ix, ny - iy) >= need))
@@ -176,21 +168,36 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     classes = stage(used.groupBy("_c", "_d").agg(F.min("_id").alias("_rep")), "classes")
 
     members = used.select("_c", "_d", "_n", F.posexplode("_p").alias("_i", "_t"))
-    # The member that meets the others: the one with the shingle earliest, by its packed key.
+    place = F.shiftleft(F.col("_n").cast("long"), 32) + F.col("_i")
+    tokens = members.groupBy("_t").agg(
+        F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.count(F.lit(1)).alias("_rows"),
+        F.min(place).alias("_p"), F.max(place).alias("_q"))
+    # Most shared shingles have two holders that met by chance; their sizes and places tell.
+    n, i = (lambda p: F.shiftright(p, 32)), (lambda p: F.col(p).bitwiseAND(F.lit(2**32 - 1)))
+    tokens = tokens.where((F.col("_lo") != F.col("_hi")) & ((F.col("_rows") > 2) | _may_be_alike(
+        n("_p"), i("_p"), n("_q"), i("_q"), percent)))
+    tokens = stage(tokens.select("_t", "_rows"), "tokens")
+    holders = _masked(members, "_t", tokens).join(tokens, "_t")
+    own = ["_c", "_d", "_n", "_i"]
+    # The like for other small groups: who fits none of the others there meets nobody by it.
+    few = holders.where(F.col("_rows") <= FEW).groupBy("_t").agg(
+        F.collect_set(F.struct(*own)).alias("_all"))
+    few = few.select("_t", F.explode(F.filter("_all", lambda x: F.exists("_all", lambda y: (
+        (x["_c"] != y["_c"]) & _may_be_alike(x["_n"], x["_i"], y["_n"], y["_i"], percent)))))
+        .alias("_m")).select("_t", *[f"_m.{c}" for c in own])
+    many = holders.where(F.col("_rows") > FEW).select("_t", *own).distinct()
+    shared = few.union(many).join(classes, ["_c", "_d"]).drop("_c", "_d")
+    shared = stage(shared, "shared-shingles")
+
+    reps = stage(shared.select(F.col("_rep").alias("_id")).distinct(), "reps")
+    orders = _masked(used.select("_id", "_q", "_r"), "_id", reps).join(reps, "_id")
+    orders = stage(orders.withColumnRenamed("_id", "_rep").dropDuplicates(["_rep"]), "orders")
+    # The member that meets the others: the one with the shingle earliest, by a packed key.
     key = F.shiftleft(F.least("_i", F.lit(1 << 21)).cast("long"), 41).bitwiseOR(
-        F.col("_c").bitwiseAND(F.lit((1 << 41) - 1)))
-    tokens = members.groupBy("_t").agg(F.min(key).alias("_key"), F.min("_c").alias("_lo"),
-                                       F.max("_c").alias("_hi"))
-    tokens = stage(tokens.where("_lo != _hi").select("_t", "_key"), "tokens")
-    shared = members.join(tokens, "_t").groupBy("_t", "_c", "_d", "_n", "_i").agg(
-        (key == F.min("_key")).alias("_first"))
-    shared = stage(shared.join(classes, ["_c", "_d"]).drop("_c", "_d"), "shared-shingles")
-
-    orders = shared.select("_rep").distinct().join(
-        used.select(F.col("_id").alias("_rep"), "_q", "_r"), "_rep").dropDuplicates(["_rep"])
-    orders = stage(orders, "orders")
-    first = shared.where("_first").alias("y")
-    star = shared.where("not _first").alias("x").join(first, F.col("x._t") == F.col("y._t"))
+        F.col("_rep").bitwiseAND(F.lit((1 << 41) - 1)))
+    first = stage(shared.groupBy("_t").agg(F.min(key).alias("_key")), "first")
+    first = stage(shared.join(first, "_t").where(key == F.col("_key")).drop("_key"), "first")
+    star = shared.alias("x").join(first.alias("y"), F.col("x._t") == F.col("y._t"))
     tried = _candidates(star, orders, percent)
     links = stage(_alike(rows, tried, size, percent), "links")
 
@@ -220,7 +227,8 @@ def _candidates(met: DataFrame, orders: DataFrame, percent: int,
                 tried: DataFrame | None = None) -> DataFrame:
     """Pairs that may be alike by size and place, and meet under the other orders too."""
     x, y = F.col("x._rep"), F.col("y._rep")
-    pairs = met.where((x != y) & _may_be_alike("x", "y", percent)).select(
+    fits = _may_be_alike(F.col("x._n"), F.col("x._i"), F.col("y._n"), F.col("y._i"), percent)
+    pairs = met.where((x != y) & fits).select(
         F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -232,18 +240,25 @@ def _candidates(met: DataFrame, orders: DataFrame, percent: int,
     return stage(pairs.where(meet).select("a", "b"), "candidates")
 
 
+def _masked(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """`rows` without most of those whose `column` is not wanted, so that a join with `wanted`
+    moves little: a filter of fixed size, 64 bits a row, is sent to every task. An input so
+    large that all bits are set loses this saving and nothing else."""
+    word = F.shiftright(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)), 6)
+    bit = f"cast(pmod(xxhash64({column}), 64L) as int)"
+    mask = wanted.groupBy(word.alias("_word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
+    mask = F.broadcast(stage(mask, "filter"))
+    return rows.withColumn("_word", word).join(mask, "_word").where(
+        f"(shiftright(_bits, {bit}) & 1L) = 1L").drop("_word", "_bits")
+
+
 def _alike(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs, those whose whole sets are alike."""
     wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
-    bit = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS))
-    # A filter of fixed size, 64 bits a row, spares most documents the way to Python.
-    mask = wanted.groupBy(F.shiftright(bit, 6).alias("_word")).agg(F.bit_or(
-        F.expr("shiftleft(1L, cast(pmod(xxhash64(_id), 64L) as int))")).alias("_bits"))
-    mask = stage(mask, "filter")
-    near = rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(mask), "_word").where(
-        F.expr("(shiftright(_bits, cast(pmod(xxhash64(_id), 64L) as int)) & 1L) = 1L"))
-    sets = stage(near.select("_id", "text").mapInArrow(_full_sets(size), "_id long, _set binary"),
-                 "whole-sets")
-    whole = pairs.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sx")), "a").join(
-        sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sy")), "b")
-    return whole.select("a", "b", "_sx", "_sy").mapInArrow(_verified(percent), "a long, b long")
+    # Whole texts move here: they compress, and their sets of hashes would not.
+    texts = stage(_masked(rows, "_id", wanted), "texts")
+    whole = pairs.join(texts.select(F.col("_id").alias("a"), F.col("text").alias("_x")), "a").join(
+        texts.select(F.col("_id").alias("b"), F.col("text").alias("_y")), "b")
+    return whole.select("a", "b", "_x", "_y").mapInArrow(_verified(size, percent),
+                                                         "a long, b long")
