@@ -23,7 +23,7 @@ END = 0
 #: between migrations, migrations.
 CELL, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 1500, 2, 4, 6, 2
 #: Bytes of text encoded together.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from vidlake.llm.words import spread
 
 #: Stretches of text whose ids are remembered by a task.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _ALL = np.arange(256)
 _SPACE = (_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D))

@@ -6,6 +6,8 @@ high bit set, so words of UTF-8 text can be found byte by byte without decoding
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,7 +83,11 @@ def words_of(texts: pa.Array, inside: np.ndarray, lower: bool) -> Words:
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str,
            size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `size` bytes of text; a longer text stands alone."""
+    """The same rows in batches of about `size` bytes of text; a longer text stands alone.
+
+    What a worker has freed goes back to the system first: workers are used again by other
+    tasks, and what they hold back is missing there."""
+    _release()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         lengths = np.diff(np.frombuffer(column.buffers()[1], np.int32)
@@ -95,6 +101,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str,
             at = to
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every system
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
