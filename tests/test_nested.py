@@ -148,3 +148,12 @@ def test_embedded_json(spark):
            for r in extract_data(data, "body").orderBy("i").collect()]
     assert got == [('{"x": 1}', None), ('{"x": 2}', None), ('{"x": 3}', None),
                    ('{"x": "};"}', None), (None, "Failed to extract ytInitialData")]
+
+
+def test_search_of_deep_bodies():
+    from vidlake.functions.jsonscan import values_of
+
+    node = {"k": 1}
+    for _ in range(20_000):
+        node = {"a": [node], "b": 0}
+    assert list(values_of({"k": 0, "z": node}, "k")) == [0, 1]

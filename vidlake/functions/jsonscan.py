@@ -64,16 +64,15 @@ def balanced_object_column(text: Column, opening: str) -> Column:
 
 def values_of(node, key: str):
     """Values stored under `key` at any depth, last branch first; found values are not entered."""
-    if isinstance(node, dict):
-        if key in node:
-            yield node[key]
-        inner = [value for name, value in node.items() if name != key]
-    elif isinstance(node, list):
-        inner = node
-    else:
-        return
-    for child in reversed(inner):
-        yield from values_of(child, key)
+    waiting = [node]  # as deep as the body is; the last one is entered next
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            if key in node:
+                yield node[key]
+            waiting.extend(value for name, value in node.items() if name != key)
+        elif isinstance(node, list):
+            waiting.extend(node)
 
 
 def _search(body: str | None, keys: list[str]) -> list[list[str] | None]:
