@@ -206,12 +206,12 @@ def comments(numbered: DataFrame, per_video_limit: int | None = None,
 
 def video_errors(parsed: DataFrame) -> DataFrame:
     """The first failure of each video before its chain ends: a server error or an incomplete
-    comment."""
+    comment. Where a response was captured more than once, the latest capture counts."""
     seq = F.col("response_seq")
-    rows = parsed.select(
-        *_KEYS, "response_seq", "empty",
-        F.coalesce("server_error", "first_problem").alias("error")
-    ).filter("empty or error is not null")
+    capture = F.struct("fetched_at", "empty",
+                       F.coalesce("server_error", "first_problem").alias("error"))
+    rows = parsed.groupBy(*_KEYS, "response_seq").agg(F.max(capture).alias("_c")).select(
+        *_KEYS, "response_seq", "_c.empty", "_c.error").filter("empty or error is not null")
     failed = F.col("error").isNotNull()
     return (
         rows.groupBy(*_KEYS)

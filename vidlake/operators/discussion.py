@@ -123,15 +123,18 @@ def comment_totals(facts: DataFrame, responses: DataFrame) -> DataFrame:
     `facts` comes from `video_facts`; `responses` are comment responses. Bodies are searched
     where they are read and never shuffled: the latest place at which any chain begins, one
     number found from the narrow columns, is pushed to the scan as a filter, and only counts
-    meet the pages.
+    meet the pages. Of chains that begin at the same place the lower `sort_by` counts, of
+    captures of one response the latest, so the partitioning of the input makes no difference.
     """
     keys = ["channel_ref", "video_id"]
     of_page = facts.groupBy(*keys).agg(F.max("page_total").alias("page_total"))
     begins = responses.groupBy(*keys).agg(F.min("response_seq").alias("first"))
     latest = begins.agg(F.max("first")).first()[0]
     early = responses.filter(F.col("response_seq") <= (0 if latest is None else latest))
+    ties = {"sort_by": F.col("sort_by"), "fetched_at": -F.unix_micros("fetched_at")}
+    place = [F.col("response_seq"), *[c for n, c in ties.items() if n in responses.columns]]
     of_first = add_comment_count(early, "body", "total").groupBy(*keys).agg(
-        F.min_by("total", "response_seq").alias("response_total"))
+        F.min_by("total", F.struct(*place)).alias("response_total"))
     return of_page.join(of_first, keys, "left").select(
         *keys, F.coalesce("page_total", "response_total").alias("total_count")
     )
