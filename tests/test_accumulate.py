@@ -47,3 +47,11 @@ def test_chain_ends_at_its_first_empty_body(spark):
     df = spark.createDataFrame(rows, "key string, response_seq int, body string")
     kept = {(r.key, r.response_seq) for r in until_empty(df, ["key"]).collect()}
     assert kept == {("a", 0), ("b", 0), ("b", 5), ("e", 0), ("f", 0)}
+
+
+def test_a_later_capture_replaces_an_empty_one(spark):
+    rows = [("a", 0, "{}", 1), ("a", 0, '{"x":2}', 2), ("a", 1, '{"x":1}', 2),
+            ("b", 0, '{"x":1}', 1), ("b", 0, "{}", 2), ("b", 1, '{"x":1}', 1)]
+    df = spark.createDataFrame(rows, "key string, response_seq int, body string, fetched_at int")
+    kept = {(r.key, r.response_seq, r.body) for r in until_empty(df, ["key"]).collect()}
+    assert kept == {("a", 0, '{"x":2}'), ("a", 1, '{"x":1}')}

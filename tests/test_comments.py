@@ -209,7 +209,9 @@ def test_announced_totals(spark):
         ({"a": {"text": runs("comments")}, "b": {"text": runs("9 videos")}}, None),
         ({}, None),
     ]
-    facts = discussion.video_facts(page_rows(spark, [p for p, _ in cases]), 1)
+    open_ = {"itemSectionRenderer": {"continuationItemRenderer": {"x": 1}},
+             "sortFilterSubMenuRenderer": {"subMenuItems": [entry("p"), entry("r")]}}
+    facts = discussion.video_facts(page_rows(spark, [{**p, **open_} for p, _ in cases]), 1)
     got = [r.page_total for r in facts.orderBy("video_id").collect()]
     assert got == [want for _, want in cases]
 
@@ -223,6 +225,30 @@ def test_announced_totals(spark):
     assert (totals["v11"], totals["v14"], totals["v00"]) == (20, None, 1234)
 
 
+def test_totals_are_had_only_where_comments_are_asked_for(spark):
+    section = {"itemSectionRenderer": {"continuationItemRenderer": {"x": 1}}}
+    menu = {"sortFilterSubMenuRenderer": {"subMenuItems": [entry("p"), entry("r")]}}
+    pages = [{**section, **menu, "commentCount": 1}, {**menu, "commentCount": 2},
+             {**section, "commentCount": 3}, {**section, "commentCount": 4},
+             {**section, "commentCount": 5}]
+    retry = [{"commentCount": 9}, None, {**menu, "commentCount": 900}, None, menu]
+    facts = discussion.video_facts(page_rows(spark, pages, retry), 1, "retry")
+    kind = ("channel_ref string, video_id string, response_seq int, sort_by int, body string, "
+            "fetched_at int")
+    later = spark.createDataFrame(
+        [("@c", "v04", 0, 1, '{"commentCount": 60}', 1), ("@c", "v04", 0, 0,
+         '{"commentCount": 70}', 3), ("@c", "v03", 0, 1, '{"commentCount": 80}', 1),
+         ("@c", "v04", 0, 1, '{"commentCount": 61}', 2)], kind).withColumn(
+             "fetched_at", F.timestamp_seconds("fetched_at"))
+    for n in (1, 5):
+        totals = discussion.comment_totals(facts, later.repartition(n, "body"))
+        got = {r.video_id: r.total_count for r in totals.collect()}
+        assert got == {"v00": 1, "v01": None, "v02": 900, "v03": None, "v04": 61}
+    popular = discussion.comment_totals(facts, later, 0)
+    assert {r.video_id: r.total_count for r in popular.collect()}["v04"] == 70
+    assert [r.video_id for r in discussion.sort_failures(facts).collect()] == ["v03"]
+
+
 def test_expected_total(column):
     assert column([5, None], "bigint", discussion.expected_total) == [5, None]
     assert column([5, None], "bigint", lambda c: discussion.expected_total(c, 3)) == [3, 3]
@@ -239,10 +265,45 @@ def test_whole_job(spark):
     caps = responses(spark, [
         ("v", 0, body(comment("a"), comment("b"), bar())), ("w", 0, body(comment("c"), bar())),
         ("unlisted", 0, body(comment("d"), bar())), ("x", 0, {"externalErrorMessage": "e"})])
+    caps = caps.union(spark.createDataFrame(
+        [("@c", None, "videos", None, 1, None, '{"cut', T0)], RESPONSE_CAPTURES))
+    watch = json.dumps({"itemSectionRenderer": {"continuationItemRenderer": {"x": 1}}})
+    pages = pages.union(spark.createDataFrame(
+        [("@c", "w", "u", f"ytcfg.set({{}}); var ytInitialData = {watch};</script>", T0),
+         ("@d", None, "u", "earlier", T0 - dt.timedelta(1))], PAGE_CAPTURES))
     tables = channel_tables(pages, caps, max_videos=2, per_video_limit=1)
     assert [r.video_id for r in tables.videos.orderBy("order").collect()] == ["v", "w"]
     got = tables.comments.select("order", "video_id", "pos", "cid").orderBy("order").collect()
     assert [tuple(r) for r in got] == [(1, "v", 1, "a"), (2, "w", 1, "c")]
     assert {tuple(r) for r in tables.errors.collect()} == {
-        ("@c", "x", "Error returned from server: e"), ("@d", None, "Failed to extract ytcfg")}
+        ("@c", "x", "Error returned from server: e"), ("@d", None, "Failed to extract ytcfg"),
+        ("@c", None, "Failed to parse response JSON"), ("@c", "w", "Failed to set sorting")}
+    assert tables.errors.count() == 4
+    assert [tuple(r) for r in tables.totals.collect()] == [("@c", "w", None)]
+    assert "html" not in tables.errors._jdf.queryExecution().optimizedPlan().toString()
     assert "vidlake" in tables.comments.select(F.first("source")).first()[0]
+
+
+def nested_deep(levels, inner):
+    return '{"x":' * levels + json.dumps(inner) + "}" * levels
+
+
+def test_no_body_vanishes(spark):
+    good = body(comment("a"), bar())
+    rows = [("cut", 0, good), ("cut", 1, json.dumps(good)[:-2]), ("cut", 2, good),
+            ("deep", 0, nested_deep(1500, good)), ("deep", 1, good),
+            ("deeper", 0, nested_deep(200000, good)), ("text", 0, "<html>"),
+            ("odd", 0, '{"frameworkUpdates": 5}'), ("odd", 1, good), ("list", 0, "[1]"),
+            ("list", 1, good), ("none", 0, None), ("none", 1, good)]
+    parsed = C.parse_comment_bodies(responses_of(spark, rows))
+    got = cids(C.comments(C.number_responses(parsed)))
+    assert got == {"cut": ["a"], "deep": ["a", "a"], "odd": ["a"], "list": ["a"]}
+    failed = {(r.video_id, r.first_seq, r.error) for r in C.video_errors(parsed).collect()}
+    assert failed == {(v, s, "Failed to parse response JSON") for v, s in (
+        ("cut", 1), ("deeper", 0), ("text", 0))}
+
+
+def responses_of(spark, rows):
+    data = [("@c", v, "comments", 1, s, f"{v}-{s}", json.dumps(b) if isinstance(b, dict) else b,
+             T0 + dt.timedelta(seconds=s)) for v, s, b in rows]
+    return spark.createDataFrame(data, RESPONSE_CAPTURES)

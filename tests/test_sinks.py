@@ -92,6 +92,33 @@ def test_folder_of_a_channel_is_replaced(spark, tmp_path):
     assert files(path, "b_c", "json")  # other channels stay
 
 
+def test_listed_channels_start_fresh(spark, tmp_path):
+    listed = spark.createDataFrame([("@a",), ("@new",)], "channel_ref string")
+    path = str(tmp_path / "out")
+    sinks.export_comments(comments(spark, ROWS), "json", path, channels=listed)
+    rest = comments(spark, [r for r in ROWS if r[0] != "@a"])
+    sinks.export_comments(rest, "json", path, channels=listed)
+    assert not files(path, "a", "json") and files(path, "b_c", "json")
+    path = str(tmp_path / "videos")
+    sinks.export_videos(videos(spark, VIDEOS), "csv", path, listed)
+    sinks.export_videos(videos(spark, VIDEOS[-1:]), "csv", path, listed)
+    assert not files(path, "a", "csv") and files(path, "b", "csv")
+
+
+def test_documents_are_not_joined_by_their_key(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = sinks.videos_json_lines(videos(spark, VIDEOS))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines()
+             if "hashpartitioning(" in line]
+    # Both sides of the join are dealt by the identity of an element, sums by the document.
+    assert sum("order#" in d for d in dealt) == 2 and len(dealt) == 4 and "Window" not in plan
+
+
 def test_folder_per_video(spark, tmp_path):
     path = str(tmp_path / "out")
     sinks.export_comments(comments(spark, ROWS), "json", path, per_video=True)

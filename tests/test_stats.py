@@ -54,6 +54,13 @@ def test_comments_of_failed_videos_do_not_count(spark):
     sizes = spark.createDataFrame([], "channel_ref string, bytes long")
     (row,) = stats.channel_stats(log, videos, comments, sizes, failed).collect()
     assert (row.videos, row.comments, row.bytes_mb) == (2, 4, 0.0)
+    sizes = spark.createDataFrame(
+        [("@a", "v", 2**20), ("@a", "w", 2**21)], "channel_ref string, video_id string, bytes long")
+    (row,) = stats.channel_stats(log, videos, comments, sizes, failed).collect()
+    assert row.bytes_mb == 2.0
+    listed = videos.union(spark.createDataFrame([("@a", "none")], keys))
+    counts = {r.video_id: r.comments for r in stats.comments_per_video(comments, listed).collect()}
+    assert counts == {"v": 3, "w": 4, "none": 0}
 
 
 def test_batch_report(spark):

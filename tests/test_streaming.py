@@ -3,50 +3,65 @@ from __future__ import annotations
 from test_comments import bar, body, comment, responses
 
 from vidlake import streaming
-from vidlake.streaming.live import comment_stream
+from vidlake.operators.comments import parse_comment_bodies
 
 
 def land(spark, path, rows):
     responses(spark, rows).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_comments_arrive_once(spark, tmp_path):
-    landing, out, state = (str(tmp_path / x) for x in ("landing", "out", "state"))
+def run(spark, tmp_path, job, state="state"):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    stream = streaming.read_landing(spark, landing, files_per_batch=1)
+    job(stream, out, str(tmp_path / state)).awaitTermination()
+    return out
+
 
-    def run():
-        job = streaming.stream_comments(
-            streaming.read_landing(spark, landing, files_per_batch=1), out, state)
-        job.awaitTermination()
-        return streaming.observed_rows(job), sorted(r.cid for r in spark.read.parquet(out).collect())
+def test_comments_arrive_once(spark, tmp_path):
+    def cids():
+        out = run(spark, tmp_path, streaming.stream_comments)
+        rows = streaming.landed_comments(spark, out).orderBy("video_id", "pos").collect()
+        return streaming.written_comments(spark, out), [(r.cid, r.pos) for r in rows]
 
+    landing = str(tmp_path / "landing")
     land(spark, landing, [("v", 0, body(comment("a"), comment("b"), bar())), ("v", 1, "{}")])
-    land(spark, landing, [("v", 2, {"externalErrorMessage": "x"}), ("w", 0, {"z": [
+    land(spark, landing, [("v", 2, body(comment("late"), bar())), ("w", 0, {"z": [
         comment("c"), bar()]})])
-    assert run() == (3, ["a", "b", "c"])
+    assert cids() == (4, [("a", 1), ("b", 2), ("c", 1)])  # the chain of v ended before
     land(spark, landing, [("w", 1, body(comment("d"), bar()))])
-    assert run() == (1, ["a", "b", "c", "d"])
-    assert run()[1] == ["a", "b", "c", "d"]
+    assert cids() == (5, [("a", 1), ("b", 2), ("c", 1), ("d", 2)])
+    assert cids()[0] == 5
 
 
-def test_live_totals(spark, tmp_path):
-    landing, out, state = (str(tmp_path / x) for x in ("landing", "out", "state"))
+def test_written_comments_of_many_batches(spark, tmp_path):
+    rows = [("v", i, body(comment(f"c{i}"), bar())) for i in range(110)]
+    responses(spark, rows).repartition(110, "response_seq").write.option(
+        "maxRecordsPerFile", 1).parquet(str(tmp_path / "landing"))
+    out = run(spark, tmp_path, streaming.stream_comments)
+    assert streaming.written_comments(spark, out) == 110
+    assert streaming.landed_comments(spark, out).count() == 110
+
 
-    def run():
-        streaming.live_totals(streaming.read_landing(spark, landing, files_per_batch=1), out,
-                              state).awaitTermination()
+def test_live_totals(spark, tmp_path):
+    def totals():
+        out = run(spark, tmp_path, streaming.live_totals)
         return [tuple(r) for r in streaming.latest_totals(spark, out).collect()]
 
-    heart = "TOOLBAR_HEART_STATE_HEARTED"
+    landing, heart = str(tmp_path / "landing"), "TOOLBAR_HEART_STATE_HEARTED"
     land(spark, landing, [("v", 0, body(comment("a", text="12"), bar("k", heart)))])
     land(spark, landing, [("w", 0, body(comment("b", text="345"), comment("c", text=""), bar()))])
-    assert run() == [("@c", 3, 5, 1)]
-    land(spark, landing, [("v", 1, body(comment("d", text="x"), bar("k", heart)))])
-    assert run() == [("@c", 4, 6, 2)]
+    assert totals() == [("@c", 3, 5, 1)]
+    land(spark, landing, [("v", 1, body(comment("d", text="x"), bar("k", heart))),
+                          ("w", 1, "{"), ("w", 2, body(comment("e"), bar()))])
+    assert totals() == [("@c", 4, 6, 2)]  # w ended where it could not be read
+    again = responses(spark, [("v", 1, body(comment("d", text="xyz"), bar()))])
+    again.selectExpr("* except (fetched_at)", "fetched_at + INTERVAL 1 DAY AS fetched_at").write.mode(
+        "append").parquet(landing)
+    assert totals() == [("@c", 4, 8, 1)]  # captured again
 
 
-def test_stream_is_stateless(spark, tmp_path):
-    land(spark, str(tmp_path), [("v", 0, body(comment("a"), bar()))])
-    rows = comment_stream(responses(spark, [("v", 0, body(comment("a"), bar()))]))
+def test_parsing_is_stateless(spark):
+    rows = parse_comment_bodies(responses(spark, [("v", 0, body(comment("a"), bar()))]))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
     assert plan.count("ArrowEvalPython") == 1

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: Keys per page of videos; with 25 brands about 30 videos a page.
 PARTS_PER_PAGE = 750
 TURNS_PER_RESPONSE = 3
+#: Place of a response cut short, after all pages of its channel.
+CUT_SEQ = 10000
+#: Beyond the last turn of any conversation.
+LAST_TURN = 3000000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +88,11 @@ def brand_channel() -> Column:
 
 
 def video_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(page_captures, response_captures): a part is a video, its brand the channel."""
+    """(page_captures, response_captures): a part is a video, its brand the channel.
+
+    Some first pages and responses were captured badly before. Some channels have a response cut
+    short after their last page and one after that, which must not count.
+    """
     seq = F.floor(F.col("p_partkey") / PARTS_PER_PAGE).cast("int")
     pages = (
         table(spark, sf_dir, "part")
@@ -155,7 +163,22 @@ def video_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         .alias("request_token"),
         later.alias("body"), fetched.alias("fetched_at"),
     )
-    return page_captures, responses
+    before = F.col("fetched_at") - F.expr("INTERVAL 1 MINUTE")
+    bad_pages = page_captures.filter(F.crc32("channel_ref") % 3 == 0).withColumns({
+        "html": F.lit("<html>try again</html>"), "fetched_at": before})
+    bad = responses.filter("response_seq % 2 = 1").withColumns({
+        "body": F.when(F.col("response_seq") % 4 == 1, F.lit("{}")).otherwise(F.lit('{"on')),
+        "fetched_at": before})
+    after = pages.filter("response_seq = 0 and brand % 4 = 1").select(
+        "channel_ref", later.alias("body"), fetched.alias("fetched_at"),
+    ).withColumn("response_seq", F.explode(F.array(F.lit(CUT_SEQ), F.lit(CUT_SEQ + 1))))
+    after = after.select(
+        "channel_ref", F.lit(None).cast("string").alias("video_id"), F.lit("videos").alias("kind"),
+        F.lit(None).cast("int").alias("sort_by"), "response_seq",
+        F.lit(None).cast("string").alias("request_token"),
+        F.when(F.col("response_seq") == CUT_SEQ, F.expr("left(body, length(body) - 2)"))
+        .otherwise(F.col("body")).alias("body"), "fetched_at")
+    return page_captures.union(bad_pages), responses.union(bad).union(after)
 
 
 def shelf_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,13 +221,14 @@ def talk_channel() -> Column:
 def comment_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`response_captures`: a conversation is a video, its turns are the comments.
 
-    Both orders are captured: 1 as spoken, 0 backwards. Some chains hold an empty body or a
-    server error, some bodies keep their payloads in an undeclared place.
+    Both orders are captured: 1 as spoken, 0 backwards. Some chains hold an empty body, one cut
+    short or a server error, some bodies keep their payloads in an undeclared place, some are
+    nested 1,500 deep. Some responses were captured badly before.
     """
     turns = table(spark, sf_dir, "conversations").withColumn(
         "sort_by", F.explode(F.array(F.lit(0), F.lit(1))))
     conv, turn = F.col("conv_id"), F.col("turn")
-    seq = F.floor(F.when(F.col("sort_by") == 1, turn).otherwise(1000 - turn)
+    seq = F.floor(F.when(F.col("sort_by") == 1, turn).otherwise(LAST_TURN - turn)
                   / TURNS_PER_RESPONSE).cast("int")
     payload = F.struct(
         F.struct(
@@ -273,13 +297,30 @@ def comment_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("frameworkUpdates"),
         F.when(moved, elsewhere).alias("other"),
     )))
-    return bodies.select(
-        "channel_ref", "video_id", F.lit("comments").alias("kind"), "sort_by", "response_seq",
+    cut = (F.col("conv_id") % 13 == 5) & (F.col("conv_id") % 9 != 4) & (F.col("response_seq") == 1)
+    deep = (F.col("conv_id") % 17 == 3) & ~cut & (F.col("response_seq") == 0)
+    bodies = bodies.select("*", body.alias("body")).withColumn("body", F.when(
+        cut, F.expr("left(body, length(body) - 3)")
+    ).when(
+        deep, F.expr("""concat(left(body, length(body) - 1), ',"deep":', repeat('[', 1500),
+                               repeat(']', 1500), '}')""")
+    ).otherwise(F.col("body")))
+    bad = (
+        F.when(F.col("conv_id") % 3 == 0, F.lit("{}"))
+        .when(F.col("conv_id") % 3 == 1, F.lit('{"externalErrorMessage": "gone"}'))
+        .otherwise(F.lit('{"frameworkUpdates": {')))
+    good = bodies.select(
+        "conv_id", "channel_ref", "video_id", F.lit("comments").alias("kind"), "sort_by",
+        "response_seq",
         F.concat_ws("-", "video_id", F.col("sort_by").cast("string"),
                     F.col("response_seq").cast("string")).alias("request_token"),
-        body.alias("body"),
-        F.timestamp_seconds(F.lit(1700000000) + F.col("response_seq")).alias("fetched_at"),
+        "body",
+        F.timestamp_seconds(F.lit(1700000000) + F.when(
+            F.col("sort_by") == 1, F.col("response_seq")).otherwise(0)).alias("fetched_at"),
     )
+    earlier = good.filter("conv_id % 7 = 2 and response_seq % 2 = 0").withColumns({
+        "body": bad, "fetched_at": F.col("fetched_at") - F.expr("INTERVAL 1 MINUTE")})
+    return good.union(earlier).drop("conv_id")
 
 
 def known_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,22 +380,64 @@ def talk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         talk_channel().alias("channel_ref"), talk_video().alias("video_id"), "conv_id",
         data.alias("data"),
         F.when(~own_menu & (conv % 16 == 5),
-               F.to_json(F.struct(menu.alias("sortFilterSubMenuRenderer")))).alias("retry_body"),
+               F.to_json(F.struct(menu.alias("sortFilterSubMenuRenderer"),
+                                  (900 + conv * 3).alias("commentCount")))).alias("retry_body"),
     )
 
 
+def talk_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(page_captures, response_captures) of whole channels: lists of their conversations, a
+    thousand ids to a response, pages and comments of these, and a channel without any page."""
+    conv = F.col("conv_id")
+    at = F.timestamp_seconds(F.lit(1700000000))
+    talks = table(spark, sf_dir, "conversations").select(
+        "conv_id", talk_channel().alias("channel_ref"), talk_video().alias("video_id")).distinct()
+    listed = talks.groupBy(
+        "channel_ref", (F.floor(conv / 1000) + 1).cast("int").alias("response_seq")
+    ).agg(F.array_sort(F.collect_list(F.struct("conv_id", "video_id"))).alias("rows"))
+    items = F.transform("rows", lambda r: F.struct(F.struct(F.struct(F.struct(
+        r["video_id"].alias("videoId")).alias("videoRenderer")).alias("content"))
+        .alias("richItemRenderer")))
+    none = F.lit(None).cast("string")
+    lists = listed.select(
+        "channel_ref", none.alias("video_id"), F.lit("videos").alias("kind"),
+        F.lit(None).cast("int").alias("sort_by"), "response_seq", none.alias("request_token"),
+        F.to_json(F.struct(F.array(F.struct(F.struct(items.alias("continuationItems"))
+                                            .alias("appendContinuationItemsAction")))
+                           .alias("onResponseReceivedActions"))).alias("body"),
+        at.alias("fetched_at"))
+
+    def html(data: Column) -> Column:
+        return F.concat(F.lit("ytcfg.set({}); var ytInitialData = "), data, F.lit(";</script>"))
+
+    first = talks.select("channel_ref").distinct().union(
+        spark.range(1).select(F.lit("@gone").alias("channel_ref"))).select(
+        "channel_ref", none.alias("video_id"), F.col("channel_ref").alias("url"),
+        F.when(F.col("channel_ref") != "@gone", html(F.lit('{"contents": {"none": []}}')))
+        .otherwise(F.lit("<html></html>")).alias("html"), at.alias("fetched_at"))
+    watched = talk_pages(spark, sf_dir).select(
+        "channel_ref", "video_id", F.col("video_id").alias("url"), html(F.col("data"))
+        .alias("html"), at.alias("fetched_at"))
+    return first.union(watched), lists.union(comment_captures(spark, sf_dir))
+
+
 def counting_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two responses per conversation; the first announces a number, the second another."""
+    """Two responses per conversation and order, each captured twice; in the latest captures of
+    the recent order the first announces a number, the second another."""
     conv = F.col("conv_id")
     talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
         F.count("*").alias("n"))
-    rows = talks.withColumn("response_seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = talks
+    for c in ("response_seq", "sort_by", "again"):
+        rows = rows.withColumn(c, F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.select(
         talk_channel().alias("channel_ref"), talk_video().alias("video_id"), "response_seq",
+        "sort_by", F.timestamp_seconds(F.lit(1700000000) + F.col("again")).alias("fetched_at"),
         F.to_json(F.struct(
-            F.when((conv % 2 == 0) | (F.col("response_seq") == 1),
-                   F.concat((F.col("n") * 10 + F.col("response_seq")).cast("string"),
-                            F.lit("M comments"))).alias("commentCount"))).alias("body"),
+            F.when((F.col("sort_by") == 0) | (F.col("again") == 0), F.lit("7M comments"))
+            .when((conv % 2 == 0) | (F.col("response_seq") == 1),
+                  F.concat((F.col("n") * 10 + F.col("response_seq")).cast("string"),
+                           F.lit("M comments"))).alias("commentCount"))).alias("body"),
     )
 
 

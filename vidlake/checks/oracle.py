@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vidlake import SOURCE
+from vidlake.checks.captures import LAST_TURN
 
 _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 
@@ -119,7 +120,16 @@ _CID = "'t' || conv_id || CASE WHEN turn % 2 = 1 THEN '.' ELSE '-' END || turn"
 #: Turns received before their video's chain ends.
 _KEPT = """
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations
-    WHERE NOT (conv_id % 9 = 4 AND turn >= 3) AND NOT (conv_id % 11 = 7 AND turn >= 6)"""
+    WHERE NOT (conv_id % 9 = 4 AND turn >= 3) AND NOT (conv_id % 11 = 7 AND turn >= 6)
+      AND NOT (conv_id % 13 = 5 AND turn >= 3)"""
+#: Conversations whose chain ends at a response cut short or at a server error.
+_BROKEN = """
+    SELECT DISTINCT conv_id, CASE WHEN conv_id % 13 = 5 THEN 1 ELSE 2 END AS first_seq,
+      CASE WHEN conv_id % 13 = 5 THEN 'Failed to parse response JSON'
+        ELSE 'Error returned from server: quota "used" up' END AS error
+    FROM conversations WHERE conv_id % 9 <> 4 AND (
+      (conv_id % 13 = 5 AND turn BETWEEN 3 AND 5)
+      OR (conv_id % 13 <> 5 AND conv_id % 11 = 7 AND turn BETWEEN 6 AND 8))"""
 
 
 def _exported(ext: str, more: str = "") -> str:
@@ -128,14 +138,12 @@ def _exported(ext: str, more: str = "") -> str:
       printf('%04d', conv_id // 5 + 1) || '_c' || conv_id || '.{ext}' AS file_name,
       {_CID} AS cid, text, length(text)::VARCHAR AS text_length, {_VOTES} AS votes,
       (turn % 4)::VARCHAR AS replies, ({_HEART})::VARCHAR AS heart,
-      (turn % 2 = 1)::VARCHAR AS reply, '2023-11-14T22:13:20+00:00' AS scraped_at{more}
+      (turn % 2 = 1)::VARCHAR AS reply, '2023-11-14T22:13:20+00:00' AS scraped_at,
+      turn || ' days ago' AS time, '@' || role AS author, 'UC' || conv_id AS channel,
+      'https://img.example/a/' || role AS photo, '{SOURCE}' AS source{more}
     FROM ({_KEPT}) WHERE conv_id % 4 <> 3"""
 
 
-_STREAMED = """
-    SELECT * FROM conversations WHERE NOT (conv_id % 9 = 4 AND turn // 3 = 1)
-      AND NOT (conv_id % 11 = 7 AND turn // 3 = 2)"""
-
 _RUN_LOG = """
     SELECT printf('run-%02d', c_nationkey) AS run_id, CAST(c_custkey AS INTEGER) AS idx,
       '@' || c_name AS channel, c_custkey,
@@ -148,7 +156,8 @@ _UNTIL_FAILURE = f"""
     SELECT * FROM (SELECT *, count(*) FILTER (status = 'failed') OVER (
         PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f
       FROM ({_RUN_LOG})) WHERE f = 0"""
-_STATS = f"""
+def _stats_of(counted: str) -> str:
+    return f"""
     SELECT run_id, idx, channel, status, error,
       CASE WHEN status = 'ok' THEN coalesce(v, 0) ELSE 0 END AS videos,
       CASE WHEN status = 'ok' THEN coalesce(c, 0) ELSE 0 END AS comments,
@@ -156,10 +165,14 @@ _STATS = f"""
       CASE WHEN status = 'ok' THEN coalesce(b, 0) / 1048576::DOUBLE ELSE 0::DOUBLE END AS bytes_mb,
       CASE WHEN status = 'ok' THEN finished - started ELSE 0::DOUBLE END AS duration_sec
     FROM ({_RUN_LOG}) r
-    LEFT JOIN (SELECT o_custkey, count(*) AS v, CAST(sum({_CENTS}) AS BIGINT) AS b
+    LEFT JOIN (SELECT o_custkey, count(*) AS v, CAST(sum({_CENTS}) FILTER ({counted}) AS BIGINT) AS b
                FROM orders GROUP BY 1) o ON o.o_custkey = r.c_custkey
     LEFT JOIN (SELECT o_custkey, count(*) AS c FROM lineitem JOIN orders
-               ON l_orderkey = o_orderkey GROUP BY 1) l ON l.o_custkey = r.c_custkey"""
+               ON l_orderkey = o_orderkey WHERE {counted} GROUP BY 1) l
+      ON l.o_custkey = r.c_custkey"""
+
+
+_STATS = _stats_of("TRUE")
 
 _EVENTS = """
     SELECT 'u' || user_id AS channel, 'e' || event_id AS video_id, event_id,
@@ -229,6 +242,17 @@ def _config(robust: bool) -> str:
     FROM pages"""
 
 
+_DEEP = """
+    SELECT c_nationkey, CAST(c_custkey // 2000 AS INTEGER) AS part,
+      CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // 2000
+                              ORDER BY c_custkey DESC) AS INTEGER) AS pos,
+      CASE WHEN c_custkey % 2 = 0 THEN '"' || c_name || '"'
+        ELSE '{"name": "' || c_name || '"}' END AS value
+    FROM customer
+    UNION ALL
+    SELECT DISTINCT c_nationkey, CAST(c_custkey // 2000 AS INTEGER), 0,
+      '"nation \\"é\\" ' || c_nationkey || '"' FROM customer"""
+
 _ORACLE = {
     "channel_refs": _REF_LINES,
     "channel_list": f"SELECT channel, reject, count(*) AS listed FROM ({_REF_LINES}) GROUP BY 1, 2",
@@ -294,16 +318,8 @@ _ORACLE = {
           WHEN page_id % 4 = 2 THEN 'Failed to parse ytcfg JSON'
           ELSE 'Failed to extract ytInitialData' END AS error
         FROM pages WHERE page_id % 8 = 7 OR page_id % 4 = 2 OR page_id % 9 = 8""",
-    "deep_search": """
-        SELECT c_nationkey, CAST(c_custkey // 2000 AS INTEGER) AS part,
-          CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // 2000
-                                  ORDER BY c_custkey DESC) AS INTEGER) AS pos,
-          CASE WHEN c_custkey % 2 = 0 THEN '"' || c_name || '"'
-            ELSE '{"name": "' || c_name || '"}' END AS value
-        FROM customer
-        UNION ALL
-        SELECT DISTINCT c_nationkey, CAST(c_custkey // 2000 AS INTEGER), 0,
-          '"nation \\"é\\" ' || c_nationkey || '"' FROM customer""",
+    "deep_search": _DEEP,
+    "deep_bodies": _DEEP,
     "longest_token": f"SELECT o_custkey, response_seq, token FROM ({_LONGEST})",
     "next_tokens": f"""
         SELECT o_custkey, response_seq,
@@ -327,7 +343,7 @@ _ORACLE = {
     "channel_totals": f"""
         SELECT channel_ref, count(*) AS videos, CAST(sum(view_count) AS BIGINT) AS views,
           CAST(sum(secs) FILTER (length <> '') AS BIGINT) AS seconds
-        FROM ({_VIDEOS}) WHERE "order" <= 100 GROUP BY 1""",
+        FROM ({_VIDEOS}) GROUP BY 1""",
     "comments_flat": f"""
         SELECT '@talk' || (conv_id % 5) AS channel_ref, 'c' || conv_id AS video_id, pos,
           {_CID} AS cid, text, CAST(length(text) AS INTEGER) AS text_length,
@@ -348,26 +364,54 @@ _ORACLE = {
           CAST(conv_id // 5 + 1 AS INTEGER) AS "order", pos, {_CID} AS cid
         FROM ({_KEPT}) WHERE conv_id % 4 <> 3""",
     "comments_per_video": f"""
-        SELECT '@talk' || (conv_id % 5) AS channel_ref, 'c' || conv_id AS video_id,
-          count(*) AS comments FROM ({_KEPT}) GROUP BY 1, 2""",
+        SELECT '@talk' || (conv_id % 5) AS channel_ref, kind || conv_id AS video_id,
+          CASE WHEN kind = 'c' THEN (SELECT count(*) FROM ({_KEPT}) k WHERE k.conv_id = t.conv_id)
+            ELSE 0 END AS comments
+        FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 <> 3) t,
+          (VALUES ('c'), ('no-c')) kinds(kind)""",
     "counted_comments": f"""
         SELECT '@talk' || (conv_id % 5) AS channel_ref, count(*) AS comments FROM ({_KEPT})
-        WHERE conv_id NOT IN (SELECT conv_id FROM conversations
-          WHERE conv_id % 11 = 7 AND conv_id % 9 <> 4 AND turn BETWEEN 6 AND 8)
+        WHERE conv_id NOT IN (SELECT conv_id FROM ({_BROKEN}))
         GROUP BY 1""",
-    "server_errors": """
-        SELECT DISTINCT 'c' || conv_id AS video_id, 2 AS first_seq,
-          'Error returned from server: quota "used" up' AS error
-        FROM conversations WHERE conv_id % 11 = 7 AND conv_id % 9 <> 4 AND turn BETWEEN 6 AND 8""",
-    "response_chains": """
+    "server_errors": f"SELECT 'c' || conv_id AS video_id, first_seq, error FROM ({_BROKEN})",
+    "unreadable_responses": f"""
+        SELECT '@talk' || (conv_id % 5) AS channel_ref, 'c' || conv_id AS video_id, first_seq,
+          error FROM ({_BROKEN}) WHERE conv_id % 13 = 5
+        UNION ALL
+        SELECT DISTINCT '@' || replace(p_brand, '#', '-'), NULL, 10000,
+          'Failed to parse response JSON'
+        FROM part WHERE p_partkey < 750
+          AND CAST(regexp_extract(p_brand, '\\d+') AS INTEGER) % 4 = 1""",
+    "channel_job": f"""
+        WITH talks AS (SELECT *, '@talk' || (conv_id % 5) AS channel_ref, 'c' || conv_id AS video_id,
+            row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id) AS place,
+            conv_id % 10 <> 6 AND conv_id % 8 <> 5 AS found FROM ({_TALKS}))
+        SELECT 'video' AS kind, channel_ref, video_id, place AS number,
+          'https://www.youtube.com/watch?v=' || video_id AS text FROM talks
+        UNION ALL
+        SELECT 'comment', '@talk' || (conv_id % 5), 'c' || conv_id, pos, {_CID} FROM ({_KEPT})
+        UNION ALL
+        SELECT 'error', '@talk' || (conv_id % 5), 'c' || conv_id, NULL, error FROM ({_BROKEN})
+        UNION ALL
+        SELECT 'error', channel_ref, video_id, NULL, 'Failed to set sorting' FROM talks
+        WHERE conv_id % 7 <> 3 AND NOT found
+        UNION ALL
+        SELECT 'error', '@gone', NULL, NULL, 'Failed to extract ytcfg'
+        UNION ALL
+        SELECT 'total', channel_ref, video_id,
+          CASE WHEN found AND conv_id % 7 NOT IN (3, 6) THEN {_TOTAL} END, NULL FROM talks""",
+    "response_chains": f"""
         SELECT 'c' || conv_id AS video_id, 1 AS sort_by, count(DISTINCT turn // 3) AS responses
         FROM conversations WHERE NOT (conv_id % 9 = 4 AND turn >= 3) GROUP BY 1
         UNION ALL
-        SELECT 'c' || conv_id, 0, count(DISTINCT (1000 - turn) // 3) FROM conversations
+        SELECT 'c' || conv_id, 0, count(DISTINCT ({LAST_TURN} - turn) // 3) FROM conversations
         GROUP BY 1""",
     "comment_totals": f"""
-        SELECT 'c' || conv_id AS video_id, {_TOTAL} AS total_count, 100::BIGINT AS limited,
-          {_TOTAL} AS expected FROM ({_TALKS})""",
+        SELECT 'c' || conv_id AS video_id, total AS total_count, 100::BIGINT AS limited,
+          total AS expected
+        FROM (SELECT conv_id, CASE WHEN conv_id % 7 = 3 OR conv_id % 10 = 6 THEN NULL
+                WHEN conv_id % 16 = 5 THEN 900 + conv_id * 3 WHEN conv_id % 8 = 5 THEN NULL
+                ELSE {_TOTAL} END AS total FROM ({_TALKS}))""",
     "disabled_videos": f"""
         SELECT 'c' || conv_id AS video_id, conv_id % 7 <> 3 AS comments_enabled
         FROM ({_TALKS})""",
@@ -379,8 +423,11 @@ _ORACLE = {
         FROM (SELECT conv_id, conv_id % 10 <> 6 AND (conv_id % 8 <> 5 OR conv_id % 16 = 5)
               AS found FROM ({_TALKS}))""",
     "channel_stats": f"SELECT * EXCLUDE (bytes) FROM ({_STATS})",
+    "channel_stats_failed":
+        f"SELECT * EXCLUDE (bytes) FROM ({_stats_of('o_orderkey % 10 <> 3')})",
     "batch_report": f"""
         SELECT run_id, any_value(folder) AS folder, count(*) AS channels_total,
+          any_value(first_at) AS started_at, any_value(last_at) AS finished_at,
           count(*) FILTER (status = 'ok') AS channels_ok,
           count(*) FILTER (status = 'failed') AS channels_failed,
           CAST(sum(videos) AS BIGINT) AS total_videos,
@@ -388,6 +435,10 @@ _ORACLE = {
           CAST(printf('%.2f', sum(bytes_mb)) AS DOUBLE) AS total_bytes_mb,
           CAST(printf('%.1f', any_value(span)) AS DOUBLE) AS total_duration_sec
         FROM ({_STATS}) JOIN (SELECT run_id, max(finished) - min(started) AS span,
+                                CAST(1735689600000000 + min(started) * 1000000 AS BIGINT)
+                                  AS first_at,
+                                CAST(1735689600000000 + max(finished) * 1000000 AS BIGINT)
+                                  AS last_at,
                                 strftime(TIMESTAMP '2025-01-01' + to_seconds(min(started)),
                                          '%Y-%m-%d_%H-%M-%S') AS folder
                               FROM ({_RUN_LOG}) GROUP BY 1) USING (run_id)
@@ -460,6 +511,7 @@ _ORACLE = {
     "export_json": _exported("jsonl"),
     "export_csv": _exported("csv"),
     "export_parquet": _exported("parquet"),
+    "export_rerun": f"SELECT * FROM ({_exported('jsonl')}) WHERE channel_key <> 'talk1'",
     "export_sizes": f"""
         SELECT channel_key, CAST(sum(strlen('{{"cid":"' || cid || '","text":' || to_json(text)
             || ',"text_length":' || text_length || ',"time":"' || turn || ' days ago","author":"@'
@@ -471,23 +523,35 @@ _ORACLE = {
         FROM ({_exported('jsonl', ', turn, role, conv_id')}) GROUP BY 1""",
     "export_videos_csv": f"""
         SELECT ltrim(channel_ref, '@') AS channel_key, "order", video_id, title,
+          title_length::VARCHAR AS title_length, nullif(thumbnail_url, '') AS thumbnail_url,
           nullif(channel_id, '') AS channel_id, view_count::VARCHAR AS view_count,
           nullif(view_count_raw, '') AS view_count_raw, nullif(length, '') AS length,
           length_minutes, url FROM ({_VIDEOS})""",
     "videos_documents": f"""
-        SELECT ltrim(channel_ref, '@') AS channel_key, video_id, title, title_length, channel_id,
-          view_count, length_minutes, url, "order" FROM ({_VIDEOS})""",
-    "streamed_comments": f"""
-        SELECT 'c' || conv_id AS video_id, CAST(turn // 3 AS INTEGER) AS response_seq,
-          CAST(turn % 3 AS INTEGER) AS at, {_CID} AS cid,
-          CAST(length(text) AS INTEGER) AS text_length, {_VOTES} AS votes, {_HEART} AS heart
-        FROM ({_STREAMED})""",
+        SELECT ltrim(channel_ref, '@') AS channel_key, 1 AS part, NULL AS line,
+          "order" = 1 AS begins, video_id, title, title_length, channel_id, view_count,
+          view_count_raw, length, length_minutes, thumbnail_url, url, "order" FROM ({_VIDEOS})
+        UNION ALL
+        SELECT ltrim(channel_ref, '@'), part, CASE part
+            WHEN 0 THEN '{{' || chr(10) || '  "channel_id": "' || channel_ref || '",' || chr(10)
+              || '  "total_videos": ' || n || ',' || chr(10) || '  "videos": ['
+            ELSE '    }}' || chr(10) || '  ],' || chr(10) || '  "scraped_at": "'
+              || strftime(TIMESTAMP '2023-11-14 22:13:20' + to_seconds(last), '%Y-%m-%dT%H:%M:%S')
+              || '+00:00",' || chr(10) || '  "source": "{SOURCE}"' || chr(10) || '}}' END,
+          NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM (SELECT channel_ref, count(*) AS n FROM ({_VIDEOS}) GROUP BY 1)
+          JOIN (SELECT '@' || replace(p_brand, '#', '-') AS channel_ref,
+                  max(p_partkey // 750) AS last FROM part GROUP BY 1) USING (channel_ref),
+          (VALUES (0), (2)) parts(part)""",
     "streamed_totals": f"""
         SELECT '@talk' || (conv_id % 5) AS channel_ref, count(*) AS comments,
           CAST(sum(length(text)) AS BIGINT) AS characters, count(*) FILTER ({_HEART}) AS hearts
-        FROM ({_STREAMED}) GROUP BY 1""",
+        FROM ({_KEPT}) GROUP BY 1""",
 }
 
 
+_ORACLE["streamed_comments"] = _ORACLE["comments_flat"]
+
+
 def oracle() -> dict[str, str]:
     return dict(_ORACLE)

@@ -23,17 +23,30 @@ from vidlake.functions import (
     safe_name,
     video_comments_path,
 )
+from vidlake.functions.jsonscan import BODY_ERROR
 from vidlake.operators import comments as com
 from vidlake.operators import discussion, nested, progress, stats
 from vidlake.operators import videos as vid
 from vidlake.operators.embedded import extract_config, extract_data, page_errors
-from vidlake.plans.channels import comment_responses, video_table
+from vidlake.plans.channels import channel_tables, comment_responses, video_pages, video_table
 from vidlake.schemas import COMMENT_FIELDS, VIDEO_FIELDS
 from vidlake.session import new_path, staged
 from vidlake.sinks import export_comments, export_videos, videos_json_lines
 from vidlake.sinks.tables import csv_cell
-from vidlake.sources import parse_channel_lines, read_channel_list, until_empty
-from vidlake.streaming import latest_totals, live_totals, read_landing, stream_comments
+from vidlake.sources import (
+    parse_channel_lines,
+    read_channel_list,
+    read_pages,
+    read_responses,
+    until_empty,
+)
+from vidlake.streaming import (
+    landed_comments,
+    latest_totals,
+    live_totals,
+    read_landing,
+    stream_comments,
+)
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -263,8 +276,13 @@ def embedded_data(spark, sf_dir):
 def page_errors_listed(spark, sf_dir):
     scripts = table(spark, sf_dir, "pages").select("page_id", _data_script().alias("script"))
     pages = _config_pages(spark, sf_dir).join(scripts, "page_id").select(
-        "page_id", F.concat("script", F.lit("\n"), "html").alias("html"))
-    return page_errors(pages)
+        "page_id", F.concat(F.lit("@p"), F.col("page_id").cast("string")).alias("channel_ref"),
+        F.lit(None).cast("string").alias("video_id"),
+        F.concat("script", F.lit("\n"), "html").alias("html"),
+        F.timestamp_seconds(F.lit(1700000000)).alias("fetched_at"))
+    before = pages.filter("page_id % 5 = 0").withColumns({
+        "html": F.lit(""), "fetched_at": F.timestamp_seconds(F.lit(1600000000))})
+    return page_errors(pages.union(before)).select("page_id", "error")
 
 
 @query
@@ -272,6 +290,13 @@ def deep_search(spark, sf_dir):
     return nested.search_key(cap.customer_bodies(spark, sf_dir), "body", "name")
 
 
+@query
+def deep_bodies(spark, sf_dir):
+    deep = F.concat(F.repeat(F.lit("["), 1500), "body", F.repeat(F.lit("]"), 1500))
+    return nested.search_key(
+        cap.customer_bodies(spark, sf_dir).withColumn("body", deep), "body", "name")
+
+
 @query
 def longest_token(spark, sf_dir):
     endpoint = nested.longest_continuation(F.col("body"))
@@ -324,7 +349,7 @@ def videos_fallback(spark, sf_dir):
 
 @query
 def channel_totals(spark, sf_dir):
-    return _videos(spark, sf_dir, max_videos=100).groupBy("channel_ref").agg(
+    return _videos(spark, sf_dir).groupBy("channel_ref").agg(
         F.count("*").alias("videos"), F.sum("view_count").alias("views"),
         F.sum(F.round(F.col("length_minutes") * 60).cast("bigint")).alias("seconds"))
 
@@ -368,7 +393,10 @@ def comments_of_videos(spark, sf_dir):
 
 @query
 def comments_per_video(spark, sf_dir):
-    return stats.comments_per_video(com.comments(com.number_responses(_parsed(spark, sf_dir))))
+    listed = cap.known_talks(spark, sf_dir).select("channel_ref", "video_id")
+    silent = listed.withColumn("video_id", F.concat(F.lit("no-"), "video_id"))
+    return stats.comments_per_video(
+        com.comments(com.number_responses(_parsed(spark, sf_dir))), listed.union(silent))
 
 
 @query
@@ -383,6 +411,36 @@ def server_errors(spark, sf_dir):
     return com.video_errors(_parsed(spark, sf_dir)).select("video_id", "first_seq", "error")
 
 
+@query
+def unreadable_responses(spark, sf_dir):
+    listed = vid.channel_errors(video_pages(*cap.video_captures(spark, sf_dir)))
+    talks = com.video_errors(_parsed(spark, sf_dir)).filter(F.col("error") == BODY_ERROR)
+    shown = ["channel_ref", "video_id", "first_seq", "error"]
+    return listed.withColumn("video_id", F.lit(None).cast("string")).select(*shown).unionByName(
+        talks.select(*shown))
+
+
+@query
+def channel_job(spark, sf_dir):
+    paths = []
+    for name, rows in zip(("pages", "responses"), cap.talk_captures(spark, sf_dir)):
+        paths.append(new_path(spark, name))
+        rows.write.parquet(paths[-1])
+    t = channel_tables(read_pages(spark, paths[0]), read_responses(spark, paths[1]))
+
+    def rows(df: DataFrame, name: str, number: Column, text: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("kind"), "channel_ref", "video_id",
+                         number.cast("bigint").alias("number"), text.alias("text"))
+
+    none = F.lit(None).cast("string")
+    return (
+        rows(t.videos, "video", F.col("order"), F.col("url"))
+        .union(rows(t.comments, "comment", F.col("pos"), F.col("cid")))
+        .union(rows(t.errors, "error", none, F.col("error")))
+        .union(rows(t.totals, "total", F.col("total_count"), none))
+    )
+
+
 @query
 def response_chains(spark, sf_dir):
     keys = ["channel_ref", "video_id", "sort_by"]
@@ -429,10 +487,20 @@ def channel_stats(spark, sf_dir):
     return _stats(spark, sf_dir)[2]
 
 
+@query
+def channel_stats_failed(spark, sf_dir):
+    _, log = cap.run_logs(spark, sf_dir)
+    videos = cap.order_videos(spark, sf_dir)
+    lines = cap.line_comments(spark, sf_dir).join(videos, "video_id").select(
+        "channel_ref", "video_id")
+    return stats.channel_stats(log, videos, lines, videos, videos.filter("video_id % 10 = 3"))
+
+
 @query
 def batch_report(spark, sf_dir):
     listed, log, rows = _stats(spark, sf_dir)
-    return stats.batch_report(listed, log, rows).drop("started_at", "finished_at")
+    return stats.batch_report(listed, log, rows).withColumns({
+        c: F.unix_micros(c) for c in ("started_at", "finished_at")})
 
 
 @query
@@ -532,8 +600,7 @@ def _exported(spark: SparkSession, sf_dir: str, fmt: str) -> str:
     return path
 
 
-_READ_BACK = ["channel_key", "file_name", "cid", "text", "text_length", "votes", "replies",
-              "heart", "reply", "scraped_at"]
+_READ_BACK = ["channel_key", "file_name", *COMMENT_FIELDS]
 
 
 def _read_back(df: DataFrame) -> DataFrame:
@@ -558,6 +625,17 @@ def export_parquet(spark, sf_dir):
     return _read_back(spark.read.parquet(_exported(spark, sf_dir, "parquet")))
 
 
+@query
+def export_rerun(spark, sf_dir):
+    path = _exported(spark, sf_dir, "json")
+    listed = cap.known_talks(spark, sf_dir)
+    numbered = com.number_responses(
+        _parsed(spark, sf_dir), videos=listed.filter("channel_ref <> '@talk1'"))
+    export_comments(com.comments(numbered), "json", path, channels=listed)
+    schema = ", ".join(f"{c} string" for c in _READ_BACK)
+    return _read_back(spark.read.schema(schema).json(path))
+
+
 @query
 def export_sizes(spark, sf_dir):
     return stats.file_sizes(spark, _exported(spark, sf_dir, "json"))
@@ -570,18 +648,23 @@ def export_videos_csv(spark, sf_dir):
     files = spark.read.option("header", True).option("escape", '"').csv(path)
     return files.select(
         "channel_key", F.col("order").cast("int").alias("order"), "video_id", "title",
-        "channel_id", "view_count", "view_count_raw", "length",
+        "title_length", "thumbnail_url", "channel_id", "view_count", "view_count_raw", "length",
         F.col("length_minutes").cast("double").alias("length_minutes"), "url")
 
 
 @query
 def videos_documents(spark, sf_dir):
-    lines = videos_json_lines(_videos(spark, sf_dir)).filter("part = 1")
+    lines = videos_json_lines(_videos(spark, sf_dir))
     element = F.from_json(
-        F.regexp_replace("line", r",\z", ""),
+        F.concat(F.regexp_replace("line", r"\A    \},\n", ""), F.lit("}")),
         "video_id string, title string, title_length int, channel_id string, view_count bigint, "
-        "length_minutes double, url string, `order` int")
-    return lines.select("channel_key", element.alias("v")).select("channel_key", "v.*")
+        "view_count_raw string, length string, length_minutes double, thumbnail_url string, "
+        "url string, `order` int")
+    return lines.select(
+        "channel_key", "part", F.when(F.col("part") != 1, F.col("line")).alias("line"),
+        F.when(F.col("part") == 1, F.col("line").startswith("    {")).alias("begins"),
+        F.when(F.col("part") == 1, element).alias("v"),
+    ).select("channel_key", "part", "line", "begins", "v.*")
 
 
 # --- streams ------------------------------------------------------------------------------
@@ -598,8 +681,8 @@ def streamed_comments(spark, sf_dir):
     out = new_path(spark, "streamed")
     job = stream_comments(_landing(spark, sf_dir), out, new_path(spark, "streamed-state"))
     job.awaitTermination()
-    return spark.read.parquet(out).select(
-        "video_id", "response_seq", "at", "cid", "text_length", "votes", "heart")
+    return landed_comments(spark, out).select(
+        "channel_ref", "video_id", "pos", *_SHOWN, "record_error")
 
 
 @query

@@ -20,6 +20,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _MARKS = re.compile(r'\\.|["{}]', re.DOTALL)
 
+#: Field of a parsed body that is set if Spark's parser did not read all of it as declared.
+CORRUPT = "_corrupt"
+BODY_ERROR = "Failed to parse response JSON"
+
 
 def _single(udf):
     """The function, marked so that Spark computes it once where it stands.
@@ -75,14 +79,28 @@ def values_of(node, key: str):
             waiting.extend(node)
 
 
-def _search(body: str | None, keys: list[str]) -> list[list[str] | None]:
+def _search(body: str | None, keys: list[str]) -> list[list[str] | str | None]:
+    """The values of each key and, last, why the body cannot be searched."""
     if body is None:
-        return [None] * len(keys)
+        return [None] * (len(keys) + 1)
     try:
         node = json.loads(body)
+        return [*[[json.dumps(v, ensure_ascii=False) for v in values_of(node, key)]
+                  for key in keys], None]
     except (ValueError, RecursionError):
-        return [[] for _ in keys]
-    return [[json.dumps(v, ensure_ascii=False) for v in values_of(node, key)] for key in keys]
+        return [*[[] for _ in keys], BODY_ERROR]
+
+
+def parsed_body(body: Column, schema: str) -> Column:
+    """A body parsed against a declared `struct<...>`. Its field `CORRUPT` is set if the body is
+    no JSON, nested too deep for Spark's parser, or holds other types than declared."""
+    return F.from_json(body, f"{schema[:-1]},{CORRUPT}:string>",
+                       {"columnNameOfCorruptRecord": CORRUPT})
+
+
+def suspect(doc: Column, body: Column) -> Column:
+    """Whether `parsed_body` may have missed something, so that the body has to be searched."""
+    return body.isNotNull() & (doc.isNull() | doc[CORRUPT].isNotNull())
 
 
 def mentions(body: Column, keys: list[str]) -> Column:
@@ -94,21 +112,30 @@ def mentions(body: Column, keys: list[str]) -> Column:
     return hit
 
 
-def find_many(body: Column, keys: list[str]) -> Column:
+def find_many(body: Column, keys: list[str], anyway: Column | None = None) -> Column:
     """A struct with one field per key: JSON texts of all its values, in search order.
 
-    Each body is parsed once, and only if one of the names occurs in it.
+    Each body is parsed once, and only if one of the names occurs in it or if `anyway` says so.
+    What cannot be parsed has no values and an error, see `body_error`.
     """
-    fields = ", ".join(f"{key} array<string>" for key in keys)
+    names = [*keys, "_error"]
+    kinds = [pa.list_(pa.string())] * len(keys) + [pa.string()]
+    fields = ", ".join([*[f"{key} array<string>" for key in keys], "_error string"])
 
     @F.arrow_udf(fields)
     def search(bodies: pa.Array) -> pa.Array:
         rows = [_search(b, keys) for b in bodies.to_pylist()]
-        columns = [pa.array(c, pa.list_(pa.string())) for c in zip(*rows)] if rows else [
-            pa.array([], pa.list_(pa.string())) for _ in keys]
-        return pa.StructArray.from_arrays(columns, names=keys)
+        columns = zip(*rows) if rows else [[] for _ in names]
+        return pa.StructArray.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+    wanted = mentions(body, keys)
+    return _single(search)(F.when(wanted if anyway is None else anyway | wanted, body))
+
 
-    return _single(search)(F.when(mentions(body, keys), body))
+def body_error(matches: Column) -> Column:
+    """Why a body that `find_many` looked at cannot be read; NULL if it can."""
+    return matches["_error"]
 
 
 def count_name(body: Column, key: str) -> Column:

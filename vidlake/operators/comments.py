@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from vidlake import SOURCE, schemas
 from vidlake.functions.jsonscan import (
+    body_error,
     count_name,
     find_many,
     found,
     json_scalar,
     mentions,
+    parsed_body,
+    suspect,
 )
 from vidlake.functions.refs import strip
 from vidlake.operators.nested import is_empty
@@ -91,27 +94,31 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
 
     Comments and toolbar states stand in one body, so their join is a lookup within the row
     (the first state of a key wins) and needs no shuffle. Bodies that hold either of them
-    anywhere else than in the declared place are found by counting names, and searched.
+    anywhere else than in the declared place are found by counting names, and searched, as are
+    those nested too deep for Spark's parser. A body that is no JSON, or nested too deep for any
+    parser, has no comments and says so in `body_error`.
     """
     chosen = F.col("sort_by") == sort_by
     if sort_by == SORT_RECENT:
         chosen = chosen | F.col("sort_by").isNull()
     rows = responses.filter((F.col("kind") == "comments") & chosen)
     rows = rows.withColumn("sort_by", F.lit(sort_by)).withColumn(
-        "_doc", F.from_json("body", schemas.COMMENT_BODY))
+        "_doc", parsed_body(F.col("body"), schemas.COMMENT_BODY))
     mutations = F.col("_doc.frameworkUpdates.entityBatchUpdate.mutations")
     rows = rows.select(
         *_KEYS, "response_seq", "fetched_at", "body",
         _present(mutations, COMMENT_KEY, _PAYLOADS).alias("_comments"),
         _present(mutations, TOOLBAR_KEY, _STATES).alias("_states"),
+        (suspect(F.col("_doc"), F.col("body")) & ~is_empty(F.col("body"))).alias("_suspect"),
     )
     deep = (count_name(F.col("body"), COMMENT_KEY) != F.size("_comments")) | (
         count_name(F.col("body"), TOOLBAR_KEY) != F.size("_states")
     )
     rows = rows.withColumn("_deep", deep)
-    search = F.col("_deep") | mentions(F.col("body"), [ERROR_KEY])
+    search = F.col("_deep") | F.col("_suspect") | mentions(F.col("body"), [ERROR_KEY])
     rows = rows.withColumn("_found", find_many(
-        F.when(search, F.col("body")), [COMMENT_KEY, TOOLBAR_KEY, ERROR_KEY]))
+        F.when(search, F.col("body")), [COMMENT_KEY, TOOLBAR_KEY, ERROR_KEY],
+        anyway=F.col("_suspect")))
 
     def in_order(key: str, schema: str) -> Column:
         return F.transform(F.reverse(found(F.col("_found"), key)),
@@ -120,6 +127,7 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     rows = rows.select(
         *_KEYS, "response_seq", "fetched_at", is_empty(F.col("body")).alias("empty"),
         server_error(F.get(found(F.col("_found"), ERROR_KEY), F.lit(0))).alias("server_error"),
+        body_error(F.col("_found")).alias("body_error"),
         F.when(F.col("_deep"), in_order(COMMENT_KEY, schemas.COMMENT_PAYLOAD))
         .otherwise(F.col("_comments")).alias("_comments"),
         F.when(F.col("_deep"), in_order(TOOLBAR_KEY, schemas.TOOLBAR_STATE))
@@ -138,7 +146,7 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     rows = rows.withColumn("_state_keys", keys).withColumn(
         "_joined", F.transform("_comments", joined))
     rows = rows.select(
-        *_KEYS, "response_seq", "fetched_at", "empty", "server_error",
+        *_KEYS, "response_seq", "fetched_at", "empty", "server_error", "body_error",
         F.transform("_joined", comment_record).alias("comments"))
     bad = F.filter("comments", lambda c: c["record_error"].isNotNull())
     return rows.select(
@@ -150,6 +158,11 @@ def parse_comment_bodies(responses: DataFrame, sort_by: int = SORT_RECENT) -> Da
     )
 
 
+def ends_chain() -> Column:
+    """Whether a parsed response ends its chain and does not count itself."""
+    return F.expr("empty or server_error is not null or body_error is not null")
+
+
 def number_responses(parsed: DataFrame, strict: bool = False, videos: DataFrame | None = None,
                      per_video_limit: int | None = None) -> DataFrame:
     """Responses that count, with the number of comments before each in its video.
@@ -159,8 +172,8 @@ def number_responses(parsed: DataFrame, strict: bool = False, videos: DataFrame
     thousands of responses, never to the comments, so the join adds no shuffle of them. With a
     limit, responses beyond it are left out.
 
-    A video's chain ends at its first empty body or server error. With `strict` it also ends
-    at its first incomplete comment, which is dropped along with all after it.
+    A video's chain ends at its first empty or unreadable body or server error. With `strict` it
+    also ends at its first incomplete comment, which is dropped along with all after it.
     """
     if per_video_limit is not None and per_video_limit < 1:
         raise ValueError("per_video_limit must be at least 1")
@@ -168,7 +181,7 @@ def number_responses(parsed: DataFrame, strict: bool = False, videos: DataFrame
     cut = F.col("first_bad") > 0
     # After a cut nothing follows, so counting the comments it drops moves no number.
     rows = placed(
-        parsed, _KEYS, "n_comments", F.col("empty") | F.col("server_error").isNotNull(), "min",
+        parsed, _KEYS, "n_comments", ends_chain(), "min",
         cut=cut if strict else None, limit=per_video_limit,
         lookup=None if videos is None else videos.select("channel_ref", "video_id", "order"),
     )
@@ -205,11 +218,12 @@ def comments(numbered: DataFrame, per_video_limit: int | None = None,
 
 
 def video_errors(parsed: DataFrame) -> DataFrame:
-    """The first failure of each video before its chain ends: a server error or an incomplete
-    comment. Where a response was captured more than once, the latest capture counts."""
+    """The first failure of each video before its chain ends: an unreadable response, a server
+    error or an incomplete comment. Where a response was captured more than once, the latest
+    capture counts."""
     seq = F.col("response_seq")
     capture = F.struct("fetched_at", "empty",
-                       F.coalesce("server_error", "first_problem").alias("error"))
+                       F.coalesce("body_error", "server_error", "first_problem").alias("error"))
     rows = parsed.groupBy(*_KEYS, "response_seq").agg(F.max(capture).alias("_c")).select(
         *_KEYS, "response_seq", "_c.empty", "_c.error").filter("empty or error is not null")
     failed = F.col("error").isNotNull()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vidlake import schemas
 from vidlake.functions.jsonscan import find_many, find_values, first_value, found, json_scalar
 from vidlake.functions.numbers import parse_comment_count
+from vidlake.operators.comments import SORT_RECENT
 from vidlake.operators.nested import is_empty, token_of
 
 # Where a number of comments may stand, tried in this order.
@@ -88,55 +89,91 @@ def video_facts(pages: DataFrame, sort_by: int, retry: str | None = None) -> Dat
     number of comments announced), `sort_token` and `sort_error` (the menu's entry for the
     chosen order, or that it is missing) and `retry_token` (the first continuation of the
     section list, to be asked where there is no menu). `retry` names a column with the body
-    captured in answer to that token.
+    captured in answer to that token: where the page has no menu, both the menu and the number of
+    comments are taken from that body, and a page without such a body has neither.
     """
     keys = [SECTION_KEY, MENU_KEY, LIST_KEY, *COUNT_KEYS]
     df = pages.withColumn("_page", find_many(F.col("data"), keys))
     first = {k: F.get(found(F.col("_page"), k), F.lit(0)) for k in keys}
     df = df.select("*", first[SECTION_KEY].alias("_section"), first[LIST_KEY].alias("_list"),
                    _menu(first[MENU_KEY]).alias("_menu"))
-    df = _add_count(df, "data", "_page", "page_total")
+    df = df.withColumn("_counted", F.col("data"))
+    if retry:
+        lacking = F.coalesce(F.size("_menu"), F.lit(0)) < 1
+        again = [MENU_KEY, *COUNT_KEYS]
+        df = df.withColumn("_lacking", lacking).withColumn(
+            "_retry", find_many(F.when(F.col("_lacking"), F.col(retry)), again))
+        df = df.withColumns({
+            "_counted": F.when(F.col("_lacking"), F.col(retry)).otherwise(F.col("data")),
+            "_menu": F.when(F.col("_lacking"), _menu(F.get(found(F.col("_retry"), MENU_KEY),
+                                                           F.lit(0)))).otherwise(F.col("_menu")),
+            "_page": F.struct(*[
+                F.when(F.col("_lacking"), F.col("_retry")[k]).otherwise(F.col("_page")[k])
+                .alias(k) for k in COUNT_KEYS]),
+        }).drop("_lacking", "_retry")
+    df = _add_count(df, "_counted", "_page", "page_total")
     df = df.select(
         "*",
         (~is_empty(first_value(F.col("_section"), "continuationItemRenderer")))
         .alias("comments_enabled"),
         token_of(first_value(F.col("_list"), "continuationEndpoint")).alias("retry_token"),
     )
-    if retry:
-        lacking = F.coalesce(F.size("_menu"), F.lit(0)) < 1
-        df = df.withColumn("_retry", _menu(first_value(
-            F.when(lacking, F.col(retry)), MENU_KEY)))
-        df = df.withColumn("_menu", F.when(lacking, F.col("_retry")).otherwise(F.col("_menu")))
-        df = df.drop("_retry")
     entry = F.get("_menu", F.lit(sort_by))
     return df.select(
         "*",
         entry["serviceEndpoint"]["continuationCommand"]["token"].alias("sort_token"),
         F.when(F.coalesce(F.size("_menu"), F.lit(0)) <= sort_by, F.lit(SORT_ERROR))
         .alias("sort_error"),
-    ).drop("_page", "_section", "_list", "_menu")
+    ).drop("_page", "_counted", "_section", "_list", "_menu")
+
+
+def latest_facts(facts: DataFrame) -> DataFrame:
+    """One row per video: `comments_enabled`, `sort_error`, `page_total` of its latest capture.
+
+    Without `fetched_at` a video has one page; of several, the same one is always taken.
+    """
+    keys = ["channel_ref", "video_id"]
+    stamp = ["fetched_at"] if "fetched_at" in facts.columns else []
+    capture = F.struct(*stamp, "comments_enabled", "sort_error", "page_total")
+    return facts.groupBy(*keys).agg(F.max(capture).alias("_c")).select(
+        *keys, "_c.comments_enabled", "_c.sort_error", "_c.page_total")
+
+
+def sort_failures(facts: DataFrame) -> DataFrame:
+    """Videos whose comments are on but cannot be had in the chosen order, with the error."""
+    return latest_facts(facts).filter("comments_enabled and sort_error is not null").select(
+        "channel_ref", "video_id", F.col("sort_error").alias("error"))
 
 
-def comment_totals(facts: DataFrame, responses: DataFrame) -> DataFrame:
+def comment_totals(facts: DataFrame, responses: DataFrame,
+                   sort_by: int = SORT_RECENT) -> DataFrame:
     """Announced number of comments per video: the page's, else the first response's.
 
-    `facts` comes from `video_facts`; `responses` are comment responses. Bodies are searched
+    NULL where comments are off or the order asked for is not offered, since nothing is asked
+    then. `facts` comes from `video_facts`; `responses` are comment responses, of which those in
+    the order `sort_by` count (those that do not say their order are recent). Bodies are searched
     where they are read and never shuffled: the latest place at which any chain begins, one
     number found from the narrow columns, is pushed to the scan as a filter, and only counts
-    meet the pages. Of chains that begin at the same place the lower `sort_by` counts, of
-    captures of one response the latest, so the partitioning of the input makes no difference.
+    meet the pages. Of captures of one page or response the latest counts, so the partitioning
+    of the input makes no difference.
     """
     keys = ["channel_ref", "video_id"]
-    of_page = facts.groupBy(*keys).agg(F.max("page_total").alias("page_total"))
+    of_page = latest_facts(facts).withColumn(
+        "_asked", F.expr("comments_enabled and sort_error is null"))
+    if "sort_by" in responses.columns:
+        responses = responses.filter(
+            F.coalesce("sort_by", F.lit(SORT_RECENT)) == sort_by)
     begins = responses.groupBy(*keys).agg(F.min("response_seq").alias("first"))
     latest = begins.agg(F.max("first")).first()[0]
     early = responses.filter(F.col("response_seq") <= (0 if latest is None else latest))
-    ties = {"sort_by": F.col("sort_by"), "fetched_at": -F.unix_micros("fetched_at")}
-    place = [F.col("response_seq"), *[c for n, c in ties.items() if n in responses.columns]]
+    place = [F.col("response_seq")]
+    if "fetched_at" in responses.columns:
+        place.append(-F.unix_micros("fetched_at"))
     of_first = add_comment_count(early, "body", "total").groupBy(*keys).agg(
         F.min_by("total", F.struct(*place)).alias("response_total"))
     return of_page.join(of_first, keys, "left").select(
-        *keys, F.coalesce("page_total", "response_total").alias("total_count")
+        *keys, F.when(F.col("_asked"), F.coalesce("page_total", "response_total"))
+        .alias("total_count")
     )
 
 

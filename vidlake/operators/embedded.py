@@ -58,13 +58,33 @@ def extract_config(df: DataFrame, html: str = "html", out: str = "config",
     return _extract(df, html, out, CONFIG, CONFIG_OBJECT, CONFIG_OPENING, robust)
 
 
-def page_errors(pages: DataFrame) -> DataFrame:
-    """Pages that cannot be used, with the reason: settings are looked for first, then data."""
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Every page's `data`, and in `error` why it cannot be used: settings are looked for first,
+    then data. The html is read once and dropped."""
     rest = [c for c in pages.columns if c != "html"]
-    both = extract_data(extract_config(pages))
-    return both.select(
-        *rest, F.coalesce("config_error", "data_error").alias("error")
-    ).filter("error is not null")
+    return extract_data(extract_config(pages)).select(
+        *rest, "data", F.coalesce("config_error", "data_error").alias("error"))
+
+
+def latest_pages(pages: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the latest capture of each page, a page being a channel's or a video's."""
+    keys = ["channel_ref", "video_id"]
+    capture = F.struct("fetched_at", *columns)
+    return pages.groupBy(*keys).agg(F.max(capture).alias("_c")).select(*keys, "_c.*")
+
+
+def page_errors(pages: DataFrame) -> DataFrame:
+    """Pages that cannot be used, with the reason; `pages` holds html or comes from `read_pages`.
+
+    Where `channel_ref`, `video_id` and `fetched_at` tell captures of one page apart, the latest
+    counts; only these columns and the reason are shuffled. Pages of other tables all count.
+    """
+    read = pages if "error" in pages.columns else read_pages(pages)
+    read = read.drop("data")
+    if {"channel_ref", "video_id", "fetched_at"} <= set(read.columns):
+        rest = [c for c in read.columns if c not in ("channel_ref", "video_id", "fetched_at")]
+        read = latest_pages(read, *rest).select(*read.columns)
+    return read.filter("error is not null")
 
 
 def extract_data(df: DataFrame, html: str = "html", out: str = "data",

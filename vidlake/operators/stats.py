@@ -23,8 +23,14 @@ SUMMARY_PARTS = [
 ]
 
 
-def comments_per_video(comments: DataFrame) -> DataFrame:
-    return comments.groupBy("channel_ref", "video_id").agg(F.count("*").alias("comments"))
+def comments_per_video(comments: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """Comments of each video; with `videos`, of exactly those, 0 where there are none."""
+    keys = ["channel_ref", "video_id"]
+    counts = comments.groupBy(*keys).agg(F.count("*").alias("comments"))
+    if videos is None:
+        return counts
+    return videos.select(*keys).distinct().join(counts, keys, "left").select(
+        *keys, F.coalesce("comments", F.lit(0)).alias("comments"))
 
 
 def counted_comments(comments: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -65,10 +71,14 @@ def channel_stats(run_log: DataFrame, videos: DataFrame, comments: DataFrame,
     `videos` and `comments` need only `channel_ref`, `sizes` has `channel_ref` and `bytes`. All
     three are aggregated before they are joined, so what meets is a row per channel. A channel
     without comments shows 0; a failed one shows zeros and its error. With `failed`, videos by
-    `channel_ref` and `video_id`, the comments of those do not count.
+    `channel_ref` and `video_id`, the comments of those do not count, nor do their bytes where
+    `sizes` has a `video_id`.
     """
     n_videos = videos.groupBy("channel_ref").agg(F.count("*").alias("_videos"))
     n_comments = counted_comments(comments, failed).withColumnRenamed("comments", "_comments")
+    if failed is not None and "video_id" in sizes.columns:
+        keys = ["channel_ref", "video_id"]
+        sizes = sizes.join(failed.select(*keys).distinct(), keys, "left_anti")
     n_bytes = sizes.groupBy("channel_ref").agg(F.sum("bytes").alias("_bytes"))
     rows = run_log.withColumn("channel_ref", F.col("channel"))
     for side in (n_videos, n_comments, n_bytes):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidlake import schemas
-from vidlake.functions.jsonscan import find_many, found
+from vidlake.functions.jsonscan import body_error, find_many, found, parsed_body, suspect
 from vidlake.functions.numbers import length_to_minutes, parse_view_count
 from vidlake.functions.refs import watch_url
 from vidlake.operators.embedded import extract_data
@@ -47,10 +47,14 @@ def _first_page(tabs: Column) -> Column:
 
 
 def channel_responses(pages: DataFrame, responses: DataFrame) -> DataFrame:
-    """First pages and video responses as one bag of bodies; the first page is number 0."""
-    first = extract_data(pages.filter("video_id is null"), out="body").select(
-        "channel_ref", F.lit(0).alias("response_seq"), "body", "fetched_at"
-    )
+    """First pages and video responses as one bag of bodies; the first page is number 0.
+
+    `pages` holds html, or the `data` that `embedded.read_pages` found.
+    """
+    first = pages.filter("video_id is null")
+    first = first if "data" in pages.columns else extract_data(first)
+    first = first.select(
+        "channel_ref", F.lit(0).alias("response_seq"), F.col("data").alias("body"), "fetched_at")
     later = responses.filter("kind = 'videos'").select(
         "channel_ref", "response_seq", "body", "fetched_at"
     )
@@ -86,17 +90,21 @@ def parse_video_bodies(bodies: DataFrame) -> DataFrame:
 
     Every body is parsed once against a declared schema that knows the first page and both
     layouts of later ones. Only a body of neither later layout whose ordered parse yields
-    nothing is searched in depth: rich items first, then grid videos.
+    nothing is searched in depth: rich items first, then grid videos. A body that is no JSON, or
+    nested too deep for any parser, has no videos and says so in `body_error`.
     """
-    parsed = bodies.withColumn("_doc", F.from_json("body", schemas.VIDEO_BODY))
+    parsed = bodies.withColumn("_doc", parsed_body(F.col("body"), schemas.VIDEO_BODY))
     actions = F.coalesce("_doc.onResponseReceivedEndpoints", "_doc.onResponseReceivedActions")
     ordered = F.when(actions.isNotNull(), _later_page(actions)).otherwise(
         _first_page(F.col("_doc.contents.twoColumnBrowseResultsRenderer.tabs"))
     )
     parsed = parsed.withColumn("_ordered", F.coalesce(_ids_only(ordered), _none()))
+    parsed = parsed.withColumn("_suspect", (
+        suspect(F.col("_doc"), F.col("body")) & ~is_empty(F.col("body"))))
     search = actions.isNull() & (F.size("_ordered") == 0)
     parsed = parsed.withColumn("_found", find_many(
-        F.when(search, F.col("body")), ["richItemRenderer", "gridVideoRenderer"]))
+        F.when(search | F.col("_suspect"), F.col("body")),
+        ["richItemRenderer", "gridVideoRenderer"], anyway=F.col("_suspect")))
     deep = F.concat(
         F.transform(found(F.col("_found"), "richItemRenderer"), lambda v: F.from_json(
             v, schemas.RICH_ITEM)["content"]["videoRenderer"]),
@@ -107,6 +115,7 @@ def parse_video_bodies(bodies: DataFrame) -> DataFrame:
     return parsed.select(
         *rest,
         is_empty(F.col("body")).alias("empty"),
+        body_error(F.col("_found")).alias("body_error"),
         F.transform(F.when(search, _ids_only(deep)).otherwise(F.col("_ordered")), _texts)
         .alias("videos"),
     ).withColumn("n_videos", F.size("videos"))
@@ -134,13 +143,13 @@ def videos(parsed: DataFrame, max_videos: int | None = None,
 
     `parsed` comes from `parse_video_bodies`, staged or not. Numbers are the videos on the pages
     before plus the place on the page; pages beyond the limit are dropped before they are
-    unfolded. An empty body ends its channel. Videos without an owner take the channel's
+    unfolded. An empty or unreadable body ends its channel. Videos without an owner take the channel's
     reference on all pages but the first, or on all with `fill_first_page`.
     """
     if max_videos is not None and max_videos < 1:
         raise ValueError("max_videos must be at least 1")
     pages = placed(staged(parsed, "video-pages"), ["channel_ref"], "n_videos",
-                   F.col("empty"), "max", limit=max_videos)
+                   F.expr("empty or body_error is not null"), "max", limit=max_videos)
     rows = unfold(
         pages, ["channel_ref", "response_seq", "scraped_at", "before"], "videos",
         "_pos", "_video",
@@ -149,3 +158,22 @@ def videos(parsed: DataFrame, max_videos: int | None = None,
         rows = rows.filter(F.col("order") <= max_videos)
     fill = F.lit(True) if fill_first_page else F.col("response_seq") > 0
     return video_records(rows, fill).select("channel_ref", *schemas.VIDEO_FIELDS, "scraped_at")
+
+
+def channel_errors(parsed: DataFrame) -> DataFrame:
+    """Channels with a page that cannot be read before their end: `first_seq` and the error.
+
+    `parsed` comes from `parse_video_bodies`. Where a page was captured more than once, the
+    latest capture counts.
+    """
+    seq = F.col("response_seq")
+    capture = F.struct("fetched_at", "empty", "body_error")
+    rows = parsed.groupBy("channel_ref", "response_seq").agg(F.max(capture).alias("_c")).select(
+        "channel_ref", "response_seq", "_c.*").filter("empty or body_error is not null")
+    failed = F.when(F.col("body_error").isNotNull(), seq)
+    return (
+        rows.groupBy("channel_ref")
+        .agg(F.min(failed).alias("first_seq"), F.min(F.when(F.col("empty"), seq)).alias("_end"),
+             F.min_by("body_error", failed).alias("error"))
+        .filter("first_seq is not null and (_end is null or first_seq < _end)").drop("_end")
+    )

@@ -5,26 +5,34 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vidlake import SOURCE
 from vidlake.operators import comments as C
+from vidlake.operators import discussion as D
 from vidlake.operators import videos as V
-from vidlake.operators.embedded import page_errors
+from vidlake.operators.embedded import page_errors, read_pages
 from vidlake.session import stage, staged
 
 
 class ChannelTables(NamedTuple):
     videos: DataFrame
     comments: DataFrame
-    #: Failures: of channels and videos by their pages, of videos by their responses.
+    #: Failures: of channels and videos by their pages, and by their responses.
     errors: DataFrame
+    #: Announced number of comments per video whose page was captured.
+    totals: DataFrame
+
+
+def video_pages(pages: DataFrame, responses: DataFrame) -> DataFrame:
+    """First pages and video responses, parsed in one pass and staged; see `session.stage`."""
+    return staged(V.parse_video_bodies(V.channel_responses(pages, responses)), "video-pages")
 
 
 def video_table(pages: DataFrame, responses: DataFrame, max_videos: int | None = None,
                 fill_first_page: bool = False) -> DataFrame:
-    """Videos of all channels. Bodies are parsed in one pass and staged; see `session.stage`."""
-    parsed = V.parse_video_bodies(V.channel_responses(pages, responses))
-    return V.videos(staged(parsed, "video-pages"), max_videos, fill_first_page)
+    """Videos of all channels."""
+    return V.videos(video_pages(pages, responses), max_videos, fill_first_page)
 
 
 def comment_responses(responses: DataFrame, sort_by: int = C.SORT_RECENT) -> DataFrame:
@@ -41,16 +49,31 @@ def channel_tables(
     strict: bool = False,
     source: str = SOURCE,
 ) -> ChannelTables:
-    """Videos, the comments of those videos, and what failed.
+    """Videos, the comments of those videos, what failed, and how many comments pages announce.
 
     A page whose data can be read yields its videos even if its settings cannot, since nothing
-    is requested with them; the failure is listed all the same. Raw bodies are read once; places
-    of responses are found from narrow columns, and records are unfolded last.
+    is requested with them; the failure is listed all the same. Pages may carry a `retry_body`,
+    see `discussion.video_facts`. The html of pages is read once, what it holds is staged;
+    responses are read once for videos, once for comments and, the first of each video, once for
+    totals. Places of responses are found from narrow columns, and records are unfolded last.
     """
-    videos = stage(video_table(pages, responses, max_videos), "videos")
+    read = stage(read_pages(pages), "pages")
+    listed = video_pages(read, responses)
+    videos = stage(V.videos(listed, max_videos), "videos")
     parsed = comment_responses(responses, sort_by)
     numbered = C.number_responses(parsed, strict, videos, per_video_limit)
+    watched = read.filter("video_id is not null and data is not null")
+    retry = "retry_body" if "retry_body" in pages.columns else None
+    facts = stage(D.video_facts(watched, sort_by, retry).select(
+        "channel_ref", "video_id", "fetched_at", "comments_enabled", "page_total", "sort_error"),
+        "facts")
     failed = ["channel_ref", "video_id", "error"]
-    errors = page_errors(pages).select(*failed).unionByName(
-        C.video_errors(parsed).select(*failed))
-    return ChannelTables(videos, C.comments(numbered, per_video_limit, source), errors)
+    errors = page_errors(read).select(*failed)
+    for more in (
+        V.channel_errors(listed).withColumn("video_id", F.lit(None).cast("string")),
+        C.video_errors(parsed),
+        D.sort_failures(facts),
+    ):
+        errors = errors.unionByName(more.select(*failed))
+    totals = D.comment_totals(facts, responses.filter("kind = 'comments'"), sort_by)
+    return ChannelTables(videos, C.comments(numbered, per_video_limit, source), errors, totals)

@@ -37,16 +37,15 @@ def _members(pairs: list[tuple[str, Column]], indent: int, skip_null: bool = Fal
     return F.concat_ws(",\n", *parts)
 
 
-def _element(pairs: list[tuple[str, Column]], last: Column, skip_null: bool = False) -> Column:
-    return F.concat(
-        F.lit("    {\n"), _members(pairs, 6, skip_null), F.lit("\n    }"),
-        F.when(last, F.lit("")).otherwise(F.lit(",")),
-    )
-
-
-def _document(heads: DataFrame, elements: DataFrame, key: str, size: str, opening: Column,
-              closing: Column, at: str, body: Column) -> DataFrame:
-    """Lines `(key, part, at, line)`: part 0 opens, 1 holds elements, 2 closes."""
+def _document(heads: DataFrame, elements: DataFrame, key: str, first: list[str],
+              opening: Column, closing: Column, at: str, body: Column) -> DataFrame:
+    """Lines `(key, part, at, line)`: part 0 opens, 1 holds elements, 2 closes.
+
+    An element's line ends the element before it, the closing ends the last, so only the first
+    element must be known: the columns `first` tell it from all others, and in `heads` their
+    struct `_first` has its values. Elements meet it by all of these columns, never by the key
+    of the document alone, so that a document of any length is spread evenly.
+    """
     head = heads.select(
         key, F.explode(F.array(
             F.struct(F.lit(0).alias("part"), opening.alias("line")),
@@ -54,8 +53,12 @@ def _document(heads: DataFrame, elements: DataFrame, key: str, size: str, openin
         )).alias("_x")
     ).select(key, "_x.part", F.lit(0).cast("bigint").alias("at"), "_x.line")
     head = head.filter("line is not null")
-    lines = elements.join(heads.select(key, F.col(size).alias("_size")), key).select(
-        key, F.lit(1).alias("part"), F.col(at).cast("bigint").alias("at"), body.alias("line"))
+    begins = heads.filter("_first is not null").select(
+        *[F.col("_first")[c].alias(c) for c in first], F.lit(True).alias("_begins"))
+    lines = elements.join(begins, first, "left").select(
+        key, F.lit(1).alias("part"), F.col(at).cast("bigint").alias("at"),
+        F.concat(F.when(F.col("_begins"), F.lit("")).otherwise(F.lit("    },\n")),
+                 F.lit("    {\n"), body).alias("line"))
     return head.unionByName(lines)
 
 
@@ -65,7 +68,7 @@ def _around(members: Column, name: str, size: Column, rest: Column | None) -> tu
     tail = F.lit("\n}") if rest is None else F.concat(F.lit(",\n"), rest, F.lit("\n}"))
     opening = F.concat(F.lit("{\n"), members, F.lit(f',\n  "{name}": ['),
                        F.when(empty, F.concat(F.lit("]"), tail)).otherwise(F.lit("")))
-    closing = F.when(~empty, F.concat(F.lit("  ]"), tail))
+    closing = F.when(~empty, F.concat(F.lit("    }\n  ]"), tail))
     return opening, closing
 
 
@@ -76,23 +79,25 @@ def videos_json_lines(videos: DataFrame, source: str = SOURCE,
     `channels` lists channels by `channel_ref` and `scraped_at` that get a document even if
     they have no video.
     """
+    first = ["channel_key", "order", "channel_ref", "video_id"]
     rows = videos.withColumn("channel_key", F.coalesce(safe_name(F.col("channel_ref")), F.lit("")))
     heads = rows.groupBy("channel_key").agg(
         F.count("*").alias("total"), F.max("channel_ref").alias("channel_ref"),
-        F.max("scraped_at").alias("scraped_at"), F.max("order").alias("last"))
+        F.max("scraped_at").alias("scraped_at"), F.min(F.struct(
+            "order", "channel_ref", "video_id", "channel_key")).alias("_first"))
     if channels is not None:
         listed = channels.groupBy("channel_ref").agg(F.max("scraped_at").alias("_at"))
         heads = listed.join(heads, "channel_ref", "full_outer").select(
             F.coalesce("channel_key", safe_name(F.col("channel_ref")), F.lit(""))
             .alias("channel_key"), "channel_ref",
             F.coalesce("total", F.lit(0)).alias("total"),
-            F.coalesce("scraped_at", "_at").alias("scraped_at"), "last")
+            F.coalesce("scraped_at", "_at").alias("scraped_at"), "_first")
     opening, closing = _around(
         _members([("channel_id", F.col("channel_ref")), ("total_videos", F.col("total"))], 2),
         "videos", F.col("total"),
         _members([("scraped_at", iso_utc(F.col("scraped_at"))), ("source", F.lit(source))], 2))
-    body = _element([(c, F.col(c)) for c in VIDEO_FIELDS], F.col("order") == F.col("_size"))
-    return _document(heads, rows, "channel_key", "last", opening, closing, "order", body)
+    body = _members([(c, F.col(c)) for c in VIDEO_FIELDS], 6)
+    return _document(heads, rows, "channel_key", first, opening, closing, "order", body)
 
 
 def _write_lines(lines: DataFrame, key: str, path: str) -> int:
@@ -120,16 +125,18 @@ def report_lines(report: DataFrame, stats: DataFrame) -> DataFrame:
     """The report document of every run as `(run_id, part, at, line)`."""
     channels = reported_channels(stats)
     heads = report.join(
-        stats.groupBy("run_id").agg(F.max("idx").alias("last")), "run_id", "left"
+        stats.groupBy("run_id").agg(F.min(F.struct("idx", "run_id")).alias("_first")), "run_id",
+        "left",
     ).withColumn("run_id", F.coalesce("run_id", F.lit("")))
     figures = ["channels_total", "channels_ok", "channels_failed", "total_videos",
                "total_comments", "total_bytes_mb", "total_duration_sec"]
     opening, closing = _around(_members(
         [("started_at", iso_utc(F.col("started_at"))),
          ("finished_at", iso_utc(F.col("finished_at")))]
-        + [(c, F.col(c)) for c in figures], 2), "stats", F.col("last"), None)
-    body = _element([(c, F.col(c)) for c in _STATS], F.col("idx") == F.col("_size"), True)
-    return _document(heads, channels, "run_id", "last", opening, closing, "idx", body)
+        + [(c, F.col(c)) for c in figures], 2), "stats",
+        F.when(F.col("_first").isNotNull(), F.lit(1)), None)
+    body = _members([(c, F.col(c)) for c in _STATS], 6, True)
+    return _document(heads, channels, "run_id", ["run_id", "idx"], opening, closing, "idx", body)
 
 
 def write_report(channel_list: DataFrame, run_log: DataFrame, report: DataFrame,

@@ -59,14 +59,32 @@ def _write(df: DataFrame, fmt: str, path: str, partitions: list[str], fresh: str
     return counted.get["rows"]
 
 
-def export_comments(comments: DataFrame, fmt: str, path: str, per_video: bool = False) -> int:
+def _start_fresh(channels: DataFrame | None, path: str) -> None:
+    """Delete the folders of the listed channels. Names pass the driver one at a time, as the
+    folders of an export do when Spark commits it."""
+    if channels is None:
+        return
+    spark = channels.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in channels.select(_key("channel_ref").alias("name")).distinct().toLocalIterator():
+        folder = names.getPartitionPathString("channel_key", row["name"])
+        fs.delete(hadoop.Path(path, folder), True)
+
+
+def export_comments(comments: DataFrame, fmt: str, path: str, per_video: bool = False,
+                    channels: DataFrame | None = None) -> int:
     """Write comments in order of their video and place; returns the number of rows.
 
     `comments` carries `channel_ref`, `video_id`, `order` and `pos` besides the exported fields.
     The folder of a channel is replaced as a whole; a column `file_name` holds the name of the
     video's own file. With `per_video` each video gets a folder of that name instead, which
-    suits small exports, and the export replaces everything under `path`.
+    suits small exports, and the export replaces everything under `path`. `channels` lists, by
+    `channel_ref`, channels whose folder is deleted first, so that one that has no comment now
+    keeps none of an earlier export.
     """
+    _start_fresh(channels, path)
     ext = "jsonl" if fmt in ("json", "jsonl") else fmt
     rows = comments.select(
         _key("channel_ref").alias("channel_key"), "order", "pos",
@@ -85,13 +103,17 @@ def export_comments(comments: DataFrame, fmt: str, path: str, per_video: bool =
     return _write(out, fmt, path, ["channel_key"], "dynamic")
 
 
-def export_videos(videos: DataFrame, fmt: str, path: str) -> int:
+def export_videos(videos: DataFrame, fmt: str, path: str,
+                  channels: DataFrame | None = None) -> int:
     """Write videos in order, one folder per channel; returns the number of rows.
 
-    JSON is one document per channel, see `write_videos_json`.
+    JSON is one document per channel, see `write_videos_json`, where `channels` (`channel_ref`
+    and, for JSON, `scraped_at`) get one even without videos. In the other formats the folders
+    of these channels are deleted first.
     """
     if fmt not in ("csv", "parquet"):
-        return write_videos_json(videos, path)
+        return write_videos_json(videos, path, channels=channels)
+    _start_fresh(channels, path)
     rows = in_order(
         videos.select(_key("channel_ref").alias("channel_key"), *VIDEO_FIELDS),
         ["channel_key"], ["order"])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidlake import schemas
+from vidlake.operators.accumulate import accumulate
 from vidlake.operators.nested import is_empty
-from vidlake.session import stage
+from vidlake.session import ROW_ID, staged
 
 
 def _read(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
@@ -34,13 +35,14 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def until_empty(responses: DataFrame, keys: list[str], seq: str = "response_seq") -> DataFrame:
-    """Responses of each chain before its first empty body.
+    """Responses of each chain before its first empty body, each by its latest capture.
 
-    The ends of chains are found first and staged: Spark then knows their size and broadcasts
-    them if they are few, so that bodies are not shuffled.
+    Places are found from narrow columns, in buckets of a chain, so that no chain lands in one
+    task; bodies are then picked by row id and so spread evenly. Keys must not be NULL.
     """
-    ends = stage(
-        responses.filter(is_empty(F.col("body"))).groupBy(*keys).agg(F.min(seq).alias("_end")),
-        "chain-ends")
-    kept = F.col("_end").isNull() | (F.col(seq) < F.col("_end"))
-    return responses.join(ends, keys, "left").filter(kept).select(*responses.columns)
+    rows = staged(responses, "responses")
+    stamp = ["fetched_at"] if "fetched_at" in responses.columns else []
+    capture = F.struct(*stamp, ROW_ID, is_empty(F.col("body")).cast("int").alias("_empty"))
+    latest = rows.groupBy(*keys, seq).agg(F.max(capture).alias("_c")).select(*keys, seq, "_c.*")
+    kept = accumulate(latest, keys, seq, {"_ends": F.col("_empty")}).filter("_ends = 0")
+    return rows.join(kept.select(ROW_ID), ROW_ID).select(*responses.columns)

@@ -1,11 +1,15 @@
 """The comment extraction on a landing folder, with Structured Streaming."""
 
 from vidlake.streaming.live import (
+    landed_comments,
     latest_totals,
     live_totals,
-    observed_rows,
     read_landing,
     stream_comments,
+    written_comments,
 )
 
-__all__ = ["latest_totals", "live_totals", "observed_rows", "read_landing", "stream_comments"]
+__all__ = [
+    "landed_comments", "latest_totals", "live_totals", "read_landing", "stream_comments",
+    "written_comments",
+]

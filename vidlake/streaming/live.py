@@ -1,16 +1,23 @@
-"""Streams of comments and of running totals."""
+"""Streams of parsed comment responses, and what is read from their output at any time."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vidlake import SOURCE, schemas
-from vidlake.operators.comments import RECORD, SORT_RECENT, parse_comment_bodies
-from vidlake.operators.unfold import unfold
+from vidlake.operators.accumulate import accumulate
+from vidlake.operators.comments import (
+    SORT_RECENT,
+    comments,
+    ends_chain,
+    number_responses,
+    parse_comment_bodies,
+)
+
+_KEYS = ["channel_ref", "video_id", "sort_by"]
+_FIGURES = ["comments", "characters", "hearts"]
 
 
 def read_landing(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -22,69 +29,67 @@ def read_landing(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.load(path)
 
 
-def comment_stream(responses: DataFrame, sort_by: int = SORT_RECENT,
-                   source: str = SOURCE) -> DataFrame:
-    """Comments with the response they came in and their place in it.
-
-    Stateless: the toolbar lookup stays within a body. Numbers within a video and limits need
-    all responses before a row and belong to a batch job on the stream's output.
-    """
-    rows = parse_comment_bodies(responses, sort_by).filter("server_error is null")
-    rows = unfold(
-        rows, ["channel_ref", "video_id", "sort_by", "response_seq", "fetched_at"], "comments",
-        "at", "_c")
-    return rows.select(
-        "channel_ref", "video_id", "sort_by", "response_seq", "at", *[f"_c.{c}" for c in RECORD],
-        F.col("fetched_at").alias("scraped_at"), F.lit(source).alias("source"),
-        "_c.record_error",
+def _append(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    return (
+        rows.writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
     )
 
 
 def stream_comments(responses: DataFrame, out: str, checkpoint: str,
-                    fmt: str = "parquet") -> StreamingQuery:
-    """Extract all that has landed and append it to `out`; each batch is observed as `comments`.
+                    sort_by: int = SORT_RECENT) -> StreamingQuery:
+    """Parse all that has landed and append one row per response to `out`.
 
-    A restart after a failure continues at the checkpoint; the file sink writes every batch
-    exactly once.
+    Stateless: the toolbar lookup stays within a body. Where a chain ends, which capture of a
+    response is the latest, and numbers within a video need all responses; `landed_comments`
+    finds them. A restart after a failure continues at the checkpoint; the file sink writes
+    every batch exactly once.
     """
-    rows = comment_stream(responses).observe("comments", F.count("*").alias("rows"))
-    return (
-        rows.writeStream.format(fmt).option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    return _append(parse_comment_bodies(responses, sort_by), out, checkpoint)
 
 
-def observed_rows(query: StreamingQuery) -> int:
-    """Comments written so far, from the query's observed metrics."""
-    counts = [p.observedMetrics.get("comments") for p in query.recentProgress]
-    return sum(c["rows"] for c in counts if c is not None)
+def landed_comments(spark: SparkSession, out: str, strict: bool = False,
+                    videos: DataFrame | None = None, per_video_limit: int | None = None,
+                    source: str = SOURCE) -> DataFrame:
+    """The comments of all responses written to `out` so far, exactly as the batch job would
+    number, end and limit them; bodies are not parsed again."""
+    numbered = number_responses(spark.read.parquet(out), strict, videos, per_video_limit)
+    return comments(numbered, per_video_limit, source)
 
 
-def live_totals(responses: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Running totals per channel: comments, characters and hearts so far.
+def written_comments(spark: SparkSession, out: str) -> int:
+    """Comments in the responses written to `out` so far, whatever the number of batches.
 
-    Rows are partly aggregated before the shuffle, and the state holds one row per channel.
-    Each batch writes the channels it changed to a folder of its own, so a repeated batch
-    replaces what it wrote before.
+    Counted from the sink's own log and one narrow column of the files it lists.
     """
-    totals = comment_stream(responses).groupBy("channel_ref").agg(
-        F.count("*").alias("comments"),
-        F.sum("text_length").alias("characters"),
-        F.count_if("heart").alias("hearts"),
-    )
+    return spark.read.parquet(out).agg(F.sum("n_comments")).first()[0] or 0
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    return (
-        totals.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def live_totals(responses: DataFrame, out: str, checkpoint: str,
+                sort_by: int = SORT_RECENT) -> StreamingQuery:
+    """Append the figures of each response that has landed to `out`: its comments, their
+    characters and hearts, and whether it ends its chain. See `latest_totals`."""
+    rows = parse_comment_bodies(responses, sort_by)
+    sizes = F.aggregate("comments", F.lit(0).cast("bigint"),
+                        lambda n, c: n + F.coalesce(c["text_length"], F.lit(0)))
+    return _append(rows.select(
+        *_KEYS, "response_seq", "fetched_at", ends_chain().cast("int").alias("ends"),
+        F.col("n_comments").cast("bigint").alias("comments"), sizes.alias("characters"),
+        F.size(F.filter("comments", lambda c: c["heart"])).cast("bigint").alias("hearts"),
+    ), out, checkpoint)
 
 
 def latest_totals(spark: SparkSession, out: str) -> DataFrame:
-    """The last totals written for each channel by `live_totals`."""
-    rows = spark.read.parquet(out)
-    last = F.max_by(F.struct("comments", "characters", "hearts"), "batch")
-    return rows.groupBy("channel_ref").agg(last.alias("_t")).select("channel_ref", "_t.*")
+    """Totals per channel of all that `live_totals` has written: `comments`, `characters` and
+    `hearts` of the latest capture of each response before the end of its chain.
+
+    The same as totals of the batch job's comments. Only a few numbers per response are read
+    and shuffled, in buckets of a chain, so no video or channel lands in one task.
+    """
+    capture = F.struct("fetched_at", "ends", *_FIGURES)
+    latest = spark.read.parquet(out).groupBy(*_KEYS, "response_seq").agg(
+        F.max(capture).alias("_c")).select(*_KEYS, "response_seq", "_c.*")
+    kept = accumulate(latest, _KEYS, "response_seq", {"_ends": F.col("ends")}).filter("_ends = 0")
+    totals = kept.groupBy("channel_ref").agg(*[F.sum(c).alias(c) for c in _FIGURES])
+    return totals.filter("comments > 0")
