@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the passages of benchmark items cut out of them. All documents stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _columns(decontam.cleaned(decontam.spans(docs, benchmark)), docs)
+    return _columns(decontam.without_passages(docs, benchmark), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,6 +141,10 @@ def test_decontamination_blocks_and_odd(spark, odd, documents, monkeypatch):
         if r.doc_id == 4:
             assert r.n_hit == r.n_words == 40_000
     cut = {r.doc_id: r.text for r in decontam.cleaned(decontam.spans(odd, benchmark)).collect()}
+    two, one = decontam.cleaned(decontam.spans(odd, benchmark)), decontam.without_passages(
+        odd, benchmark)
+    assert sorted(one.collect(), key=repr) == sorted(two.collect(), key=repr)
+    assert one.columns == two.columns
     assert cut.get(3, "") == ""
 
 

@@ -217,11 +217,24 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     count as one; a null item id is written as `null`. Repeated rows are judged alike. No rows
     give no rows. Other columns pass through; those called like a result are replaced.
     """
-    rows = without(docs, "n_words", "n_hit", "items", "spans")
-    out = None
-    for block in _blocks(benchmark):
-        out = _passed(rows if out is None else out, block, window, out is not None)
-    return out
+    return _found(docs, benchmark, window, cut=False)
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`cleaned(spans(docs, benchmark, window))`, with the last pass cutting as it searches, so
+    that texts go to one Python worker once and not to a second one at the same time."""
+    return _found(docs, benchmark, window, cut=True)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, cut: bool) -> DataFrame:
+    rows, again = without(docs, "n_words", "n_hit", "items", "spans"), False
+    blocks = _blocks(benchmark)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        rows = _passed(rows, block, window, again, cut and following is None)
+        block, again = following, True
+    return rows
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
@@ -239,21 +252,24 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
     yield block
 
 
-def _passed(rows: DataFrame, block: list, window: int, again: bool) -> DataFrame:
-    """One block of items against all rows; `again`: add to what earlier blocks found."""
+def _passed(rows: DataFrame, block: list, window: int, again: bool, cut: bool) -> DataFrame:
+    """One block of items against all rows; `again`: add to what earlier blocks found; `cut`:
+    return the rows with what was found cut out of their texts."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(Patterns(block, window))
     kept = [c for c in rows.columns if c not in ("n_words", "n_hit", "items", "spans")] \
         if again else rows.columns
-    schema = schema_with(rows.select(*kept), n_words="long", n_hit="long", items="array<string>",
-                         spans="array<struct<start:int,stop:int>>")
+    schema = rows.select(*kept).schema if cut else schema_with(
+        rows.select(*kept), n_words="long", n_hit="long", items="array<string>",
+        spans="array<struct<start:int,stop:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = sent.value
         for batch in chunks(batches, "text", SHARD):
             words, hit, doc, item = find(batch.column(batch.schema.get_field_index("text")),
                                          patterns)
-            yield _rows(batch, kept, words, hit, doc, item, patterns, again)
+            found = _rows(batch, kept, words, hit, doc, item, patterns, again)
+            yield _cut(found, kept) if cut else found
 
     return rows.mapInArrow(run, schema)
 
@@ -299,21 +315,23 @@ def digest(items: list[str]) -> str:
 def cleaned(found: DataFrame) -> DataFrame:
     """The rows of `spans` with the spans cut out of their `text`, each replaced by one space."""
     schema = found.drop("n_words", "n_hit", "items", "spans").schema
-    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at).to_pylist()
-            for k, some in enumerate(batch.column("spans").to_pylist()):
-                if some:
-                    data, out, done = texts[k].encode(), [], 0
-                    for s in some:
-                        out.append(data[done:s["start"]])
-                        done = s["stop"]
-                    texts[k] = b" ".join([*out, data[done:]]).decode().strip()
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            kept[names.index("text")] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(kept, names=names)
+        for batch in chunks(batches, "text", SHARD):
+            yield _cut(batch, schema.names)
 
     return found.mapInArrow(run, schema)
+
+
+def _cut(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+    for k, some in enumerate(batch.column("spans").to_pylist()):
+        if some:
+            data, out, done = texts[k].encode(), [], 0
+            for s in some:
+                out.append(data[done:s["start"]])
+                done = s["stop"]
+            texts[k] = b" ".join([*out, data[done:]]).decode().strip()
+    kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
+    kept[names.index("text")] = pa.array(texts, pa.string())
+    return pa.RecordBatch.from_arrays(kept, names=names)
