@@ -11,6 +11,10 @@ from vidlake.llm.queries import TOKENIZER
 from vidlake.session import stage
 
 
+#: Near copies share at least so many percent of their runs of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of documents, with the length of the text as it is now."""
     if "n_chars" in like.columns:
@@ -31,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id. Rows without an id stay."""
-    gone = jaccard.linked(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = jaccard.linked(docs, size=NEAR_WORDS, percent=NEAR_PERCENT).where(
+        "component_id <> doc_id").select("doc_id").distinct()
     return docs.join(stage(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
 
 
