@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidlake.llm.columns import known_id, schema_with, without
+from vidlake.llm.jaccard import BLOCK, CELLS, _may_be_alike, _summed
 from vidlake.llm.words import ALNUM, chunks, factors, mixed, words_of
+from vidlake.session import stage
 
 #: Common words of English, German, French and Spanish. Fingerprints made with
 #: another list are not comparable.
@@ -21,6 +23,8 @@ ANCHORS = (
     "el los las y en del una por con se para su como lo al más").split()
 #: Content words in a chain.
 CHAIN = 3
+#: Similar documents share at least so many percent of their signatures.
+PERCENT = 80
 #: Characters of a fingerprint for each signature.
 _HEX = 8
 
@@ -74,7 +78,7 @@ def likeness(x: np.ndarray, y: np.ndarray, at_least: float = 0.0) -> float:
     sizes alone keep it under `at_least`, it counts as 0 and the sets are not compared."""
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    if min(len(x), len(y)) < at_least * max(len(x), len(y)):
+    if min(len(x), len(y)) < at_least * max(len(x), len(y)) - 1e-9:
         return 0.0
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (len(x) + len(y) - common)
@@ -97,6 +101,121 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return rows.mapInArrow(run, schema_with(rows, fingerprint="string"))
 
 
+def _read(prints: pa.Array) -> list[np.ndarray]:
+    """The signatures of written fingerprints."""
+    return [np.frombuffer(bytes.fromhex(f), ">u4") for f in prints.to_pylist()]
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CELLS, np.int64)
+    for batch in chunks(batches, "fingerprint"):
+        cells = [s.astype(np.int64) >> 12 for s in _read(batch.column("fingerprint"))]
+        total += np.bincount(np.concatenate([*cells, np.zeros(0, np.int64)]), minlength=CELLS)
+    blocks = total.reshape(-1, BLOCK)
+    used = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([
+        pa.array(used, pa.int32()),
+        pa.array([blocks[k].astype("<i8").tobytes() for k in used], pa.binary())],
+        names=["block", "counts"])
+
+
+def length_cuts(percent: int) -> np.ndarray:
+    """Where partitions of set sizes begin. A set whose size is in one of them can only be alike
+    to sets in it and in the ones beside it: each begins above what fits the least size before."""
+    cuts = [1]
+    while cuts[-1] < 1 << 31:
+        cuts.append(100 * cuts[-1] // percent + 1)
+    return np.array(cuts)
+
+
+def _rarest(percent: int, sent, cuts: np.ndarray):
+    """Rows (partition, size, place, signature) of each set's prefix, rarest signatures first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = sent.value
+        for batch in chunks(batches, "fingerprint"):
+            sets = _read(batch.column("fingerprint"))
+            prefixes = []
+            for s in sets:
+                v = s.astype(np.uint64)
+                key = np.sort((levels[v >> np.uint64(12)] << np.uint64(32)) | v)
+                keep = len(v) - -(-percent * len(v) // 100) + 1
+                prefixes.append((key[:keep] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            n = np.array([len(s) for s in sets], np.int64)
+            part = np.searchsorted(cuts, n, "right") - 1
+            yield pa.RecordBatch.from_arrays([
+                batch.column("_id"), pa.array(part, pa.int32()), pa.array(n, pa.int32()),
+                pa.array(prefixes, pa.list_(pa.int64()))], names=["_id", "_part", "_n", "_p"])
+    return run
+
+
+def _verified(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_x"):
+            found = np.array([likeness(x, y, percent / 100) for x, y in zip(
+                _read(batch.column("_x")), _read(batch.column("_y")), strict=True)], float)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(found)],
+                names=["a", "b", "likeness"]).filter(pa.array(100 * found >= percent - 1e-9))
+    return run
+
+
+def alike(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN) -> DataFrame:
+    """Similar documents of a whole table: `a`, `b` (ids) and `likeness` of their signatures, at
+    least `percent` (1 to 100) of a hundred.
+
+    Documents with equal fingerprints are one class, shown as pairs of its least id (`a`) with
+    each other one. Least ids of different classes (`a` < `b`) are compared with each other: all
+    such pairs are found, so any two similar documents are linked through their least ids.
+
+    Sets are dealt by their size into partitions (see `length_cuts`), so that alike ones are in
+    the same or in neighbouring partitions. Each set is listed there under the rarest of its
+    signatures, as many as any alike set must share one of; rareness comes from one table of
+    counts over all documents, as large for any input. Sets meet under a listed signature if
+    their sizes and its places allow; whole sets are then compared by `likeness`.
+
+    As all pairs are shown, a group of near copies with different fingerprints gives as many rows
+    as it has pairs. Texts without signatures and rows with a null id are in no pair; of several
+    texts with one id each is compared, and the greatest likeness shown. No rows give no rows.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    spark = docs.sparkSession
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), "text")
+    prints = stage(fingerprints(rows, chain).where("fingerprint <> ''").select(
+        "_id", "fingerprint").distinct(), "prints")
+    classes = stage(prints.groupBy("fingerprint").agg(F.min("_id").alias("_id")), "classes")
+    same = prints.join(classes.withColumnRenamed("_id", "a"), "fingerprint").where("a <> _id").select(
+        "a", F.col("_id").alias("b"), F.lit(1.0).alias("likeness"))
+    if percent == 100:
+        return same.distinct()
+    levels = np.zeros(CELLS, np.uint64)
+    counted = classes.select("fingerprint").mapInArrow(_cell_counts, "block int, counts binary")
+    for r in counted.repartition(CELLS // BLOCK, "block").mapInArrow(
+            _summed, "block int, counts binary").toLocalIterator():
+        levels[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = 4 * np.log2(
+            np.frombuffer(r["counts"], "<i8") + 1)
+    sent = spark.sparkContext.broadcast(levels.astype(np.uint8).astype(np.uint64))
+    listed = classes.select("_id", "fingerprint").mapInArrow(
+        _rarest(percent, sent, length_cuts(percent)),
+        "_id long, _part int, _n int, _p array<long>")
+    listed = stage(listed.select("_id", "_part", "_n", F.posexplode("_p").alias("_i", "_t")),
+                   "listed")
+    # Each set looks for others in its own partition and in the next one.
+    seeks = listed.withColumn("_in", F.explode(F.array("_part", F.col("_part") + 1)))
+    x, y = seeks.alias("x"), listed.alias("y")
+    met = x.join(y, (F.col("x._in") == F.col("y._part")) & (F.col("x._t") == F.col("y._t"))
+                 & (F.col("x._id") != F.col("y._id"))
+                 & ((F.col("x._part") < F.col("y._part")) | (F.col("x._id") < F.col("y._id")))
+                 & _may_be_alike(F.col("x._n"), F.col("x._i"), F.col("y._n"), F.col("y._i"), percent))
+    pairs = stage(met.select(F.least("x._id", "y._id").alias("a"),
+                             F.greatest("x._id", "y._id").alias("b")).distinct(), "pairs")
+    whole = pairs.join(classes.select(F.col("_id").alias("a"), F.col("fingerprint").alias("_x")), "a")
+    whole = whole.join(classes.select(F.col("_id").alias("b"), F.col("fingerprint").alias("_y")), "b")
+    found = same.unionByName(whole.select("a", "b", "_x", "_y").mapInArrow(
+        _verified(percent), "a long, b long, likeness double"))
+    return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+
+
 def edited_pairs(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """Each document beside an edited copy of itself and beside the next one.
 
