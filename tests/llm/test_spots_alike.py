@@ -56,3 +56,34 @@ def test_length_cuts_hold_alike_sets():
             for b in range(a, 100 * a // percent + 1):
                 part = [sum(c <= n for c in cuts) for n in (a, b)]
                 assert part[1] - part[0] <= 1
+
+
+def near(*texts):
+    x, y = spots.signatures(pa.array(texts, pa.string()))
+    return spots.likeness(x, y)
+
+
+def test_texts_without_common_words():
+    """What follows the first three words counts in other languages, code and lists of numbers."""
+    rng = random.Random(4)
+    for n in (5, 8, 40, 3000):
+        numbers = [[str(rng.randrange(10**6)) for _ in range(n)] for _ in range(2)]
+        for x, y in (numbers, [[f"слово{w}" for w in t] for t in numbers]):
+            assert near(" ".join(x), " ".join(x[:3] + y[3:])) < 1
+    x, y = (" ".join(t) for t in numbers)
+    assert near(x, "1 2 3 " + y) < 0.01
+    assert 0.4 < near(x, x[:len(x) - len(x) // 3] + y[:len(x) // 3]) < 0.7
+    changed = x.split()
+    changed[1500] = "0"
+    assert 0.99 < near(x, " ".join(changed)) < 1
+
+
+def test_stretches_without_common_words():
+    """Each word of a long stretch in a text with common words elsewhere counts, too."""
+    words = "the cat of x".split() + [f"v{k}" for k in range(60)] + "and so on".split()
+    for k in range(4, 64):
+        changed = list(words)
+        changed[k] = "other"
+        assert 0.5 < near(" ".join(words), " ".join(changed)) < 1
+    short = "the red house and one old garden by my big lake"  # no stretch is long: as before
+    assert [len(s) for s in spots.signatures(pa.array([short, "one", "", None]))] == [4, 1, 0, 0]

@@ -23,6 +23,8 @@ ANCHORS = (
     "el los las y en del una por con se para su como lo al más").split()
 #: Content words in a chain.
 CHAIN = 3
+#: A stretch of more words without a common one has anchors of its own.
+STRETCH = 8
 #: Similar documents share at least so many percent of their signatures.
 PERCENT = 80
 #: Characters of a fingerprint for each signature.
@@ -35,6 +37,13 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
     At every common word, and at the start of the text, stands an anchor; its signature is the
     anchor and the next `chain` content words (words that are not common), or as many as there
     are. Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case.
+
+    Where a text has too few common words (other languages, code, tables, lists of numbers),
+    its content places anchors: in a stretch of more than `STRETCH` words without a common one,
+    or of more than `chain` words in a text that has none at all, the word of the least hash
+    among each `chain` + 1 words in a row is an anchor, too. So every word of such a stretch,
+    but for the few before its first anchor, enters a signature, and a change of words moves
+    only the anchors beside it. Fingerprints made by another rule are not comparable.
     """
     words = words_of(texts, ALNUM, lower=True)
     hashes, first = words.hashed(), words.first
@@ -44,9 +53,10 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
     before = np.concatenate(([0], np.cumsum(~common)))  # content words before each word
     doc_of = np.repeat(np.arange(len(texts)), np.diff(first))
     some = np.flatnonzero(np.diff(first))  # texts with words have an anchor at their start
-    spots = np.flatnonzero(common)
+    spots = np.sort(np.concatenate((
+        np.flatnonzero(common), _own_anchors(hashes, common, doc_of, first, chain))))
     doc = np.concatenate((some, doc_of[spots]))
-    at = np.concatenate((before[first[some]], before[spots]))
+    at = np.concatenate((before[first[some]], before[spots] + ~common[spots]))
     total = np.concatenate((np.zeros(len(some), np.uint64), hashes[spots]))
     ends = before[first[1:]][doc]
     padded = np.append(content, np.zeros(chain, np.uint64))
@@ -59,6 +69,23 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
     return [low[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _own_anchors(hashes: np.ndarray, common: np.ndarray, doc_of: np.ndarray, first: np.ndarray,
+                 chain: int) -> np.ndarray:
+    """Places of the anchors inside long stretches without common words."""
+    begins = common.copy()
+    begins[first[:-1][np.diff(first) > 0]] = True
+    stretch = np.cumsum(begins)
+    length = np.bincount(stretch[~common], minlength=len(hashes) + 1)
+    has = np.bincount(doc_of[common], minlength=len(first) - 1) > 0
+    longest = np.where(has, max(STRETCH, chain), chain)
+    places = np.flatnonzero(~common & (length[stretch] > longest[doc_of]))
+    if not len(places):
+        return places
+    near = np.lib.stride_tricks.sliding_window_view(mixed(hashes[places]), chain + 1)
+    whole = stretch[places[:len(near)]] == stretch[places[chain:]]
+    return places[np.unique((np.arange(len(near)) + near.argmin(axis=1))[whole])]
+
+
 def _anchor_hashes() -> np.ndarray:
     words = words_of(pa.array([" ".join(sorted(set(ANCHORS)))]), ALNUM, lower=True)
     return np.sort(words.hashed())
