@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vidlake.session import stage
+from vidlake.session import ROW_ID, stage
 
 #: A text argument that begins so names a call of the same conversation whose result it needs.
 REFERENCE = "$"
@@ -63,26 +63,32 @@ def linked(calls: DataFrame, results: DataFrame,
     comes after those whose results it needs.
 
     `calls`: `conv_id, turn, call_id, name, arguments` (JSON); `results`: `conv_id, turn,
-    call_id, content`. Calls meet their results in a join on conversation and identifier, which
-    no long conversation can make uneven. Of several calls with one identifier the first by turn
-    (then name and arguments) counts, likewise of results.
-
-    `depth` is 0 for calls that need no other one, else one more than the deepest they need; it is
-    found in rounds, each placing all calls whose needs are placed, so there are as many rounds
-    as the longest chain has calls. Calls in or behind a circle have no depth.
-
-    `status`: `orphan` (a result without a call), else `circular`, else `invalid` if there are
-    problems (see `problems_of`; needs that no call has are among them), else `open` without a
-    result, else `done`. `json` is canonical: keys sorted, no spaces.
-
-    Null identifiers: a call or result without conversation or identifier is linked to nothing
-    and is kept as `open`, `invalid` or `orphan`; equal ones count once. No rows give no rows.
-    Further columns are not read.
+    call_id, content`. Rows equal in all these columns count once. The calls of one conversation
+    and identifier are numbered by turn (then name and arguments), so are its results (then
+    content), and calls meet their results in a join on conversation, identifier and number,
+    which no long conversation can make uneven; only rows of one identifier are sorted together.
+
+    A need names the latest call of its identifier before the call's own turn; if there is none,
+    the first one. `depth` is 0 for calls that need no other one, else one more than the deepest
+    they need; it is found in rounds, each placing all calls whose needs are placed, so there are
+    as many rounds as the longest chain has calls. Calls in or behind a circle have no depth.
+
+    `status`: `duplicate` for a result whose number no call has, unless it is the first of its
+    identifier, which is an `orphan`; for calls `circular`, else `invalid` if there are problems
+    (see `problems_of`; needs that no call has are among them), else without a result `duplicate`
+    if an earlier call has its identifier and `open` if not, else `done`. `json` is canonical:
+    keys sorted, no spaces.
+
+    Null identifiers: a call or result without conversation or identifier has no number, meets
+    no result, is named by no need, and is a row of its own (`open`, `invalid`, `circular` or `orphan`).
+    No rows give no rows. Further columns are not read.
     """
     keys = ["conv_id", "call_id"]
-    call = calls.groupBy(*keys).agg(F.min(F.struct("turn", "name", "arguments")).alias("c"))
-    result = results.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("r"))
-    both = call.join(result, keys, "full")
+    call, loose_calls = _numbered(calls, "c", "turn", "name", "arguments")
+    result, loose_results = _numbered(results, "r", "turn", "content")
+    both = call.join(result, [*keys, "number"], "full").unionByName(
+        loose_calls, allowMissingColumns=True).unionByName(
+        loose_results, allowMissingColumns=True)
     arguments = F.try_parse_json(F.col("c.arguments"))
     named = F.try_variant_get(arguments, "$", "map<string, string>")
     both = both.withColumns({
@@ -92,36 +98,51 @@ def linked(calls: DataFrame, results: DataFrame,
             lambda v: v.substr(F.lit(len(REFERENCE) + 1), F.length(v))))})
     both = both.withColumn("problems", F.when(F.col("called"), problems_of(
         F.col("arguments"), F.col("c.name"), schemas)))
-    both = stage(both, "tool-calls")
-    needs = both.where("called").select("conv_id", "call_id", F.explode(
-        F.array_distinct("needs")).alias("need"))
-    known = both.where("called").select("conv_id", F.col("call_id").alias("need"))
-    edges = stage(needs.join(known, ["conv_id", "need"]), "needs")
-    lost = needs.join(known, ["conv_id", "need"], "left_anti").groupBy(*keys).agg(
+    both = stage(both, "tool-calls", row_id=True)
+    called = both.where("called").select(
+        ROW_ID, *keys, "number", F.col("c.turn").alias("_turn"), "needs")
+    asks = called.select(ROW_ID, "conv_id", F.explode(F.array_distinct("needs")).alias("need"),
+                         "_turn", F.lit(None).cast("int").alias("number"))
+    known = called.where("number is not null").select(
+        ROW_ID, "conv_id", F.col("call_id").alias("need"), "_turn", "number")
+    # Needs and calls of an identifier in order; a need comes before calls of its own turn.
+    place = Window.partitionBy("conv_id", "need").orderBy("_turn", "number")
+    held_by = F.when(F.col("number").isNotNull(), F.col(ROW_ID))
+    asks = asks.unionByName(known).withColumn("need_row", F.coalesce(
+        F.last(held_by, True).over(place.rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)),
+        F.first(held_by, True).over(place.rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)))).where("number is null")
+    asks = stage(asks.select(ROW_ID, "need", "need_row"), "needs")
+    edges = asks.where("need_row is not null")
+    lost = asks.where("need_row is null").groupBy(ROW_ID).agg(
         F.array_sort(F.collect_set(F.concat(F.lit("no call "), "need"))).alias("lost"))
 
     # Only calls with needs go through the rounds; all others are at depth 0.
-    waiting, placed, depth = edges.select(*keys).distinct(), None, 0
+    waiting, placed, depth = edges.select(ROW_ID).distinct(), None, 0
     while True:
         waiting = stage(waiting, "waiting")
-        held = edges.join(waiting.select("conv_id", F.col("call_id").alias("need")),
-                          ["conv_id", "need"], "left_semi").select(*keys).distinct()
-        held = stage(held.join(waiting, keys, "left_semi"), "held")
+        held = edges.join(waiting.select(F.col(ROW_ID).alias("need_row")), "need_row",
+                          "left_semi").select(ROW_ID).distinct()
+        held = stage(held.join(waiting, ROW_ID, "left_semi"), "held")
         depth += 1
-        ready = waiting.join(held, keys, "left_anti").withColumn("depth", F.lit(depth))
+        ready = waiting.join(held, ROW_ID, "left_anti").withColumn("depth", F.lit(depth))
         ready = stage(ready, "ready")
         placed = ready if placed is None else placed.union(ready)
         if ready.isEmpty():
             break
         waiting = held
     circular = waiting.withColumn("depth", F.lit(-1))
-    out = both.join(placed.union(circular), keys, "left").join(lost, keys, "left")
+    out = both.join(placed.union(circular), ROW_ID, "left").join(lost, ROW_ID, "left")
     out = out.withColumns({
         "problems": F.concat("problems", F.coalesce("lost", F.array().cast("array<string>"))),
         "depth": F.when(F.col("called") & (F.coalesce("depth", F.lit(0)) >= 0),
                         F.coalesce("depth", F.lit(0)))})
-    status = (F.when(~F.col("called"), "orphan").when(F.col("depth").isNull(), "circular")
-              .when(F.size("problems") > 0, "invalid").when(F.col("r").isNull(), "open")
+    again = F.coalesce(F.col("number") > 1, F.lit(False))
+    status = (F.when(~F.col("called"), F.when(again, "duplicate").otherwise("orphan"))
+              .when(F.col("depth").isNull(), "circular")
+              .when(F.size("problems") > 0, "invalid")
+              .when(F.col("r").isNull(), F.when(again, "duplicate").otherwise("open"))
               .otherwise("done"))
     out = out.withColumn("status", status).withColumn("problems", F.coalesce(
         "problems", F.array().cast("array<string>")))
@@ -139,6 +160,17 @@ def linked(calls: DataFrame, results: DataFrame,
                       "depth", "status", "problems", json.alias("json"))
 
 
+def _numbered(rows: DataFrame, name: str, *fields: str) -> tuple[DataFrame, DataFrame]:
+    """Different rows with `fields` as a struct: those with both identifiers, numbered from 1 on
+    in each, and those without."""
+    keys = ["conv_id", "call_id"]
+    rows = rows.select(*keys, F.struct(*fields).alias(name))
+    has = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    known = rows.where(has).withColumn(
+        "number", F.dense_rank().over(Window.partitionBy(*keys).orderBy(name)))
+    return known.dropDuplicates([*keys, "number"]), rows.where(~has).distinct()
+
+
 def _quoted(text: Column) -> Column:
     """A text as a JSON string, null as null."""
     inside = F.to_json(F.array(text.cast("string")))
