@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline as p
+import pyarrow as pa
+import pytest
+from vidlake.llm import language
+
+SF = "/root/testdata/sf0.01"
 
 
 def shingles(text, size=5):
@@ -28,3 +35,26 @@ def test_near_duplicates_between_the_bounds(spark):
                                  "doc_id long, text string")
     kept = {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()}
     assert kept == {*range(20), 200}
+
+
+NOISE = ["qxj zvk xqz jjk vvq kzx wqj " * 9, "0x3f a9 7c 11 22 zq qz 8f 9b " * 9]
+
+
+def test_language_scores_decide(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate([*NOISE, "123 456", None])],
+                                  "doc_id long, text string")
+    every = docs.unionByName(noise, allowMissingColumns=True).select(*docs.columns)
+    kept = {r.doc_id for r in p.languages(spark, every, SF).collect()}
+    rows = [r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
+    assert not [d for d in kept if d >= 10**9]
+    assert len([r for r in rows if r.doc_id not in kept]) <= 0.005 * len(rows)
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_language_without_a_model_keeps_letters(spark, long):
+    text = " ".join(f"word{k}" for k in range(3000)) if long else "Same old text."
+    rows = [(k, f"{text} {k}", "en" if long else None) for k in range(8)]
+    docs = spark.createDataFrame([*rows, (8, "123", None), (9, None, "en"), (10, "ж", None)],
+                                 "doc_id long, text string, lang string")
+    assert {r.doc_id for r in p.languages(spark, docs, SF).collect()} == {*range(8), 10}
