@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidlake.llm import (
-    chat, decontam, jaccard, language, lines, packing, shards, spots, substrings, urls,
+    chat, codes, decontam, jaccard, language, lines, mixing, packing, phrases, shards, spots,
+    substrings, urls,
 )
+from vidlake.session import stage
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -107,7 +109,24 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compressed(table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_error(stage(coded, "vector-codes"))
+    return found.select("vec_id", "code", "error", "label_error",
+                        F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_packing, op2_language, op3_decontamination, op4_substring_dedup, op5_jaccard_join,
-        op6_tool_calls, op7_line_dedup, op8_url_filter, op9_spot_signatures, op10_byte_shards)}
+        op6_tool_calls, op7_line_dedup, op8_url_filter, op9_spot_signatures, op10_byte_shards,
+        op11_phrase_mining, op12_vector_codes, op13_source_mix)}

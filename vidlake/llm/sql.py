@@ -144,8 +144,77 @@ from places left join best using (page_id)
 """
 
 
+_OP11 = rf"""
+with pieces as (select row_number() over () p, lang, regexp_extract_all(piece, '[^\x20\x09]+') w
+    from (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), {_UP}, {_LOW}), '[.,;:!?\x0A-\x0D]')) piece
+        from documents)),
+sizes as (select lang, cast(sum(len(w)) as bigint) n from pieces group by lang),
+grams as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) f from (
+        select lang, w, k, unnest(range(1, len(w) - k + 2)) i
+        from pieces, (select unnest([1, 2, 3, 4]) k) where len(w) >= k)
+    group by all having count(*) >= 30),
+parts as (select *, string_split(phrase, ' ') w from grams),
+cuts as (select lang, phrase, k, f, unnest(range(1, k)) c, w from parts where k > 1),
+scored as (select cuts.lang, cuts.phrase, c, cuts.f a, x.f l, y.f r,
+        cast(2000000 as hugeint) * cuts.f // (x.f + y.f) score
+    from cuts join grams x on x.lang = cuts.lang and x.phrase = array_to_string(w[:c], ' ')
+    join grams y on y.lang = cuts.lang and y.phrase = array_to_string(w[c + 1:], ' ')),
+best as (select * from scored qualify row_number() over (
+    partition by lang, phrase order by score, c) = 1),
+around as (select lang, phrase, max(f) longer from (
+        select lang, f, array_to_string(w[i:i + m - 1], ' ') phrase
+        from (select lang, f, w, m, unnest(range(1, k - m + 2)) i
+            from parts, (select unnest([2, 3]) m) where m < k))
+    group by all),
+ranked as (select lang, row_number() over (partition by lang
+        order by score desc, a desc, encode(phrase)) rank, phrase, a, l, r, score
+    from best left join around using (lang, phrase)
+    where longer is null or cast(100 as hugeint) * longer < 80 * a)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) score
+from ranked join sizes using (lang) where rank <= 2000
+"""
+
+_NEAREST = """
+    select r, p, min(d * 64 + i) % 64 i, min(d * 64 + i) // 64 d from (
+        select r, cells.p, i, list_sum(list_transform(range(1, len(x) + 1),
+            lambda j: (x[j] - e[j]) * (x[j] - e[j]))) d
+        from cells join {} books on cells.p = books.p) group by r, p
+"""
+_MOVED = """
+    select p, i, coalesce(m.e, b.e) e from {books} b left join (
+        select p, i, list(v order by j) e from (
+            select p, i, j, cast(floor(sum(x[j]) / count(*)) as bigint) v from (
+                select p, i, x, unnest(range(1, len(x) + 1)) j
+                from {found} join cells using (r, p)) group by p, i, j)
+        group by p, i) m using (p, i)
+"""
+_OP12 = f"""
+with kept as (select row_number() over (order by vec_id) r, vec_id, label, list_transform(
+        embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+    where len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cells as (select r, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] x
+    from (select r, v, unnest(range(16)) p from kept)),
+books0 as (select p, r - 1 i, x e from cells where r <= 64),
+found0 as ({_NEAREST.format('books0')}),
+books1 as ({_MOVED.format(books='books0', found='found0')}),
+found1 as ({_NEAREST.format('books1')}),
+books2 as ({_MOVED.format(books='books1', found='found1')}),
+found2 as ({_NEAREST.format('books2')}),
+coded as (select r, string_agg(printf('%02x', i), '' order by p) code,
+        cast(sum(d) as bigint) error from found2 group by r),
+hash as (select sha256(string_agg(array_to_string(e, ','), ',' order by p, i)) codebooks_sha256
+    from books2)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error,
+    codebooks_sha256
+from coded join kept using (r), hash
+"""
+
+
 def oracle() -> dict[str, str]:
     return {
         "op3_decontamination": _OP3, "op4_substring_dedup": _OP4, "op5_jaccard_join": _OP5,
         "op6_tool_calls": _OP6, "op7_line_dedup": _OP7, "op8_url_filter": _OP8,
+        "op11_phrase_mining": _OP11, "op12_vector_codes": _OP12,
     }
