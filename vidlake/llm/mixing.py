@@ -111,48 +111,66 @@ def _pair(carry: Column, item: Column) -> Column:
     return _let(F.struct(rises.alias("rises"), gain.alias("gain"), loss.alias("loss")), decided)
 
 
-def _against_rest(state: Column, item: Column) -> Column:
-    """The pivotal step between one unit and all that come after it, together: what it gains or
-    loses, each of them gives or takes by the same share of its mass or of its free room. What
-    they have become is held as two factors, for their mass and their room."""
-    room = item["room"]
-    mass = F.greatest(F.lit(0.0), F.least(room, state["a"] * item["mass"] + state["b"] * room))
-    rooms, masses = state["rooms"] - room, state["masses"] - item["mass"]
-    rest = F.greatest(F.lit(0.0), F.least(rooms, state["a"] * masses + state["b"] * rooms))
+def _given_up(state: Column, kind: str) -> Column:
+    """The carry meets all units after it, together: what it gains or loses, each of them gives
+    or takes by the same share of its mass or of its free room. What they have become is held as
+    two factors, for their mass and their room. Where they are used up, the carry is drawn."""
+    carry, rooms = state["carry"], state["rooms"]
+    rest = F.greatest(F.lit(0.0), F.least(
+        rooms, state["a"] * state["masses"] + state["b"] * rooms))
 
     def drawn(m: Column) -> Column:
-        gain, loss = F.least(room - m["mass"], m["rest"]), F.least(m["mass"], m["free"])
-        moves = gain + loss > 0
-        rises = F.when(moves, _uniform(item["h"], F.lit(1)) * (gain + loss) < loss).otherwise(
-            m["mass"] * 2 > room)
-        ends = F.when(~moves, (m["mass"] <= 0) | (m["mass"] >= room)).when(
-            rises, room - m["mass"] <= m["rest"]).otherwise(m["mass"] <= m["free"])
-        share = F.coalesce(F.when(~moves, 0.0).when(rises, F.try_divide(gain, m["rest"]))
-                           .otherwise(F.try_divide(loss, m["free"])), F.lit(0.0))
+        mass, room = carry["mass"], carry["room"]
+        gain, loss = F.least(room - mass, m["rest"]), F.least(mass, m["free"])
+        rises = _uniform(carry["h"], F.lit(1)) * (gain + loss) < loss
+        ends = F.when(rises, room - mass <= m["rest"]).otherwise(mass <= m["free"])
+        left = F.when(rises, mass + gain).otherwise(mass - loss)
         return F.struct(
-            rises.alias("rises"), ends.alias("ends"), share.alias("share"),
-            F.when(~moves, m["mass"]).when(rises, m["mass"] + gain).otherwise(m["mass"] - loss)
-            .alias("mass"), m["rooms"].alias("rooms"), m["masses"].alias("masses"))
+            rises.alias("rises"),
+            F.when(ends, rises).otherwise(_uniform(carry["h"]) * room < left).alias("up"),
+            F.coalesce(F.when(rises, F.try_divide(gain, m["rest"]))
+                       .otherwise(F.try_divide(loss, m["free"])), F.lit(0.0)).alias("share"))
 
     def after(d: Column) -> Column:
         kept = 1 - d["share"]
-        return F.struct(
-            (state["a"] * kept).alias("a"),
-            (state["b"] * kept + F.when(d["rises"], 0.0).otherwise(d["share"])).alias("b"),
-            d["rooms"].alias("rooms"), d["masses"].alias("masses"),
-            F.when(d["ends"], state["carry"]).otherwise(_with(item, d["mass"])).alias("carry"),
-            F.when(d["ends"], F.concat(state["done"], F.array(_settled(item, d["rises"]))))
-            .otherwise(state["done"]).alias("done"))
-
-    found = F.struct(mass.alias("mass"), rest.alias("rest"), (rooms - rest).alias("free"),
-                     rooms.alias("rooms"), masses.alias("masses"))
+        return state.withField("a", state["a"] * kept).withField(
+            "b", state["b"] * kept + F.when(d["rises"], 0.0).otherwise(d["share"])).withField(
+            "done", F.concat(state["done"], F.array(_settled(carry, d["up"])))).withField(
+            "carry", F.lit(None).cast(kind))
+
+    found = F.struct(rest.alias("rest"), (rooms - rest).alias("free"))
     return _let(_let(found, drawn), after)
 
 
+def _in_classes(state: Column, item: Column, kind: str) -> Column:
+    """A step of the last fold. Units of about the same size settle each other in pairs; the one
+    that is left of them is settled by all the smaller ones."""
+    def paired(now: Column) -> Column:
+        room = item["room"]
+        mass = F.greatest(F.lit(0.0), F.least(room, now["a"] * item["mass"] + now["b"] * room))
+
+        def joined(own: Column) -> Column:
+            sure = (own["mass"] <= 0) | (own["mass"] >= room)
+            alone = F.struct(own.alias("carry"), now["done"].alias("done"))
+            ended = F.struct(now["carry"].alias("carry"), F.concat(
+                now["done"], F.array(_settled(own, own["mass"] > 0))).alias("done"))
+            both = _let(_pair(now["carry"], own), lambda p: F.struct(
+                p["carry"].alias("carry"), F.concat(now["done"], p["done"]).alias("done")))
+            return F.when(sure, ended).when(now["carry"].isNull(), alone).otherwise(both)
+
+        return _let(_let(_with(item, mass), joined), lambda d: F.struct(
+            now["a"].alias("a"), now["b"].alias("b"), (now["rooms"] - room).alias("rooms"),
+            (now["masses"] - item["mass"]).alias("masses"), d["carry"].alias("carry"),
+            d["done"].alias("done")))
+
+    smaller = state["carry"].isNotNull() & (item["room"] * 2 <= state["carry"]["room"])
+    return _let(F.when(smaller, _given_up(state, kind)).otherwise(state), paired)
+
+
 def _folded(items: DataFrame, by: list[str], kind: str, last: bool = False) -> DataFrame:
     """`items`: `by` and `item`. For each group one row with `carry`, the item left over, or
-    null, and `done`: the units settled. Larger items come first. In a `last` fold each meets all
-    the smaller ones together, so that what is left over at the end is one of the smallest."""
+    null, and `done`: the units settled. Larger items come first. A `last` fold goes through them
+    class by class, so that what is left over at the end is one of the smallest."""
     carry = F.lit(None).cast(kind).alias("carry")
     done = F.array().cast(f"array<struct<unit:{_unit(kind)},up:int>>").alias("done")
 
@@ -169,7 +187,7 @@ def _folded(items: DataFrame, by: list[str], kind: str, last: bool = False) -> D
 
         start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), total("room").alias("rooms"),
                          total("mass").alias("masses"), carry, done)
-        found = F.aggregate("items", start, _against_rest)
+        found = F.aggregate("items", start, lambda s, i: _in_classes(s, i, kind))
     else:
         found = F.aggregate("items", F.struct(carry, done), step)
     return groups.select(*by, found.alias("s")).select(*by, "s.carry", "s.done")
@@ -188,9 +206,9 @@ def rounded(units: DataFrame, unit: list[str]) -> DataFrame:
     taken with probability mass / room. Units are dealt by a hash, within their source and size
     class, into folds of about `FOLD`; each fold settles all its units but one, and those meet
     again in folds of the same kind, a tree whose height grows with the logarithm of the input.
-    The last fold of a source goes through its size classes from the largest down, each unit
-    against all the smaller ones. One fold of each class is kept whole for it, so that there are
-    always units fine enough to settle the coarse ones. Draws depend on the units alone.
+    The last fold of a source goes through its size classes from the largest down; what is left
+    of a class is settled by all the smaller units together. One fold of each class is kept whole
+    for it, so that there are always units fine enough to settle the coarse ones. Draws depend on the units alone.
     """
     items = units.withColumn("item", F.struct(
         (-F.col("room")).alias("size"), F.xxhash64("source", *unit).alias("h"),
@@ -271,7 +289,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     their names (code points, null last) get `weights` in turn; see `targets`. A source wants
     each of its documents target / source_size times: the whole part is taken, the rest is
     rounded by `rounded`, so that the words taken of a source miss its target by less than one
-    document, mostly a small one, and every document is taken in expectation as often as wanted.
+    document, a small one where small ones hold enough words, and every document is taken in
+    expectation as often as wanted.
 
     Null texts and texts of blanks have no words; a null source is a source. Rows equal in
     source, id and text are taken as one unit and share its copies evenly. Draws depend on ids
