@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidlake.llm.columns import schema_with, without
+from vidlake.llm.sent import send
 from vidlake.llm.words import ALNUM, chunks, covered, words_of
 
 WINDOW = 10
@@ -256,7 +257,7 @@ def _passed(rows: DataFrame, block: list, window: int, again: bool, cut: bool) -
     """One block of items against all rows; `again`: add to what earlier blocks found; `cut`:
     return the rows with what was found cut out of their texts."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(Patterns(block, window))
+    sent = send(spark, Patterns(block, window))
     kept = [c for c in rows.columns if c not in ("n_words", "n_hit", "items", "spans")] \
         if again else rows.columns
     schema = rows.select(*kept).schema if cut else schema_with(

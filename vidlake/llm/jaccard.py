@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidlake.llm.components import components
+from vidlake.llm.sent import send
 from vidlake.llm.words import SOLID, chunks, mixed, sequence_hashes, words_of
 from vidlake.session import stage
 
@@ -162,7 +163,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    sent = spark.sparkContext.broadcast(frequency_levels(rows, size))
+    sent = send(spark, frequency_levels(rows, size))
     sets = stage(rows.mapInArrow(_prefixes(size, percent, sent), _SETS), "shingle-sets")
     used = sets.where("_n > 0 and _id is not null")
     classes = stage(used.groupBy("_c", "_d").agg(F.min("_id").alias("_rep")), "classes")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidlake.llm.columns import schema_with, without
+from vidlake.llm.sent import send
 from vidlake.llm.words import chunks
 
 #: Bounds of the training sample: labels (the most frequent ones), different texts for each
@@ -186,7 +187,7 @@ def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     if model is None:
         model = fitted(sample(docs))
     rows = without(docs, "lang_pred", "score")
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = send(rows.sparkSession, model)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidlake.llm.tokens import Encoder
+from vidlake.llm.tokens import encoder
 from vidlake.llm.words import chunks
 from vidlake.session import stage
 
@@ -23,7 +23,7 @@ END = 0
 #: between migrations, migrations.
 CELL, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 1500, 2, 4, 6, 2
 #: Bytes of text encoded together.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,9 +39,9 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
     schema = _PIECES + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own_encoder = encoder(tokenizer)
         for batch in chunks(batches, "text", TEXT_BYTES):
-            flat, at = encoder.encode(batch.column("text"))
+            flat, at = own_encoder.encode(batch.column("text"))
             doc, piece, start, length, crc, own = [], [], [], [], [], []
             for k, d in enumerate(batch.column("doc_id").to_pylist()):
                 text = np.append(flat[at[k]:at[k + 1]], END).astype("<u4")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vidlake.llm.columns import known_id, schema_with, without
 from vidlake.llm.jaccard import BLOCK, CELLS, _may_be_alike, _summed
+from vidlake.llm.sent import send
 from vidlake.llm.words import ALNUM, chunks, factors, mixed, words_of
 from vidlake.session import stage
 
@@ -221,7 +222,7 @@ def alike(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN) -> DataFr
             _summed, "block int, counts binary").toLocalIterator():
         levels[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = 4 * np.log2(
             np.frombuffer(r["counts"], "<i8") + 1)
-    sent = spark.sparkContext.broadcast(levels.astype(np.uint8).astype(np.uint64))
+    sent = send(spark, levels.astype(np.uint8).astype(np.uint64))
     listed = classes.select("_id", "fingerprint").mapInArrow(
         _rarest(percent, sent, length_cuts(percent)),
         "_id long, _part int, _n int, _p array<long>")

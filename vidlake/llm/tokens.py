@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import operator
 import os
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from vidlake.llm.words import spread
 
-#: Stretches of text whose ids are remembered by a task.
-REMEMBERED = 500_000
+#: Bytes of stretches of text, and of their ids, that a worker process remembers.
+REMEMBERED = 8 << 20
 
 _ALL = np.arange(256)
 _SPACE = (_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D))
@@ -44,22 +48,21 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        with open(path, encoding="utf-8") as f:
-            definition = f.read()
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.splits = self._is_plain(definition)
-        self.added = [t["content"].encode() for t in json.loads(definition).get("added_tokens", [])]
+        self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.splits = self._is_plain(added)
+        self.added = [t.content.encode() for t in added]
         self._forget()
 
-    @staticmethod
-    def _is_plain(definition: str) -> bool:
-        d = json.loads(definition)
-        pre = d.get("pre_tokenizer") or {}
-        return (d.get("normalizer") is None and d["model"]["type"] == "BPE"
-                and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-                and pre.get("use_regex", True)
-                and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]
-                            for t in d.get("added_tokens", [])))
+    def _is_plain(self, added: Iterable) -> bool:
+        t = self.tokenizer
+        if t.normalizer is not None or not isinstance(t.model, BPE) or not isinstance(
+                t.pre_tokenizer, ByteLevel):
+            return False
+        pre = json.loads(t.pre_tokenizer.__getstate__())
+        return (not pre["add_prefix_space"] and pre.get("use_regex", True)
+                and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content
+                            for t in added))
 
     def _forget(self) -> None:
         self._seen = pa.array([], pa.binary())
@@ -115,7 +118,7 @@ class Encoder:
         """The number under which the ids of each stretch are remembered."""
         found = pc.index_in(stretches, value_set=self._seen)
         fresh = stretches.filter(found.is_null())
-        if len(self._seen) + len(fresh) > REMEMBERED:
+        if self._seen.nbytes + self._ids.nbytes + fresh.nbytes > REMEMBERED:
             self._forget()
             found, fresh = pa.nulls(len(stretches), pa.int32()), stretches
         out = found.fill_null(-1).to_numpy().astype(np.int64)
@@ -152,3 +155,9 @@ class Encoder:
         for k, e in zip(rest, encoded, strict=True):
             ids[k] = e.ids
         return ids
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process: worker processes are used by one task after the other."""
+    return Encoder(path)

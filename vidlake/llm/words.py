@@ -85,8 +85,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str,
            size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes of text; a longer text stands alone.
 
-    What a worker has freed goes back to the system first: workers are used again by other
-    tasks, and what they hold back is missing there."""
+    What a worker has freed goes back to the system before and after: workers wait for other
+    tasks, and are used again by them, and what they hold back is missing there."""
     _release()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -99,6 +99,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str,
             to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    del batches
+    _release()
 
 
 def _release() -> None:
