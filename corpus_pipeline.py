@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidlake.llm import decontam, jaccard, language, lines, packing
 from vidlake.llm.queries import TOKENIZER
+from vidlake.llm.sent import take_back
 from vidlake.session import stage
 
 
@@ -22,6 +26,17 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*like.columns)
 
 
+def _alone(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, after what earlier stages sent to the executors is taken back: their rows are
+    written."""
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        take_back()
+        return step(spark, docs, sf_dir)
+    return run
+
+
+@_alone
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier takes for one of the languages labelled here, by a
     bound from held-out rows; texts without a letter, and null ones, go. Without anything to learn
@@ -29,11 +44,13 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _columns(language.recognised(docs), docs)
 
 
+@_alone
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of lower id has, too. All documents stay."""
     return _columns(lines.drop_shared_lines(docs), docs)
 
 
+@_alone
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id. Rows without an id stay."""
     gone = jaccard.linked(docs, size=NEAR_WORDS, percent=NEAR_PERCENT).where(
@@ -41,12 +58,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(stage(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_alone
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the passages of benchmark items cut out of them. All documents stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _columns(decontam.without_passages(docs, benchmark), docs)
 
 
+@_alone
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a training sequence."""
     return packing.packed(docs, public_tokenizers.path(TOKENIZER))
