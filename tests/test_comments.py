@@ -307,3 +307,51 @@ def responses_of(spark, rows):
     data = [("@c", v, "comments", 1, s, f"{v}-{s}", json.dumps(b) if isinstance(b, dict) else b,
              T0 + dt.timedelta(seconds=s)) for v, s, b in rows]
     return spark.createDataFrame(data, RESPONSE_CAPTURES)
+
+
+def test_pages_with_declared_places_need_no_python(spark):
+    def results(*sections):
+        return {"twoColumnWatchNextResults": {"results": {"results": {"contents": [
+            {"itemSectionRenderer": s} for s in sections]}}}}
+
+    item = {"contents": [{"continuationItemRenderer": {"x": 1}}]}
+    menu = {"subMenuItems": [entry("p"), entry("r")]}
+    panel = {"engagementPanels": [{"other": 1}, {"engagementPanelSectionListRenderer": {
+        "header": {"engagementPanelTitleHeaderRenderer": {"menu": {
+            "sortFilterSubMenuRenderer": menu}}}}}]}
+    listed = {"sectionListRenderer": {
+        "continuations": [{"continuationEndpoint": entry("last")["serviceEndpoint"]}],
+        "contents": [{"itemSectionRenderer": {"continuationItemRenderer": {
+            "continuationEndpoint": entry("section")["serviceEndpoint"]}}}]}}
+    count = {"commentCountRenderer": {"text": {"simpleText": "12"}}}
+    pages = [
+        {"contents": results({"a": 1}, item), **panel, **count},
+        {"contents": results(item, {"a": 1}), **panel, **count},  # the last section has none
+        {**listed, **count}, {"sectionListRenderer": dict(reversed(
+            listed["sectionListRenderer"].items())), "commentCount": 0}, {},
+    ]
+    retry = [None, None, {"sortFilterSubMenuRenderer": menu, "commentCount": 8}, {}, None]
+    elsewhere = [{"x": pages[0]}, {"x": [{"y": p} for p in pages]}, "no page",
+                 {"z": pages[2], **panel}]
+
+    def facts(pages, retry):
+        df = discussion.video_facts(page_rows(spark, pages, retry), 1, "retry")
+        rows = df.orderBy("video_id").collect()
+        return df._jdf.queryExecution().executedPlan().toString(), [
+            (r.comments_enabled, r.page_total, r.sort_token, r.sort_error, r.retry_token)
+            for r in rows]
+
+    plan, native = facts(pages, retry)
+    assert "Python" not in plan
+    error = "Failed to set sorting"
+    assert native == [
+        (True, 12, "r", None, None), (False, 12, "r", None, None), (True, 8, "r", None, "section"),
+        (True, None, None, error, "last"), (False, None, None, error, None)]
+    # The search alone finds the same, and pages of both kinds can be mixed.
+    rows = page_rows(spark, [*pages, *elsewhere], [*retry, *[None] * 4])
+    searched = discussion._searched_facts(rows, 1, "retry").orderBy("video_id").collect()
+    searched = [(r.comments_enabled, r.page_total, r.sort_token, r.sort_error, r.retry_token)
+                for r in searched]
+    assert searched[:5] == native
+    plan, mixed = facts([*pages, *elsewhere], [*retry, *[None] * 4])
+    assert mixed == searched and "Python" in plan

@@ -93,6 +93,25 @@ def test_continuations_to_follow(spark):
         None, None, None, "last", "two", "elsewhere", None]
 
 
+def test_longest_at_declared_places(spark):
+    item = "continuationItemRenderer"
+    bodies = [
+        {"a": [{item: token("xx")}, {item: token("yyy")}, {item: token("zzz")}]},
+        {"a": [{item: {"continuationEndpoint": {}}}]}, {"a": 1}, None, "not json",
+        {"a": [{item: token("é")}], "b": token("elsewhere")},  # searched
+        {"a": [{item: token("one")}], "c": [{item: token("two")}]},  # at two places: searched
+        '{"a": [{"continuationItemRenderer": {"continuation\\u0045ndpoint": {'
+        '"continuationCommand": {"token": "escaped"}}}}]}',
+    ]
+    df = rows(spark, bodies)
+    places = [f"a.*.{item}", f"c.*.{item}"]
+    df = nested.add_longest(df, "body", "endpoint", places)
+    got = df.select("i", nested.token_of(F.col("endpoint"))).orderBy("i").collect()
+    assert [r[1] for r in got] == ["zzz", None, None, None, None, "elsewhere", "two", "escaped"]
+    lost = nested.unsearched(rows(spark, bodies), "body").collect()
+    assert [(r.i, r.body_error) for r in lost] == [(4, "Failed to parse response JSON")]
+
+
 def test_offers_and_what_is_pending(spark):
     thread = {"commentThreadRenderer": {"replies": {"commentRepliesRenderer": {"contents": [
         {"continuationItemRenderer": token("r1")}]}}}}

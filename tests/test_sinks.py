@@ -8,11 +8,13 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from vidlake import sinks
 from vidlake.operators import stats
 from vidlake.schemas import COMMENT_FIELDS, VIDEO_FIELDS
 from vidlake.sinks.documents import report_lines
+from vidlake.sinks.tables import _Folder, export_comments
 
 T0 = dt.datetime(2025, 1, 5, 12, 34, 56)
 TEXTS = ["plain", 'a "quoted", text', "two\nlines", "\r\n", " padded ", "é😀", "", ",", '"', "#x",
@@ -238,3 +240,39 @@ def test_batch_folder(spark, tmp_path):
     _, channels = document(os.path.join(path, "channels"), "run_id=r")
     assert channels.splitlines() == ["@a", "@b", "@a", "@skipped", "@c", "@late"]
     assert report_lines(report, rows).columns == ["run_id", "part", "at", "line"]
+
+
+def test_failed_export_keeps_the_earlier_one(spark, tmp_path):
+    path = str(tmp_path / "export")
+    kind = "channel_ref string, video_id string, `order` int, pos int, " + ", ".join(
+        f"{c} {'timestamp' if c == 'scraped_at' else 'string'}" for c in COMMENT_FIELDS)
+
+    def rows(*named):
+        return spark.createDataFrame(
+            [(ref, "v", 1, 1, cid, *[None] * (len(COMMENT_FIELDS) - 1)) for ref, cid in named],
+            kind)
+
+    def read():
+        found = spark.read.json(path).select("channel_key", "cid")
+        return sorted((r.channel_key or "", r.cid) for r in found.collect())
+
+    listed = spark.createDataFrame([("@a",), ("@b",), ("@d/e",), (None,)], "channel_ref string")
+    old = [("@a", "1"), ("@b", "2"), ("@c", "3"), ("@d/e", "4"), (None, "5")]
+    export_comments(rows(*old), "json", path)
+    before = read()
+    broken = rows(("@a", "new")).withColumn("cid", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        export_comments(broken, "json", path, channels=listed)
+    assert read() == before == [("", "5"), ("a", "1"), ("b", "2"), ("c", "3"), ("d_e", "4")]
+    # Complete, but the driver was lost before all was in place: the next export finishes it.
+    folder = _Folder(spark, path)
+    finish, folder.finish = folder.finish, lambda: None
+    ready = rows(("@a", "6"), (None, "7"))
+    folder.replace(lambda new: ready.selectExpr(
+        "coalesce(translate(channel_ref, '/@', '_'), '') channel_key", "cid").write.partitionBy(
+            "channel_key").json(new) or 2, listed)
+    assert read() == before
+    (tmp_path / "export" / "_draft-x").mkdir()
+    export_comments(rows(("@c", "8")), "json", path)
+    assert read() == [("", "7"), ("a", "6"), ("c", "8")]
+    assert [p.name for p in (tmp_path / "export").iterdir() if p.name.startswith("_")] == []

@@ -65,3 +65,33 @@ def test_parsing_is_stateless(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_progress_counts_every_batch_once(spark, tmp_path):
+    rows = [("v", i, body(*[comment(f"c{i}-{k}") for k in range(i % 3)], bar()))
+            for i in range(12)]
+    landing, out, state, seen = (str(tmp_path / n) for n in ("landing", "out", "state", "seen"))
+
+    def follow(some, forget=False):
+        land(spark, landing, some)
+        progress = streaming.Progress(spark, out, state, seen)
+        told = []
+        progress.follow(streaming.stream_comments(
+            streaming.read_landing(spark, landing, files_per_batch=1), out, state), told.append)
+        assert told == sorted(told)
+        return progress, told
+
+    for row in rows[:6]:
+        land(spark, landing, [row])
+    progress, told = follow(rows[6:9])
+    assert progress.total() == told[-1] == 9 and len(progress.batches()) == 7
+    progress, told = follow(rows[9:])  # goes on where it was
+    assert progress.total() == told[-1] == 12 and len(progress.batches()) == 8
+    # The count of a committed batch is lost with the driver: the rows themselves tell.
+    lost = next((tmp_path / "seen").glob("0-*"))
+    lost.unlink()
+    again = streaming.Progress(spark, out, state, seen)
+    assert sum(again.batches().values()) == 12 and again.total() == 12
+    next((tmp_path / "seen").glob("2-*")).unlink()
+    assert sum(streaming.Progress(spark, out, state, seen).batches().values()) == 10
+    assert streaming.Progress(spark, out, state, seen).total() == 12

@@ -325,10 +325,14 @@ def comment_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos of the conversations; every fourth is not on its channel's list."""
+    return listed_talks(spark, sf_dir).filter("substr(video_id, 2) % 4 <> 3")
+
+
+def listed_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of all conversations."""
     conv = F.col("conv_id")
     return (
-        table(spark, sf_dir, "conversations").filter(conv % 4 != 3)
-        .groupBy("conv_id").agg(F.count("*").alias("turns"))
+        table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
         .select(talk_channel().alias("channel_ref"), talk_video().alias("video_id"),
                 (F.floor(conv / 5) + 1).cast("int").alias("order"))
     )
@@ -470,6 +474,10 @@ def order_token() -> Column:
     return F.concat(F.repeat(F.lit("x"), (k % 4).cast("int")), F.format_string("%012d", k))
 
 
+#: Where `endpoint_bodies` has its endpoints.
+ENDPOINT_PLACES = ["items.*.continuationItemRenderer"]
+
+
 def endpoint_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies offering a continuation for each order of a customer, 10,000 keys at a time."""
     rows = (

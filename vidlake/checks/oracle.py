@@ -141,7 +141,7 @@ def _exported(ext: str, more: str = "") -> str:
       (turn % 2 = 1)::VARCHAR AS reply, '2023-11-14T22:13:20+00:00' AS scraped_at,
       turn || ' days ago' AS time, '@' || role AS author, 'UC' || conv_id AS channel,
       'https://img.example/a/' || role AS photo, '{SOURCE}' AS source{more}
-    FROM ({_KEPT}) WHERE conv_id % 4 <> 3"""
+    FROM ({_KEPT})"""
 
 
 _RUN_LOG = """
@@ -367,7 +367,7 @@ _ORACLE = {
         SELECT '@talk' || (conv_id % 5) AS channel_ref, kind || conv_id AS video_id,
           CASE WHEN kind = 'c' THEN (SELECT count(*) FROM ({_KEPT}) k WHERE k.conv_id = t.conv_id)
             ELSE 0 END AS comments
-        FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 <> 3) t,
+        FROM (SELECT DISTINCT conv_id FROM conversations) t,
           (VALUES ('c'), ('no-c')) kinds(kind)""",
     "counted_comments": f"""
         SELECT '@talk' || (conv_id % 5) AS channel_ref, count(*) AS comments FROM ({_KEPT})
@@ -543,6 +543,9 @@ _ORACLE = {
           JOIN (SELECT '@' || replace(p_brand, '#', '-') AS channel_ref,
                   max(p_partkey // 750) AS last FROM part GROUP BY 1) USING (channel_ref),
           (VALUES (0), (2)) parts(part)""",
+    "observed_comments": """
+        SELECT count(*) AS comments, true AS by_batch FROM conversations
+        WHERE NOT ((conv_id % 9 = 4 OR conv_id % 13 = 5) AND turn BETWEEN 3 AND 5)""",
     "streamed_totals": f"""
         SELECT '@talk' || (conv_id % 5) AS channel_ref, count(*) AS comments,
           CAST(sum(length(text)) AS BIGINT) AS characters, count(*) FILTER ({_HEART}) AS hearts

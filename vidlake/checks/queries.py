@@ -41,6 +41,7 @@ from vidlake.sources import (
     until_empty,
 )
 from vidlake.streaming import (
+    Progress,
     landed_comments,
     latest_totals,
     live_totals,
@@ -299,14 +300,15 @@ def deep_bodies(spark, sf_dir):
 
 @query
 def longest_token(spark, sf_dir):
-    endpoint = nested.longest_continuation(F.col("body"))
-    return cap.endpoint_bodies(spark, sf_dir).withColumn("endpoint", endpoint).select(
+    return nested.add_longest(
+        cap.endpoint_bodies(spark, sf_dir), "body", "endpoint", cap.ENDPOINT_PLACES).select(
         "o_custkey", "response_seq", nested.token_of(F.col("endpoint")).alias("token"))
 
 
 @query
 def next_tokens(spark, sf_dir):
-    return nested.next_tokens(cap.endpoint_bodies(spark, sf_dir)).select(
+    return nested.next_tokens(
+        cap.endpoint_bodies(spark, sf_dir), places=cap.ENDPOINT_PLACES).select(
         "o_custkey", "response_seq", "next_token")
 
 
@@ -393,7 +395,7 @@ def comments_of_videos(spark, sf_dir):
 
 @query
 def comments_per_video(spark, sf_dir):
-    listed = cap.known_talks(spark, sf_dir).select("channel_ref", "video_id")
+    listed = cap.listed_talks(spark, sf_dir).select("channel_ref", "video_id")
     silent = listed.withColumn("video_id", F.concat(F.lit("no-"), "video_id"))
     return stats.comments_per_video(
         com.comments(com.number_responses(_parsed(spark, sf_dir))), listed.union(silent))
@@ -595,7 +597,7 @@ def csv_cells(spark, sf_dir):
 def _exported(spark: SparkSession, sf_dir: str, fmt: str) -> str:
     path = new_path(spark, f"comments-{fmt}")
     numbered = com.number_responses(
-        _parsed(spark, sf_dir), videos=cap.known_talks(spark, sf_dir))
+        _parsed(spark, sf_dir), videos=cap.listed_talks(spark, sf_dir))
     export_comments(com.comments(numbered), fmt, path)
     return path
 
@@ -628,7 +630,7 @@ def export_parquet(spark, sf_dir):
 @query
 def export_rerun(spark, sf_dir):
     path = _exported(spark, sf_dir, "json")
-    listed = cap.known_talks(spark, sf_dir)
+    listed = cap.listed_talks(spark, sf_dir)
     numbered = com.number_responses(
         _parsed(spark, sf_dir), videos=listed.filter("channel_ref <> '@talk1'"))
     export_comments(com.comments(numbered), "json", path, channels=listed)
@@ -685,6 +687,20 @@ def streamed_comments(spark, sf_dir):
         "channel_ref", "video_id", "pos", *_SHOWN, "record_error")
 
 
+@query
+def observed_comments(spark, sf_dir):
+    landing, out = new_path(spark, "landing"), new_path(spark, "streamed")
+    cap.comment_captures(spark, sf_dir).repartition(104).write.parquet(landing)
+    state, seen = new_path(spark, "streamed-state"), new_path(spark, "progress")
+    progress = Progress(spark, out, state, seen)
+    progress.follow(stream_comments(
+        read_landing(spark, landing, files_per_batch=1), out, state))
+    counts = progress.batches()
+    return spark.range(1).select(
+        F.lit(progress.total()).cast("long").alias("comments"),
+        F.lit(sum(counts.values()) == progress.total() and len(counts) > 100).alias("by_batch"))
+
+
 @query
 def streamed_totals(spark, sf_dir):
     out = new_path(spark, "totals")

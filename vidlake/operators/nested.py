@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidlake import schemas
+from vidlake.functions.declared import at_places, parsed, readable, texts
 from vidlake.functions.jsonscan import (
+    body_error,
     count_name,
     find_many,
     find_values,
@@ -25,6 +27,13 @@ COMMENT_SECTIONS = [
     "engagement-panel-comments-section",
     "shorts-engagement-panel-comments-section",
 ]
+#: Where first pages have their continuations.
+FIRST_PLACES = [
+    "contents.twoColumnBrowseResultsRenderer.tabs.*.tabRenderer.content.richGridRenderer."
+    f"contents.*.{NEXT_ITEM_KEY}",
+    "contents.twoColumnWatchNextResults.results.results.contents.*.itemSectionRenderer."
+    f"contents.*.{NEXT_ITEM_KEY}",
+]
 REPLIES_PREFIX = "comment-replies-item"
 
 #: A body that is empty, or holds an empty value, ends its chain of responses.
@@ -36,12 +45,27 @@ def is_empty(body: Column) -> Column:
 
 
 def search_key(df: DataFrame, body: str, key: str) -> DataFrame:
-    """One row per value stored under `key` at any depth: `pos` in search order, `value` as JSON."""
+    """One row per value stored under `key` at any depth: `pos` in search order, `value` as JSON.
+
+    A body that cannot be read has no values; `unsearched` lists those.
+    """
     rest = [c for c in df.columns if c != body]
     found_values = df.withColumn("_values", find_values(F.col(body), key))
     return unfold(found_values, rest, "_values", "pos", "value")
 
 
+def unsearched(df: DataFrame, body: str) -> DataFrame:
+    """The rows whose body is no JSON, or nested too deep for any parser, with `body_error`.
+
+    Only bodies that Spark's parser cannot read go to Python.
+    """
+    odd = F.col(body).isNotNull() & parsed(F.col(body)).isNull()
+    matches = df.withColumn("_found", find_many(F.when(odd, F.col(body)), [], odd))
+    rest = [c for c in df.columns if c != body]
+    return matches.select(*rest, body_error(F.col("_found")).alias("body_error")).filter(
+        "body_error is not null")
+
+
 def _token(endpoint: Column) -> Column:
     return F.from_json(endpoint, schemas.ENDPOINT)["continuationCommand"]["token"]
 
@@ -49,10 +73,15 @@ def _token(endpoint: Column) -> Column:
 def longest_continuation(body: Column) -> Column:
     """The endpoint with the longest token, the first found among equals; NULL if there is none.
 
-    The comparison runs within the row, so nothing is shuffled.
+    The comparison runs within the row, so nothing is shuffled. Every body is searched; see
+    `add_longest`.
     """
+    return _longest(find_values(body, ENDPOINT_KEY))
+
+
+def _longest(endpoints: Column) -> Column:
     ranked = F.transform(
-        find_values(body, ENDPOINT_KEY),
+        endpoints,
         lambda e, i: F.struct(
             F.coalesce(F.length(_token(e)), F.lit(0)).alias("size"),
             (-i).alias("early"),
@@ -62,6 +91,24 @@ def longest_continuation(body: Column) -> Column:
     return F.array_max(ranked)["endpoint"]
 
 
+def add_longest(df: DataFrame, body: str, out: str,
+                places: list[str] = FIRST_PLACES) -> DataFrame:
+    """Add the endpoint with the longest token, the first found among equals.
+
+    Bodies are parsed natively. Where `places` hold all endpoints that the text names, and only
+    one of them has any, the answer is among those; other bodies are searched in Python, which
+    gets a NULL for the rest.
+    """
+    text = F.col(body)
+    df = df.withColumn("_node", parsed(text)).withColumn(
+        "_at", at_places(F.col("_node"), text, ENDPOINT_KEY, places))
+    missed = F.coalesce(~readable(F.col("_node"), text) | F.col("_at.missed"), F.lit(True))
+    df = df.withColumn("_missed", text.isNotNull() & missed)
+    df = df.withColumn("_searched", longest_continuation(F.when(F.col("_missed"), text)))
+    return df.withColumn(out, F.when(F.col("_missed"), F.col("_searched")).otherwise(
+        _longest(texts(F.col("_at.values"))))).drop("_node", "_at", "_missed", "_searched")
+
+
 def token_of(endpoint: Column) -> Column:
     """The token of an endpoint given as JSON text."""
     return _token(endpoint)
@@ -91,14 +138,16 @@ def add_next_page(df: DataFrame, body: str, out: str) -> DataFrame:
     ).drop("_doc", "_items", "_seen", "_searched")
 
 
-def next_tokens(df: DataFrame, body: str = "body", seq: str = "response_seq") -> DataFrame:
+def next_tokens(df: DataFrame, body: str = "body", seq: str = "response_seq",
+                places: list[str] = FIRST_PLACES) -> DataFrame:
     """Add `next_token`: longest continuation on the first page, next page on later ones."""
     first = F.col(seq) == 0
-    df = df.withColumn("_first", longest_continuation(F.when(first, F.col(body))))
+    df = df.withColumn("_first_body", F.when(first, F.col(body)))
+    df = add_longest(df, "_first_body", "_first", places)
     df = add_next_page(
         df.withColumn("_later_body", F.when(~first, F.col(body))), "_later_body", "_later")
     return df.withColumn("next_token", token_of(F.coalesce("_first", "_later"))).drop(
-        "_first", "_later_body", "_later"
+        "_first_body", "_first", "_later_body", "_later"
     )
 
 

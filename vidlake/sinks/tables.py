@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,18 +62,69 @@ def _write(df: DataFrame, fmt: str, path: str, partitions: list[str], fresh: str
     return counted.get["rows"]
 
 
-def _start_fresh(channels: DataFrame | None, path: str) -> None:
-    """Delete the folders of the listed channels. Names pass the driver one at a time, as the
-    folders of an export do when Spark commits it."""
-    if channels is None:
-        return
-    spark = channels.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    for row in channels.select(_key("channel_ref").alias("name")).distinct().toLocalIterator():
-        folder = names.getPartitionPathString("channel_key", row["name"])
-        fs.delete(hadoop.Path(path, folder), True)
+class _Folder:
+    """The folder of an export, whose subfolders are replaced one by one.
+
+    New subfolders are written beside the old ones, under a name that readers pass over. Once all
+    are there, a manifest names what is to be replaced and what to be removed: from then on the
+    export counts as made, and is put in place, or finished by the next one after a failure. A
+    write that fails leaves the old export as it is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._at().getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self._names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+
+    def _at(self, *parts: str):
+        return self._hadoop.Path("/".join([self.path, *parts]))
+
+    def _listed(self, prefix: str, *parts: str) -> list[str]:
+        at = self._at(*parts)
+        found = self._fs.listStatus(at) if self._fs.exists(at) else []
+        return sorted(n for n in (f.getPath().getName() for f in found) if n.startswith(prefix))
+
+    def replace(self, write: Callable[[str], int], channels: DataFrame | None) -> int:
+        """`write` fills a new folder; `channels` keep nothing of an earlier export."""
+        self.finish()
+        name = uuid.uuid4().hex
+        rows = write(f"{self.path}/_new-{name}")
+        new = self._listed("channel_key=", f"_new-{name}")
+        silent = self.spark.createDataFrame([], "value string") if channels is None else (
+            self._silent(channels, new))
+        # Names go to a text file from the tasks; only its rename makes the export count.
+        silent.write.mode("overwrite").text(f"{self.path}/_draft-{name}")
+        self._fs.rename(self._at(f"_draft-{name}"), self._at(f"_manifest-{name}"))
+        self.finish()
+        return rows
+
+    def _silent(self, channels: DataFrame, new: list[str]) -> DataFrame:
+        """Names of channels without a new folder."""
+        keys = channels.select(_key("channel_ref").alias("value")).distinct()
+        # Folder names are escaped; those of the new folders are turned back.
+        plain = [self._names.unescapePathName(n.split("=", 1)[1]) for n in new]
+        have = self.spark.createDataFrame(
+            [("" if n == self._names.DEFAULT_PARTITION_NAME() else n,) for n in plain],
+            "value string")
+        return keys.join(have, "value", "left_anti").select(
+            F.base64(F.encode("value", "UTF-8")).alias("value"))
+
+    def finish(self) -> None:
+        """Put complete exports in place, drop incomplete ones. May be done again at any point."""
+        for manifest in self._listed("_manifest-"):
+            name = manifest.removeprefix("_manifest-")
+            for folder in self._listed("channel_key=", f"_new-{name}"):
+                self._fs.delete(self._at(folder), True)
+                self._fs.rename(self._at(f"_new-{name}", folder), self._at(folder))
+            gone = self.spark.read.schema("value string").text(f"{self.path}/{manifest}").select(
+                F.decode(F.unbase64("value"), "UTF-8").alias("value"))
+            for row in gone.toLocalIterator():
+                self._fs.delete(self._at(
+                    self._names.getPartitionPathString("channel_key", row["value"])), True)
+            self._fs.delete(self._at(manifest), True)
+        for left in (*self._listed("_new-"), *self._listed("_draft-")):
+            self._fs.delete(self._at(left), True)
 
 
 def export_comments(comments: DataFrame, fmt: str, path: str, per_video: bool = False,
@@ -81,10 +135,9 @@ def export_comments(comments: DataFrame, fmt: str, path: str, per_video: bool =
     The folder of a channel is replaced as a whole; a column `file_name` holds the name of the
     video's own file. With `per_video` each video gets a folder of that name instead, which
     suits small exports, and the export replaces everything under `path`. `channels` lists, by
-    `channel_ref`, channels whose folder is deleted first, so that one that has no comment now
-    keeps none of an earlier export.
+    `channel_ref`, channels whose folder goes if they have no comment now. Folders are replaced
+    once all are written; a failed export leaves the earlier one as it is.
     """
-    _start_fresh(channels, path)
     ext = "jsonl" if fmt in ("json", "jsonl") else fmt
     rows = comments.select(
         _key("channel_ref").alias("channel_key"), "order", "pos",
@@ -100,7 +153,8 @@ def export_comments(comments: DataFrame, fmt: str, path: str, per_video: bool =
         out = rows.select("channel_key", F.col("file_name").alias("video_key"), *cells)
         return _write(out, fmt, path, ["channel_key", "video_key"], "static")
     out = rows.select("channel_key", *cells, "file_name")
-    return _write(out, fmt, path, ["channel_key"], "dynamic")
+    return _Folder(comments.sparkSession, path).replace(
+        lambda new: _write(out, fmt, new, ["channel_key"], "static"), channels)
 
 
 def export_videos(videos: DataFrame, fmt: str, path: str,
@@ -109,13 +163,14 @@ def export_videos(videos: DataFrame, fmt: str, path: str,
 
     JSON is one document per channel, see `write_videos_json`, where `channels` (`channel_ref`
     and, for JSON, `scraped_at`) get one even without videos. In the other formats the folders
-    of these channels are deleted first.
+    of those of these channels that have no video now are removed.
     """
     if fmt not in ("csv", "parquet"):
         return write_videos_json(videos, path, channels=channels)
-    _start_fresh(channels, path)
     rows = in_order(
         videos.select(_key("channel_ref").alias("channel_key"), *VIDEO_FIELDS),
         ["channel_key"], ["order"])
     cells = [csv_cell(rows, c) if fmt == "csv" else F.col(c) for c in VIDEO_FIELDS]
-    return _write(rows.select("channel_key", *cells), fmt, path, ["channel_key"], "dynamic")
+    out = rows.select("channel_key", *cells)
+    return _Folder(videos.sparkSession, path).replace(
+        lambda new: _write(out, fmt, new, ["channel_key"], "static"), channels)

@@ -1,6 +1,7 @@
 """The comment extraction on a landing folder, with Structured Streaming."""
 
 from vidlake.streaming.live import (
+    Progress,
     landed_comments,
     latest_totals,
     live_totals,
@@ -10,6 +11,6 @@ from vidlake.streaming.live import (
 )
 
 __all__ = [
-    "landed_comments", "latest_totals", "live_totals", "read_landing", "stream_comments",
-    "written_comments",
+    "Progress", "landed_comments", "latest_totals", "live_totals", "read_landing",
+    "stream_comments", "written_comments",
 ]

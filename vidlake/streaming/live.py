@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,8 @@ from vidlake.operators.comments import (
 )
 
 _KEYS = ["channel_ref", "video_id", "sort_by"]
+#: Name of the metrics that every batch of `stream_comments` is observed by.
+OBSERVED = "written"
 _FIGURES = ["comments", "characters", "hearts"]
 
 
@@ -46,7 +50,8 @@ def stream_comments(responses: DataFrame, out: str, checkpoint: str,
     finds them. A restart after a failure continues at the checkpoint; the file sink writes
     every batch exactly once.
     """
-    return _append(parse_comment_bodies(responses, sort_by), out, checkpoint)
+    rows = parse_comment_bodies(responses, sort_by)
+    return _append(rows.observe(OBSERVED, F.sum("n_comments").alias("comments")), out, checkpoint)
 
 
 def landed_comments(spark: SparkSession, out: str, strict: bool = False,
@@ -66,6 +71,61 @@ def written_comments(spark: SparkSession, out: str) -> int:
     return spark.read.parquet(out).agg(F.sum("n_comments")).first()[0] or 0
 
 
+class Progress:
+    """How many comments a stream has written, told while it runs.
+
+    Every batch is counted as it is written, by observed metrics, and the counts are kept under
+    the batch's number in `folder`: a batch that is repeated after a failure counts once, and a
+    restarted stream goes on from there. No rows are read for it. A batch that was committed
+    without its count (the driver died in between) makes `total` count what is in `out` instead.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, checkpoint: str, folder: str) -> None:
+        self.spark, self.out, self.checkpoint, self.folder = spark, out, checkpoint, folder
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(folder).getFileSystem(
+            spark._jsparkSession.sessionState().newHadoopConf())
+        self._known = self.batches()
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._hadoop.Path(folder)
+        found = self._fs.listStatus(at) if self._fs.exists(at) else []
+        return [f.getPath().getName() for f in found]
+
+    def batches(self) -> dict[int, int]:
+        """Comments of each batch counted so far."""
+        pairs = (n.split("-") for n in self._names(self.folder) if n[0].isdigit())
+        return {int(batch): int(count) for batch, count in pairs}
+
+    def follow(self, query: StreamingQuery, each: Callable[[int], None] | None = None,
+               pause: float = 0.2) -> None:
+        """Until the stream ends, note what its batches wrote, and call `each` with the number of
+        comments whenever it grows."""
+        while True:
+            ended = query.awaitTermination(pause)
+            if self._note(query) and each:
+                each(sum(self._known.values()))
+            if ended:
+                return
+
+    def _note(self, query: StreamingQuery) -> bool:
+        new = False
+        for p in query.recentProgress:
+            batch, row = p.batchId, p.observedMetrics.get(OBSERVED)
+            if row is not None and batch not in self._known and p.numInputRows:
+                self._known[batch] = row["comments"] or 0
+                self._fs.create(self._hadoop.Path(
+                    f"{self.folder}/{batch}-{self._known[batch]}"), True).close()
+                new = True
+        return new
+
+    def total(self) -> int:
+        committed = {int(n) for n in self._names(f"{self.checkpoint}/commits") if n.isdigit()}
+        if committed - self._known.keys():
+            return written_comments(self.spark, self.out)
+        return sum(self._known.values())
+
+
 def live_totals(responses: DataFrame, out: str, checkpoint: str,
                 sort_by: int = SORT_RECENT) -> StreamingQuery:
     """Append the figures of each response that has landed to `out`: its comments, their
