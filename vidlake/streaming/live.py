@@ -112,8 +112,10 @@ class Progress:
         new = False
         for p in query.recentProgress:
             batch, row = p.batchId, p.observedMetrics.get(OBSERVED)
-            if row is not None and batch not in self._known and p.numInputRows:
-                self._known[batch] = row["comments"] or 0
+            read = any(x.startOffset != x.endOffset for x in p.sources)
+            if batch not in self._known and read:
+                # Where the scan drops every row of a batch, there is nothing to observe.
+                self._known[batch] = (row["comments"] or 0) if row else 0
                 self._fs.create(self._hadoop.Path(
                     f"{self.folder}/{batch}-{self._known[batch]}"), True).close()
                 new = True
