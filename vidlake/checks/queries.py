@@ -696,9 +696,11 @@ def observed_comments(spark, sf_dir):
     progress.follow(stream_comments(
         read_landing(spark, landing, files_per_batch=1), out, state))
     counts = progress.batches()
+    files = spark.read.parquet(landing).select("_metadata.file_name").distinct().count()
     return spark.range(1).select(
         F.lit(progress.total()).cast("long").alias("comments"),
-        F.lit(sum(counts.values()) == progress.total() and len(counts) > 100).alias("by_batch"))
+        F.lit(sum(counts.values()) == progress.total() and len(counts) == files)
+        .alias("by_batch"))
 
 
 @query
