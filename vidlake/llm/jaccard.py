@@ -7,25 +7,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidlake.llm.components import components
-from vidlake.llm.sent import send
+from vidlake.llm.phrases import _pack, _unpack
 from vidlake.llm.words import SOLID, chunks, mixed, sequence_hashes, words_of
 from vidlake.session import stage
 
 SHINGLE = 3
 #: Two sets are alike if 100 * common >= PERCENT * union.
 PERCENT = 90
-#: Cells of the table of frequencies, cut into blocks; it is as large for any input.
+#: Cells of a table of frequencies as large for any input, cut into blocks (for `spots`).
 CELLS, BLOCK = 1 << 20, 1 << 14
 #: Groups of so many members are looked through for members that fit none.
 FEW = 32
 #: Bits of a filter on ids or shingles; it is as large for any input.
 FILTER_BITS = 1 << 23  # at most 131,072 rows of 64 bits
 
-_SETS = ("_id long, _n int, _c long, _d long, _p array<long>, _q array<int>, _r array<int>")
+#: Bytes of all texts for each range in which shingles are counted.
+RANGE = 16 << 20
+#: Shingles are counted by their hashes without so many bits.
+DROPPED = np.uint64(16)
+
+_SETS = ("_id long, _n int, _c long, _d long, _at array<int>, _p array<long>, _q array<int>, "
+         "_r array<int>")
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -44,23 +51,6 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def _counts(size: int):
-    """How many documents of a task hold shingles of each cell, as blocks of counts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in chunks(batches, "text"):
-            sets = shingle_sets(batch.column("text"), size)
-            cells = (np.concatenate(sets) >> np.uint64(44)).astype(np.int64)
-            total += np.bincount(cells, minlength=CELLS)
-        blocks = total.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(used, pa.int32()),
-            pa.array([blocks[k].astype("<i8").tobytes() for k in used], pa.binary()),
-        ], names=["block", "counts"])
-    return run
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -73,47 +63,111 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["block", "counts"])
 
 
-def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """For each cell of hashes, how common its shingles are, on a logarithmic scale: one byte
-    per cell, from counts over all documents. Any input gives `CELLS` bytes."""
-    found = docs.select("text").mapInArrow(_counts(size), "block int, counts binary")
-    found = found.repartition(CELLS // BLOCK, "block").mapInArrow(
-        _summed, "block int, counts binary")
-    levels = np.zeros(CELLS, np.uint8)
-    for r in found.collect():
-        counts = np.frombuffer(r["counts"], "<i8")
-        levels[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = 4 * np.log2(counts + 1)
-    return levels
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the block they are in: about `CHUNK` bytes of text, or one longer text."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in chunks(batches, "text"):
+        yield batch.append_column("block", pa.array([block] * len(batch), pa.int64()))
+        block += 1
 
 
-def _prefixes(size: int, percent: int, sent):
-    """A row per document: the hash of its set and its prefixes under three orders. Each order
-    puts rare shingles first and breaks ties by a hash of its own."""
+def _told(size: int, ranges: int):
+    """The distinct shingles of each block, by the range of hashes in which they are counted,
+    and in how many of its documents each is. A block read in pieces has a row for each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = sent.value
         for batch in chunks(batches, "text"):
-            n, c, d, p, q, r = [], [], [], [], [], []
-            for s in shingle_sets(batch.column("text"), size):
-                n.append(len(s))
-                data = s.tobytes()
-                c.append(xxhash.xxh3_64_intdigest(data))
-                d.append(xxhash.xxh64_intdigest(data, 1))
-                if not len(s):
-                    p.append(None), q.append(None), r.append(None)
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            rows = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                sets = shingle_sets(batch.column("text").slice(a, b - a), size)
+                keys, counts = np.unique(np.concatenate(sets) >> DROPPED, return_counts=True)
+                if not len(keys):
                     continue
-                keep = len(s) - -(-percent * len(s) // 100) + 1
-                level = levels[s >> np.uint64(44)].astype(np.uint64) << np.uint64(56)
-                prefix = [s[np.argsort(level | (mixed(s + np.uint64(seed)) >> np.uint64(8)))[:keep]]
-                          for seed in (1, 2, 3)]
-                p.append(prefix[0].view(np.int64))
-                q.append(prefix[1].astype(np.uint32).view(np.int32))
-                r.append(prefix[2].astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("_id"), pa.array(n, pa.int32()),
-                pa.array(np.array(c, np.uint64).view(np.int64)),
-                pa.array(np.array(d, np.uint64).view(np.int64)),
-                pa.array(p, pa.list_(pa.int64())), pa.array(q, pa.list_(pa.int32())),
-                pa.array(r, pa.list_(pa.int32()))], names=["_id", "_n", "_c", "_d", "_p", "_q", "_r"])
+                target = _range_of(keys, ranges)
+                at = np.flatnonzero(np.diff(target, prepend=-1))
+                for i, j in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
+                    rows.append((int(target[i]), int(block[a]), _pack(keys[i:j]),
+                                 counts[i:j].astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(("range", "block", "keys", "counts"), r, strict=True)) for r in rows],
+                schema=pa.schema([("range", pa.int32()), ("block", pa.int64()),
+                                  ("keys", pa.binary()), ("counts", pa.binary())]))
+    return run
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash without its dropped bits; ranges follow the order of hashes."""
+    return (((keys >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def _levelled(table: pa.Table) -> pa.Table:
+    """Of one range: for each block, a level for each of its shingles there, in the order of
+    their hashes."""
+    blocks = table.column("block").to_numpy()
+    keys = [_unpack(k, "<u8") for k in table.column("keys").to_pylist()]
+    counts = np.concatenate([np.frombuffer(c, "<i4") for c in table.column("counts").to_pylist()])
+    found, own = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(own, weights=counts, minlength=len(found))
+    level = (4 * np.log2(total)).astype(np.uint8)
+    at = np.cumsum([0, *map(len, keys)])
+    out, order = [], np.argsort(blocks, kind="stable")
+    cuts = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+    for some in np.split(order, cuts[1:]):
+        places = [own[at[k]:at[k + 1]] for k in some]
+        mine = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+        out.append(level[mine].tobytes())
+    return pa.table({"range": pa.array([table.column("range")[0].as_py()] * len(out), pa.int32()),
+                     "block": pa.array(blocks[order][cuts], pa.int64()),
+                     "levels": pa.array(out, pa.binary())})
+
+
+def shingle_levels(blocks: DataFrame, size: int) -> DataFrame:
+    """How common the shingles of each block are, from counts over all documents: rows `block`,
+    `range`, `levels`, a byte for each distinct shingle of the block in that range, 4 times the
+    logarithm (base 2) of the number of its documents. A shingle of level 0 is in no other one.
+
+    Hashes are counted without their last `DROPPED` bits: what is then taken for one shingle is
+    called more common than it is, nothing else. No task holds more than a range, which is about
+    `RANGE` bytes of text, and nothing is sent to all tasks."""
+    total = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    told = blocks.mapInArrow(_told(size, 1 + total // RANGE),
+                             "`range` int, block long, keys binary, counts binary")
+    return told.groupBy("range").applyInArrow(_levelled, "`range` int, block long, levels binary")
+
+
+def _prefixes(size: int, percent: int):
+    """A row per document: the hash of its set and its prefixes under three orders. Each order
+    puts rare shingles first and breaks ties by a hash of its own. Shingles that are in no other
+    document take their places in a prefix and are left out of it then."""
+    def run(docs: pa.Table, levels: pa.Table) -> pa.Table:
+        texts = docs.column("text").combine_chunks()
+        sets = shingle_sets(texts, size)
+        keys = np.unique(np.concatenate(sets) >> DROPPED)
+        told = levels.sort_by("range").column("levels").to_pylist()
+        level_of = np.frombuffer(b"".join(told), np.uint8)
+        assert len(level_of) == len(keys), "the levels of a block are not those of its shingles"
+        out = {k: [] for k in ("_n", "_c", "_d", "_at", "_p", "_q", "_r")}
+        for s in sets:
+            keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+            level = level_of[np.searchsorted(keys, s >> DROPPED)]
+            high = level.astype(np.uint64) << np.uint64(56)
+            orders = [np.argsort(high | (mixed(s + np.uint64(seed)) >> np.uint64(8)))[:keep]
+                      for seed in (1, 2, 3)]
+            shared = [np.flatnonzero(level[o] > 0) for o in orders]
+            data = s.tobytes()
+            for name, value in zip(out, (
+                    len(s), xxhash.xxh3_64_intdigest(data), xxhash.xxh64_intdigest(data, 1),
+                    shared[0].astype(np.int32), s[orders[0][shared[0]]].view(np.int64),
+                    s[orders[1][shared[1]]].astype(np.uint32).view(np.int32),
+                    s[orders[2][shared[2]]].astype(np.uint32).view(np.int32)), strict=True):
+                out[name].append(value)
+        table = pa.table({
+            "_id": docs.column("_id"), "_n": pa.array(out["_n"], pa.int32()),
+            **{k: pa.array(np.array(out[k], np.uint64).view(np.int64)) for k in ("_c", "_d")},
+            "_p": pa.array(out["_p"], pa.list_(pa.int64())),
+            **{k: pa.array(out[k], pa.list_(pa.int32())) for k in ("_at", "_q", "_r")}})
+        return table.select(["_id", "_n", "_c", "_d", "_at", "_p", "_q", "_r"])
     return run
 
 
@@ -147,8 +201,9 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
     Documents with equal sets are one class from the start. A class can only link to others with
     which it shares a shingle among the first of its set, under any order of all shingles. Three
-    orders are used, each with rare shingles first by one table of frequencies over all
-    documents: candidates come from the prefixes under the first order, and only those that
+    orders are used, each with rare shingles first by exact counts over all documents, made in
+    ranges of hashes and told to the blocks of documents that asked. What only one document has
+    meets nobody and is left out, so texts that are like no other add no rows: candidates come from the prefixes under the first order, and only those that
     also meet in the prefixes under the second and the third are verified, on whole sets.
 
     Candidates are taken in two rounds, so that no group of copies is expanded into its pairs.
@@ -161,14 +216,17 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     component and links nothing. Rows with equal id are one document. No rows give no rows.
     Columns other than `doc_id` and `text` are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    sent = send(spark, frequency_levels(rows, size))
-    sets = stage(rows.mapInArrow(_prefixes(size, percent, sent), _SETS), "shingle-sets")
+    blocks = stage(rows.mapInArrow(_blocks, "_id long, text string, block long"), "blocks")
+    levels = stage(shingle_levels(blocks, size), "levels")
+    sets = stage(blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(
+        _prefixes(size, percent), _SETS), "shingle-sets")
     used = sets.where("_n > 0 and _id is not null")
     classes = stage(used.groupBy("_c", "_d").agg(F.min("_id").alias("_rep")), "classes")
 
-    members = used.select("_c", "_d", "_n", F.posexplode("_p").alias("_i", "_t"))
+    members = used.select("_c", "_d", "_n", F.explode(F.arrays_zip("_at", "_p")).alias("_m"))
+    members = members.select("_c", "_d", "_n", F.col("_m._at").alias("_i"),
+                             F.col("_m._p").alias("_t"))
     place = F.shiftleft(F.col("_n").cast("long"), 32) + F.col("_i")
     tokens = members.groupBy("_t").agg(
         F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.count(F.lit(1)).alias("_rows"),
@@ -178,7 +236,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     tokens = tokens.where((F.col("_lo") != F.col("_hi")) & ((F.col("_rows") > 2) | _may_be_alike(
         n("_p"), i("_p"), n("_q"), i("_q"), percent)))
     tokens = stage(tokens.select("_t", "_rows"), "tokens")
-    holders = _masked(members, "_t", tokens).join(tokens, "_t")
+    holders = members.join(tokens, "_t")
     own = ["_c", "_d", "_n", "_i"]
     # The like for other small groups: who fits none of the others there meets nobody by it.
     few = holders.where(F.col("_rows") <= FEW).groupBy("_t").agg(

@@ -20,7 +20,7 @@ LENGTH = 35
 GRAM = 6
 
 _POS = np.uint64(0xFFFFFFFF)
-_RUN = "_id long, _th long, _pos int, _lo byte, _hi byte, _a long, _r long"
+_RUN = "_id long, _th long, _pos int, _lo int, _hi int, _a long, _r long"
 _WINDOW = "_id long, _th long, _at int, _a long, _w long"
 
 
@@ -74,12 +74,12 @@ def _runs(length: int, gram: int):
             before, after = anchor - lo, hi - anchor
             # A run's first and last window together hold all of its words.
             r = mixed(hashes_at(hashes, lo, length) * c[0] + hashes_at(hashes, hi, length) * c[1]
-                      + before.astype(np.uint64) * c[2] + (after + 64).astype(np.uint64) * c[3])
+                      + before.astype(np.uint64) * c[2] + (after + length).astype(np.uint64) * c[3])
             base = words.first[doc]
             yield pa.RecordBatch.from_arrays([
                 batch.column("_id").take(pa.array(doc)), batch.column("_th").take(pa.array(doc)),
-                pa.array(anchor - base, pa.int32()), pa.array(-before, pa.int8()),
-                pa.array(after, pa.int8()), pa.array(_signed(a)), pa.array(_signed(r)),
+                pa.array(anchor - base, pa.int32()), pa.array(-before, pa.int32()),
+                pa.array(after, pa.int32()), pa.array(_signed(a)), pa.array(_signed(r)),
             ], names=["_id", "_th", "_pos", "_lo", "_hi", "_a", "_r"])
     return run
 
