@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 # The helpers travel with the query, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Bytes of bodies whose results a worker holds before it hands them on.
+SLICE_BYTES = 1 << 20
+
 _MARKS = re.compile(r'\\.|["{}]', re.DOTALL)
 
 #: Field of a parsed body that is set if Spark's parser did not read all of it as declared.
@@ -33,6 +38,30 @@ def _single(udf):
     return udf.asNondeterministic()
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in slices of about `SLICE_BYTES`, at least one body each."""
+    start = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and held + n > SLICE_BYTES:
+            yield texts.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield texts.slice(start)
+
+
+def sliced(batches: Iterator[pa.Array],
+           work: Callable[[Iterator[str | None]], pa.Array]) -> Iterator[pa.Array]:
+    """Results of `work` slice by slice, so that a worker's memory does not grow with a batch.
+
+    A batch holds up to 10,000 bodies, or 64 MB, by Spark's own settings. As Python text, parsed
+    and as results it would take many times that; each body is taken out of the batch as its
+    turn comes instead.
+    """
+    for texts in batches:
+        for part in _slices(texts):
+            yield work(t.as_py() for t in part)
+
+
 def balanced_object(text: str, opening: re.Pattern) -> str | None:
     """The JSON object whose brace ends the first match of `opening`; None if it never closes."""
     found = opening.search(text)
@@ -58,10 +87,9 @@ def balanced_object_column(text: Column, opening: str) -> Column:
     pattern = re.compile(opening)
 
     @F.arrow_udf("string")
-    def scan(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [None if t is None else balanced_object(t, pattern) for t in texts.to_pylist()],
-            pa.string())
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return sliced(batches, lambda texts: pa.array(
+            [None if t is None else balanced_object(t, pattern) for t in texts], pa.string()))
 
     return _single(scan)(text)
 
@@ -122,13 +150,16 @@ def find_many(body: Column, keys: list[str], anyway: Column | None = None) -> Co
     kinds = [pa.list_(pa.string())] * len(keys) + [pa.string()]
     fields = ", ".join([*[f"{key} array<string>" for key in keys], "_error string"])
 
-    @F.arrow_udf(fields)
-    def search(bodies: pa.Array) -> pa.Array:
-        rows = [_search(b, keys) for b in bodies.to_pylist()]
+    def work(bodies: Iterator[str | None]) -> pa.Array:
+        rows = [_search(b, keys) for b in bodies]
         columns = zip(*rows) if rows else [[] for _ in names]
         return pa.StructArray.from_arrays(
             [pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
+    @F.arrow_udf(fields)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return sliced(batches, work)
+
     wanted = mentions(body, keys)
     return _single(search)(F.when(wanted if anyway is None else anyway | wanted, body))
 
