@@ -41,6 +41,15 @@ def _append(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def _parsed(responses: DataFrame, sort_by: int) -> DataFrame:
+    """The parsed responses of a batch, parsed on all cores.
+
+    One file that landed is one task, however many responses it holds. Spark deals the rows of a
+    large batch to more tasks, and leaves those of a small one together.
+    """
+    return parse_comment_bodies(responses.hint("rebalance"), sort_by)
+
+
 def stream_comments(responses: DataFrame, out: str, checkpoint: str,
                     sort_by: int = SORT_RECENT) -> StreamingQuery:
     """Parse all that has landed and append one row per response to `out`.
@@ -50,7 +59,7 @@ def stream_comments(responses: DataFrame, out: str, checkpoint: str,
     finds them. A restart after a failure continues at the checkpoint; the file sink writes
     every batch exactly once.
     """
-    rows = parse_comment_bodies(responses, sort_by)
+    rows = _parsed(responses, sort_by)
     return _append(rows.observe(OBSERVED, F.sum("n_comments").alias("comments")), out, checkpoint)
 
 
@@ -132,7 +141,7 @@ def live_totals(responses: DataFrame, out: str, checkpoint: str,
                 sort_by: int = SORT_RECENT) -> StreamingQuery:
     """Append the figures of each response that has landed to `out`: its comments, their
     characters and hearts, and whether it ends its chain. See `latest_totals`."""
-    rows = parse_comment_bodies(responses, sort_by)
+    rows = _parsed(responses, sort_by)
     sizes = F.aggregate("comments", F.lit(0).cast("bigint"),
                         lambda n, c: n + F.coalesce(c["text_length"], F.lit(0)))
     return _append(rows.select(
