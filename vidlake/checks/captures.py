@@ -504,8 +504,9 @@ def offer_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     token = F.concat_ws("-", F.col("l_orderkey").cast("string"),
                         F.col("l_linenumber").cast("string"))
     n = F.col("l_linenumber")
+    # Dealt by order once, which serves both the distinct lines and the lists.
     offered = (
-        lines.select("l_orderkey", "l_linenumber").distinct()
+        lines.select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct()
         .groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"))
     )
 

@@ -164,6 +164,46 @@ def find_many(body: Column, keys: list[str], anyway: Column | None = None) -> Co
     return _single(search)(F.when(wanted if anyway is None else anyway | wanted, body))
 
 
+def _search_items(body: str | None, keys: list[str], listed: str, inner: list[str]):
+    """What the values under `keys` hold besides their list, and the items in it."""
+    if body is None:
+        return None
+    try:
+        node = json.loads(body)
+        found_values = [v if isinstance(v, dict) else {} for k in keys for v in values_of(node, k)]
+        items = [v.get(listed) if isinstance(v.get(listed), list) else [] for v in found_values]
+        return [{
+            "head": json.dumps({k: x for k, x in v.items() if k != listed}, ensure_ascii=False),
+            "items": [{"names": list(i) if isinstance(i, dict) else []} | {
+                k: [json.dumps(x, ensure_ascii=False) for x in values_of(i, k)] for k in inner}
+                for i in inside],
+        } for v, inside in zip(found_values, items)]
+    except (ValueError, RecursionError):
+        return None
+
+
+def find_items(body: Column, keys: list[str], listed: str, inner: list[str]) -> Column:
+    """The values of `keys` in search order and the items they list under `listed`, in one search.
+
+    An array of `head` (the value without its list, as JSON) and `items`, each with its own
+    `names` and, under each of `inner`, the JSON texts of that name's values in search order.
+    NULL where a body names none of the keys or cannot be parsed.
+    """
+    fields = ["names", *inner]
+    kind = pa.list_(pa.struct([("head", pa.string()), ("items", pa.list_(pa.struct(
+        [(name, pa.list_(pa.string())) for name in fields])))]))
+    inside = ",".join(f"{name}:array<string>" for name in fields)
+
+    def work(bodies: Iterator[str | None]) -> pa.Array:
+        return pa.array([_search_items(b, keys, listed, inner) for b in bodies], kind)
+
+    @F.arrow_udf(f"array<struct<head:string,items:array<struct<{inside}>>>>")
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return sliced(batches, work)
+
+    return _single(search)(F.when(mentions(body, keys), body))
+
+
 def body_error(matches: Column) -> Column:
     """Why a body that `find_many` looked at cannot be read; NULL if it can."""
     return matches["_error"]

@@ -10,10 +10,12 @@ from vidlake.functions.declared import at_places, parsed, readable, texts
 from vidlake.functions.jsonscan import (
     body_error,
     count_name,
+    find_items,
     find_many,
     find_values,
     first_value,
-    found,
+    parsed_body,
+    suspect,
 )
 from vidlake.operators.unfold import unfold
 
@@ -34,6 +36,7 @@ FIRST_PLACES = [
     "contents.twoColumnWatchNextResults.results.results.contents.*.itemSectionRenderer."
     f"contents.*.{NEXT_ITEM_KEY}",
 ]
+BUTTON_KEY = "buttonRenderer"
 REPLIES_PREFIX = "comment-replies-item"
 
 #: A body that is empty, or holds an empty value, ends its chain of responses.
@@ -151,25 +154,110 @@ def next_tokens(df: DataFrame, body: str = "body", seq: str = "response_seq",
     )
 
 
-def _actions(responses: DataFrame) -> DataFrame:
-    """Add `_actions`: reload actions, then append actions, each group in search order."""
-    df = responses.withColumn("_doc", F.from_json("body", schemas.ACTION_BODY))
+def _offer(action_pos: Column, item_pos: Column, target_id: Column, pos: Column, kind: str,
+           token: Column) -> Column:
+    return F.struct(
+        action_pos.alias("action_pos"), item_pos.alias("item_pos"), target_id.alias("target_id"),
+        pos.alias("pos"), F.lit(kind).alias("kind"), token.alias("token")).cast(schemas.OFFER)
+
+
+def _in_section(target_id: Column) -> Column:
+    return target_id.isin(COMMENT_SECTIONS)
+
+
+def _in_replies(target_id: Column) -> Column:
+    return target_id.startswith(REPLIES_PREFIX)
+
+
+def _thread(item: Column) -> Column:
+    return item["commentThreadRenderer"]["replies"]["commentRepliesRenderer"]["contents"]
+
+
+def _read_natively(df: DataFrame, body: Column) -> DataFrame:
+    """Add `_actions`, reload actions, then append actions, each group in search order, and
+    `_seen`, whether they hold all actions and endpoints that the text names and, where there are
+    reply threads, all buttons, an item one of each at most. Names are counted in a body as a
+    whole, not in its items."""
+    df = df.withColumn("_doc", parsed_body(body, schemas.ACTION_BODY))
     listed = F.col("_doc.onResponseReceivedEndpoints")
-    one_each = F.lit(True)
-    native = []
-    for key in (RELOAD_KEY, APPEND_KEY):
-        present = F.filter(listed[key], lambda a: a.isNotNull())
-        native.append(F.reverse(present))
-        one_each = one_each & F.coalesce(
-            F.size(present) == count_name(F.col("body"), key), F.lit(False))
-    df = df.withColumn("_seen", one_each).withColumn("_found", find_many(
-        F.when(~F.col("_seen"), F.col("body")), [RELOAD_KEY, APPEND_KEY]))
-    searched = F.transform(
-        F.concat(found(F.col("_found"), RELOAD_KEY), found(F.col("_found"), APPEND_KEY)),
-        lambda a: F.from_json(a, schemas.ACTION))
-    return df.withColumn(
-        "_actions", F.when(F.col("_seen"), F.concat(*native)).otherwise(searched)
-    ).drop("_doc", "_seen", "_found")
+    none = F.array()
+
+    def all_of(arrays: Column, kind: str) -> Column:
+        return F.coalesce(F.flatten(F.array_compact(arrays)), none.cast(kind))
+
+    def present(values: Column) -> Column:
+        return F.coalesce(F.size(F.array_compact(values)), F.lit(0))
+
+    native = {key: F.reverse(F.coalesce(F.array_compact(listed[key]), none.cast(schemas.ACTIONS)))
+              for key in (RELOAD_KEY, APPEND_KEY)}
+    df = df.withColumn("_actions", F.concat(*native.values()))
+    df = df.withColumn("_items", all_of(
+        F.col("_actions")["continuationItems"], schemas.CONTINUATION_ITEMS))
+    own = F.col("_items")[NEXT_ITEM_KEY]
+    replies = F.flatten(F.array_compact(_thread(F.col("_items"))))[NEXT_ITEM_KEY]
+    one_each = ~F.exists("_items", lambda i: F.coalesce(F.size(_thread(i)) > 1, F.lit(False)) | (
+        i[NEXT_ITEM_KEY][ENDPOINT_KEY].isNotNull() & _thread(i).isNotNull()))
+    no_replies = ~F.exists(F.col("_actions")["targetId"], lambda t: F.coalesce(
+        _in_replies(t), F.lit(False)))
+    seen = (
+        (present(listed[RELOAD_KEY]) == count_name(body, RELOAD_KEY))
+        & (present(listed[APPEND_KEY]) == count_name(body, APPEND_KEY))
+        & (present(own[ENDPOINT_KEY]) + present(replies[ENDPOINT_KEY])
+           == count_name(body, ENDPOINT_KEY))
+        & (no_replies | (present(own["button"][BUTTON_KEY]) == count_name(body, BUTTON_KEY)))
+    )
+    return df.withColumn("_seen", F.coalesce(
+        ~suspect(F.col("_doc"), body) & ~body.rlike(r"\\u00[4-7]") & one_each & seen,
+        F.lit(False))).drop("_doc", "_items")
+
+
+def _seen_offers(actions: Column) -> Column:
+    """The offers of actions that were read natively; an item has one at most."""
+    def of_action(a: Column, at: Column) -> Column:
+        target = a["targetId"]
+
+        def of_item(i: Column, place: Column) -> Column:
+            own = i[NEXT_ITEM_KEY]
+            endpoint = F.coalesce(
+                own[ENDPOINT_KEY], F.get(_thread(i), F.lit(0))[NEXT_ITEM_KEY][ENDPOINT_KEY])
+            button = own["button"][BUTTON_KEY]
+            first = F.lit(0)
+            return F.when(
+                _in_section(target) & endpoint.isNotNull(),
+                _offer(at, place, target, first, "section",
+                       endpoint["continuationCommand"]["token"]),
+            ).when(
+                _in_replies(target) & button.isNotNull(),
+                _offer(at, place, target, first, "replies",
+                       button["command"]["continuationCommand"]["token"]))
+
+        return F.transform(F.coalesce(
+            a["continuationItems"], F.array().cast(schemas.CONTINUATION_ITEMS)), of_item)
+
+    return F.array_compact(F.flatten(F.transform(actions, of_action)))
+
+
+def _searched_offers(actions: Column) -> Column:
+    """The offers of actions that were searched, see `find_items`."""
+    nothing = F.array().cast(f"array<{schemas.OFFER}>")
+
+    def of_action(a: Column, at: Column) -> Column:
+        target = a["target_id"]
+
+        def of_item(i: Column, place: Column) -> Column:
+            button = F.get(i[BUTTON_KEY], F.lit(0))
+            return F.when(_in_section(target), F.transform(
+                i[ENDPOINT_KEY], lambda e, n: _offer(at, place, target, n, "section", _token(e)))
+            ).when(
+                _in_replies(target) & F.array_contains(i["names"], NEXT_ITEM_KEY)
+                & button.isNotNull(),
+                F.array(_offer(at, place, target, F.lit(0), "replies", _token(
+                    F.get_json_object(button, "$.command")))),
+            ).otherwise(nothing)
+
+        return F.flatten(F.transform(a["items"], of_item))
+
+    return F.flatten(F.transform(actions, of_action))
 
 
 def continuations(responses: DataFrame) -> DataFrame:
@@ -177,59 +265,26 @@ def continuations(responses: DataFrame) -> DataFrame:
 
     Reload actions come before append actions. Items of a comment section offer every endpoint
     in them (`kind` = 'section'), items of a reply thread the command behind their button
-    (`kind` = 'replies'). Actions and items of the usual shape are read natively; an item whose
-    names count up to more endpoints than that is searched.
+    (`kind` = 'replies'). A body is parsed once with its items; one whose names count up to more
+    than the usual shape holds is searched, once as a whole. Offers are made within the row, so
+    no item becomes a row of its own before.
     """
     rest = [c for c in responses.columns if c != "body"]
-    actions = unfold(_actions(responses), rest, "_actions", "action_pos", "_action").select(
-        *rest, "action_pos", "_action.targetId", "_action.continuationItems"
-    ).withColumnRenamed("targetId", "target_id")
-    items = unfold(
-        actions, [*rest, "action_pos", "target_id"], "continuationItems", "item_pos", "_item"
-    ).withColumn("_doc", F.from_json("_item", schemas.CONTINUATION_ITEM))
-    item, doc = F.col("_item"), F.col("_doc")
-    in_section = F.col("target_id").isin(COMMENT_SECTIONS)
-    in_replies = F.col("target_id").startswith(REPLIES_PREFIX) & F.coalesce(
-        F.array_contains(F.json_object_keys(item), NEXT_ITEM_KEY), F.lit(False))
-
-    thread = doc["commentThreadRenderer"]["replies"]["commentRepliesRenderer"]["contents"]
-    usual = F.coalesce(
-        doc[NEXT_ITEM_KEY][ENDPOINT_KEY], F.get(thread, F.lit(0))[NEXT_ITEM_KEY][ENDPOINT_KEY])
-    command = doc[NEXT_ITEM_KEY]["button"]["buttonRenderer"]["command"]
-    plain_section = count_name(item, ENDPOINT_KEY) == usual.isNotNull().cast("int")
-    plain_replies = (count_name(item, "buttonRenderer") == 1) & command.isNotNull()
-    items = items.select(
-        "*", in_section.alias("_section"), in_replies.alias("_replies"),
-        usual["continuationCommand"]["token"].alias("_usual"),
-        usual.isNotNull().alias("_has_usual"),
-        command["continuationCommand"]["token"].alias("_command"),
-        (in_section & ~plain_section).alias("_search_section"),
-        (in_replies & ~plain_replies).alias("_search_replies"),
-    ).drop("_doc")
-    items = items.withColumn(
-        "_endpoints", find_values(F.when(F.col("_search_section"), item), ENDPOINT_KEY)
-    ).withColumn("_button", first_value(F.when(F.col("_search_replies"), item), "buttonRenderer"))
-
-    def offer(kind: str, token: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), token.alias("token"))
-
-    nothing = F.array().cast("array<struct<kind:string,token:string>>")
-    section = (
-        F.when(F.col("_search_section"),
-               F.transform("_endpoints", lambda e: offer("section", _token(e))))
-        .when(F.col("_section") & F.col("_has_usual"), F.array(offer("section", F.col("_usual"))))
-        .otherwise(nothing)
-    )
-    replies = (
-        F.when(F.col("_search_replies") & F.col("_button").isNotNull(), F.array(offer(
-            "replies", _token(F.get_json_object("_button", "$.command")))))
-        .when(F.col("_replies") & ~F.col("_search_replies"),
-              F.array(offer("replies", F.col("_command"))))
-        .otherwise(nothing)
-    )
-    keys = [*rest, "action_pos", "item_pos", "target_id"]
-    offers = unfold(items, keys, F.concat(section, replies), "pos", "_offer")
-    return offers.select(*keys, "pos", "_offer.kind", "_offer.token")
+    body = F.col("body")
+    df = _read_natively(responses, body).select(
+        *rest, F.when(F.col("_seen"), _seen_offers(F.col("_actions"))).alias("_offers"),
+        F.when(~F.col("_seen"), body).alias("_missed"))
+    df = df.withColumn("_found", find_items(
+        F.col("_missed"), [RELOAD_KEY, APPEND_KEY], "continuationItems",
+        [ENDPOINT_KEY, BUTTON_KEY]))
+    searched = F.transform("_found", lambda a: F.struct(
+        F.from_json(a["head"], schemas.ACTION_HEAD)["targetId"].alias("target_id"), a["items"]
+        .alias("items")))
+    df = df.select(*rest, "_offers", searched.alias("_searched"))
+    offers = F.coalesce(F.col("_offers"), _searched_offers(F.col("_searched")))
+    return unfold(df, rest, offers, "_at", "_offer").select(
+        *rest, "_offer.action_pos", "_offer.item_pos", "_offer.target_id", "_offer.pos",
+        "_offer.kind", "_offer.token")
 
 
 def pending(offers: DataFrame, captures: DataFrame) -> DataFrame:

@@ -72,14 +72,6 @@ COUNT_HEADER = f"struct<countText:{_COUNT_TEXT},title:{_COUNT_TEXT}>"
 COUNT_TEXT = _COUNT_TEXT
 ENDPOINT = "struct<continuationCommand:struct<token:string>>"
 SORT_MENU = f"struct<subMenuItems:array<struct<serviceEndpoint:{ENDPOINT}>>>"
-_ACTION = "struct<targetId:string,continuationItems:array<string>>"
-ACTION = _ACTION
-_ACTIONS = (
-    f"array<struct<reloadContinuationItemsCommand:{_ACTION},"
-    f"appendContinuationItemsAction:{_ACTION}>>"
-)
-#: Actions of a comment response, their items kept as JSON.
-ACTION_BODY = f"struct<onResponseReceivedEndpoints:{_ACTIONS}>"
 #: An item of a comment section or a reply thread, as far as it leads on.
 CONTINUATION_ITEM = (
     f"struct<continuationItemRenderer:struct<continuationEndpoint:{ENDPOINT},"
@@ -87,6 +79,19 @@ CONTINUATION_ITEM = (
     "commentThreadRenderer:struct<replies:struct<commentRepliesRenderer:struct<contents:array<"
     f"struct<continuationItemRenderer:struct<continuationEndpoint:{ENDPOINT}>>>>>>>"
 )
+_ACTION = f"struct<targetId:string,continuationItems:array<{CONTINUATION_ITEM}>>"
+_ACTIONS = (
+    f"array<struct<reloadContinuationItemsCommand:{_ACTION},"
+    f"appendContinuationItemsAction:{_ACTION}>>"
+)
+#: Actions of a comment response.
+ACTION_BODY = f"struct<onResponseReceivedEndpoints:{_ACTIONS}>"
+ACTION_HEAD = "struct<targetId:string>"
+ACTIONS = f"array<{_ACTION}>"
+CONTINUATION_ITEMS = f"array<{CONTINUATION_ITEM}>"
+OFFER = (
+    "struct<action_pos:int,item_pos:int,target_id:string,pos:int,kind:string,token:string>"
+)
 _NEXT = (
     "array<struct<appendContinuationItemsAction:struct<continuationItems:"
     "array<struct<continuationItemRenderer:struct<continuationEndpoint:string>>>>>>"
